@@ -314,7 +314,7 @@ def residual_scan(texts: DataFrame, file: str = "file", text: str = "text") -> D
     raw = F.col("h.match")
     return found.select(
         F.element_at(detector_info(), F.col("h.rule") + 1)["detector"].alias("detector"),
-        F.lit("PLAIN").alias("decoder"),
+        F.lit(None).cast("string").alias("decoder"),
         F.lit("unverified").alias("status"),
         (F.col("_at") + 1).cast("bigint").alias("line"),
         raw_sha256(raw).alias("raw_sha256"),

@@ -50,10 +50,11 @@ def sized_join(
     on: list[str],
     how: str,
     spread: list[str],
-    max_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Broadcast ``one`` when it is measured to be small, otherwise a salted shuffle join."""
-    if fits_broadcast(one, max_rows):
+    """Broadcast ``one`` when it is small, otherwise a salted shuffle join. Measures ``one``
+    unless ``small`` says that was done."""
+    if fits_broadcast(one) if small is None else small:
         return many.join(F.broadcast(one), on, how)
     return salted_join(many, one, on, spread, how)
 

@@ -22,10 +22,13 @@ def drop_rejected(sessions: DataFrame, reject: DataFrame, name: str = "filename"
     return sized_join(sessions, names, [name], "left_anti", spread=_spread(sessions, name))
 
 
-def mark_rejected(sessions: DataFrame, reject: DataFrame, flag: str = "rejected") -> DataFrame:
+def mark_rejected(
+    sessions: DataFrame, reject: DataFrame, flag: str = "rejected", small: bool | None = None
+) -> DataFrame:
     """Add whether each session's name is on the reject list."""
     names = reject.select("filename").distinct().withColumn(flag, F.lit(True))
-    joined = sized_join(sessions, names, ["filename"], "left", spread=_spread(sessions, "filename"))
+    spread = _spread(sessions, "filename")
+    joined = sized_join(sessions, names, ["filename"], "left", spread, small)
     return joined.select(*sessions.columns, F.coalesce(flag, F.lit(False)).alias(flag))
 
 
@@ -45,8 +48,19 @@ def denied_by_content(compact_json: Column, deny: Iterable[str]) -> Column:
     return matches_any(compact_json, deny)
 
 
+def comparable(prev: DataFrame, rules_hash: str | None = None) -> DataFrame:
+    """Keys and hashes of the manifest rows that were made under the given rules."""
+    if rules_hash is not None and "rules_hash" in prev.columns:
+        prev = prev.where(F.col("rules_hash") == rules_hash)
+    return prev.select(*KEY, "source_hash").distinct()
+
+
 def mark_unchanged(
-    hashed: DataFrame, prev: DataFrame, rules_hash: str | None = None, flag: str = "unchanged"
+    hashed: DataFrame,
+    prev: DataFrame,
+    rules_hash: str | None = None,
+    flag: str = "unchanged",
+    small: bool | None = None,
 ) -> DataFrame:
     """Flag sessions whose ``source_hash`` is the one in the previous manifest.
 
@@ -55,10 +69,8 @@ def mark_unchanged(
     source only and needs a manual force.) ``hashed`` should be narrow: a manifest grows
     with the sessions and this join may shuffle.
     """
-    if rules_hash is not None and "rules_hash" in prev.columns:
-        prev = prev.where(F.col("rules_hash") == rules_hash)
-    seen = prev.select(*KEY, "source_hash").distinct().withColumn(flag, F.lit(True))
-    joined = hashed.join(seen, [*KEY, "source_hash"], "left")
+    seen = comparable(prev, rules_hash).withColumn(flag, F.lit(True))
+    joined = sized_join(hashed, seen, [*KEY, "source_hash"], "left", ["source_hash"], small)
     return joined.select(*hashed.columns, F.coalesce(flag, F.lit(False)).alias(flag))
 
 
