@@ -102,22 +102,28 @@ def redacted_leaves(leaves: Column, secrets: Column | None, images: bool) -> Col
     return F.filter(done, lambda r: (F.size(r["findings"]) > 0) | r["image"])
 
 
+def with_parsed(df: DataFrame, content: Column, kept: Sequence[str]) -> DataFrame:
+    """``kept`` columns plus ``_ok``, ``_compact`` and ``_leaves`` of the session text."""
+    done = df.select(*kept, once(parsed(content)).alias("_p"))
+    parts = [F.col(f"_p.{f}").alias(f"_{f}") for f in ("ok", "compact", "leaves")]
+    return done.select(*kept, *parts)
+
+
 def with_redaction(
     df: DataFrame,
-    parse_column: str,
     keys: Sequence[str],
     secrets: DataFrame | None = None,
     images: bool = False,
     **bounds: int,
 ) -> DataFrame:
-    """Add ``changed`` (array of leaf results) and ``redacted`` (compact JSON) to rows that
-    hold ``struct<ok, compact, leaves>`` in ``parse_column``.
+    """Replace ``_compact`` and ``_leaves`` by ``changed`` (array of leaf results) and
+    ``redacted`` (compact JSON).
 
     Literal secrets are looked for once per session, in all leaves joined by a NUL byte
     (which no secret contains), and only those present are tried on single leaves.
     """
-    leaves = F.col(f"{parse_column}.leaves")
-    kept = df.columns
+    leaves, compact = F.col("_leaves"), F.col("_compact")
+    kept = [c for c in df.columns if c not in ("_leaves", "_compact")]
     held = None
     if secrets is not None:
         joined = F.array_join(F.transform(leaves, lambda x: x["value"]), "\0")
@@ -126,20 +132,17 @@ def with_redaction(
         ).drop("_joined")
         held = F.coalesce(F.col("_secrets"), F.array().cast(PRESENT_TYPE))
     df = df.select(
-        *kept,
-        once(
-            F.when(F.col(f"{parse_column}.ok"), redacted_leaves(leaves, held, images))
-        ).alias("changed"),
+        *kept, "_compact", once(redacted_leaves(leaves, held, images)).alias("changed")
     )
     rewrite = F.size("changed") > 0
     new = with_leaves(
-        F.when(rewrite, F.col(f"{parse_column}.compact")),
+        F.when(rewrite, compact),
         F.transform("changed", lambda r: F.struct(r["leaf"].alias("leaf"), r["text"].alias("text"))),
     )
     return df.withColumn("_new", new).select(
         *kept,
         "changed",
-        F.coalesce(F.col("_new"), F.col(f"{parse_column}.compact")).alias("redacted"),
+        F.coalesce(F.col("_new"), compact).alias("redacted"),
     )
 
 
@@ -156,8 +159,8 @@ def redact_object(
     Adds ``redacted`` (compact JSON, null when not JSON), ``redactions_count`` (leaves with a
     finding), ``match_count`` (single matches), ``images_stripped`` and ``changed``.
     """
-    listed = df.select("*", once(parsed(F.col(content))).alias("_p"))
-    done = with_redaction(listed, "_p", keys, secrets, images, **bounds).drop("_p")
+    listed = with_parsed(df, F.col(content), df.columns).drop("_ok")
+    done = with_redaction(listed, keys, secrets, images, **bounds)
     return done.select("*", *redaction_counts(F.col("changed")))
 
 

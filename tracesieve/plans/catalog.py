@@ -2,7 +2,8 @@
 
 from tracesieve.plans import (
     redaction_queries,
+    session_queries,
 )
 from tracesieve.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "redaction_queries"]
+__all__ = ["ORACLES", "QUERIES", "redaction_queries", "session_queries"]

@@ -7,11 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracesieve.functions.json_tree import parsed
 from tracesieve.functions.text import once
 from tracesieve.operators import hashing
 from tracesieve.operators.joins import cut_lineage, fits_broadcast, keep_keys
-from tracesieve.operators.json_redaction import redaction_counts, with_redaction
+from tracesieve.operators.json_redaction import redaction_counts, with_parsed, with_redaction
 from tracesieve.operators.rules import (
     KEY,
     comparable,
@@ -98,16 +97,19 @@ def _process(
 ) -> DataFrame:
     base = [*KEY, "source_hash"]
     text = F.when(F.col("outcome").isNull(), F.col("content"))
-    df = decided.select(*base, "outcome", once(parsed(text)).alias("_p"))
+    df = with_parsed(decided, text, [*base, "outcome"])
     outcome = F.coalesce(
         F.col("outcome"),
-        F.when(~F.col("_p.ok"), F.lit("failed")),
-        F.when(denied_by_content(F.col("_p.compact"), deny), F.lit("rejected")),
+        F.when(~F.col("_ok"), F.lit("failed")),
+        F.when(denied_by_content(F.col("_compact"), deny), F.lit("rejected")),
         F.lit("collected"),
     )
-    df = df.select(*base, once(outcome).alias("outcome"), "_p")
-    df = df.withColumn("_p", F.when(F.col("outcome") == "collected", F.col("_p")))
-    df = with_redaction(df, "_p", KEY, secrets, strip_images, **bounds).drop("_p")
+    df = df.select(*base, once(outcome).alias("outcome"), "_compact", "_leaves")
+    going = F.col("outcome") == "collected"
+    df = df.select(
+        *base, "outcome", *[F.when(going, F.col(c)).alias(c) for c in ("_compact", "_leaves")]
+    )
+    df = with_redaction(df, KEY, secrets, strip_images, **bounds)
     count, matches, images = redaction_counts(F.col("changed"))
     df = df.select(*base, "outcome", "redacted", count, matches, images, "changed")
     text = F.col("redacted")

@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracesieve.functions.text import once
+from tracesieve.operators.joins import cut_lineage
+from tracesieve.operators.literals import parse_secrets
+
 _D = "md5(CAST(doc_id AS STRING))"
 _M = "md5(text)"
 
@@ -109,7 +113,7 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "source AS source_dir",
         f"{FILENAME} AS filename",
-        f"{PLANTED_TEXT} AS text",
+        f"explode(array({PLANTED_TEXT})) AS text",
     )
 
 
@@ -128,7 +132,7 @@ def json_string(text: Column) -> Column:
 def json_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planted documents as session files: JSON objects, JSON lines, a bare string, and some
     that are not JSON. One in three has its text twice."""
-    docs = planted(spark, sf_dir).withColumn("_t", json_string(F.col("text")))
+    docs = planted(spark, sf_dir).select("*", once(json_string(F.col("text"))).alias("_t"))
     content = F.expr(
         """CASE
         WHEN doc_id % 14 = 6 THEN '{"text":' || _t || '} trailing'
@@ -138,19 +142,17 @@ def json_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         ELSE '{"doc_id": ' || doc_id || ', "messages": [{"role": "user", "text": ' || _t || '}]}'
         END"""
     )
-    return docs.select("doc_id", "source_dir", "filename", "text", content.alias("content"))
+    return docs.select("doc_id", "source_dir", "filename", "text", once(content).alias("content"))
 
 
 def token_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hex tokens that occur in documents, as literal secrets."""
-    from tracesieve.operators.literals import parse_secrets
-
     docs = table(spark, sf_dir, "documents")
     tokens = docs.select(
         F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))).alias("line"),
         F.col("doc_id").alias("line_no"),
     )
-    return parse_secrets(tokens)
+    return cut_lineage(parse_secrets(tokens))
 
 
 def reject_list(spark: SparkSession, sf_dir: str) -> DataFrame:
