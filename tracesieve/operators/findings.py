@@ -113,10 +113,10 @@ def dedup_findings(findings: DataFrame) -> DataFrame:
 
     The mask follows from the raw value behind the hash, so grouping by all columns changes
     nothing and keeps the aggregation on keys alone; copies combine before the shuffle.
-    A missing decoder and an empty one are the same.
+    A missing decoder and an empty one are the same, and so are spellings of one path.
     """
     return findings.select(
-        "file",
+        normalize_path(F.col("file")).alias("file"),
         "detector",
         F.coalesce("decoder", F.lit("")).alias("decoder"),
         "status",

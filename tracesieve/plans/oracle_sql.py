@@ -88,7 +88,7 @@ parsed AS (SELECT detector, decoder,
     line, sha256(raw) AS raw_sha256, {mask("raw")} AS masked, file, raw
   FROM typed)"""
 
-DEDUPED = "deduped AS (SELECT DISTINCT file, detector, decoder, status, line, raw_sha256, masked FROM parsed)"
+DEDUPED = "deduped AS (SELECT DISTINCT replace(file, '/./', '/') AS file, detector, decoder, status, line, raw_sha256, masked FROM parsed)"
 
 FILES = (
     "files AS (SELECT '/data/redacted/user_' || CAST(c_custkey AS STRING) || '.json' AS file, "
