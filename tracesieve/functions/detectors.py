@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracesieve.functions.text import sql_string
+
 # Detector regexes, types and severities. The order is part of the contract:
 # each detector runs on the text the previous ones have already rewritten.
 DETECTOR_TABLE = [
@@ -62,6 +63,8 @@ _GENERIC_MIDDLE = r"\.[A-Za-z0-9]{16}\."
 
 @dataclass(frozen=True)
 class Detector:
+    """One detector. Its methods give SQL text for a text expression ``t``."""
+
     index: int
     regex: str
     kind: str
@@ -71,49 +74,37 @@ class Detector:
     def replacement(self) -> str:
         return f"[REDACTED:{self.kind}]"
 
-    def may_match(self, text: Column) -> Column:
-        """False only when the detector cannot match ``text``."""
+    def may_match(self, t: str) -> str:
+        """False only when the detector cannot match."""
         required = _REQUIRED[self.index]
         if required is None:
-            return text.rlike(_GENERIC_MIDDLE)
-        return _any(_all(text.contains(F.lit(s)) for s in group) for group in required)
-
-    def replace_in(self, text: Column) -> Column:
-        return F.regexp_replace(text, F.lit(self.regex), F.lit(self.replacement))
-
-    def matches_in(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(self.regex), F.lit(0))
-
-
-def _any(tests) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+            return f"({t} RLIKE {sql_string(_GENERIC_MIDDLE)})"
+        groups = [" AND ".join(f"contains({t}, '{s}')" for s in group) for group in required]
+        return "(" + " OR ".join(groups) + ")"
 
+    def replace_in(self, t: str) -> str:
+        return f"regexp_replace({t}, {sql_string(self.regex)}, '{self.replacement}')"
 
-def _all(tests) -> Column:
-    return reduce(lambda a, b: a & b, tests)
+    def matches_in(self, t: str) -> str:
+        return f"regexp_extract_all({t}, {sql_string(self.regex)}, 0)"
 
 
 DETECTORS = [Detector(i, *row) for i, row in enumerate(DETECTOR_TABLE)]
 
 
-def any_may_match(text: Column) -> Column:
-    """False only when no detector can match ``text``, whatever the others rewrote before.
+def any_may_match(t: str) -> str:
+    """SQL text that is false only when no detector can match ``t``, whatever the others
+    rewrote before.
 
     Placeholders put in by earlier detectors hold none of the required substrings, so
     testing the original text is enough.
     """
-    return _any(d.may_match(text) for d in DETECTORS)
+    return "(" + " OR ".join(d.may_match(t) for d in DETECTORS) + ")"
 
 
 def detector_info() -> Column:
     """Constant array of (detector, severity, replacement), by detector index."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(d.kind).alias("detector"),
-                F.lit(d.severity).alias("severity"),
-                F.lit(d.replacement).alias("replacement"),
-            )
-            for d in DETECTORS
-        ]
+    rows = ", ".join(f"('{d.kind}', '{d.severity}', '{d.replacement}')" for d in DETECTORS)
+    return F.expr(
+        f"CAST(array({rows}) AS ARRAY<STRUCT<detector: STRING, severity: STRING, replacement: STRING>>)"
     )

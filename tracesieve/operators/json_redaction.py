@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracesieve.functions.detectors import any_may_match
 from tracesieve.functions.json_tree import parsed, with_leaves
-from tracesieve.functions.text import let, once
+from tracesieve.functions.text import let, let_sql, once
 from tracesieve.operators.literals import (
     attach_present,
     fold_literals,
@@ -89,7 +89,7 @@ def redacted_leaves(leaves: Column, secrets: Column | None, images: bool) -> Col
     """Result of every leaf that changes; the others are passed over after cheap tests."""
 
     def may_change(leaf: Column) -> Column:
-        test = any_may_match(leaf["value"])
+        test = let_sql(leaf["value"], "t", any_may_match("t"))
         if secrets is not None:
             test = test | F.exists(secrets, lambda s: leaf["value"].contains(s["value"]))
         if images:

@@ -13,13 +13,11 @@ tail of the longer one readable.)
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.functions.detectors import DETECTORS, detector_info
-from tracesieve.functions.text import let, mask_secret, once
+from tracesieve.functions.text import let, let_sql, mask_secret, once
 
 HIT_TYPE = "array<struct<rule:int,match:string>>"
 
@@ -30,18 +28,14 @@ KEY_VALUE = (
 )
 
 
-def no_hits() -> Column:
-    return F.array().cast(HIT_TYPE)
-
-
 def redacted_text(text: Column) -> Column:
     """``text`` after all detectors, in order."""
-    out = text
-    for detector in DETECTORS:
-        out = let(
-            out, lambda t: F.when(detector.may_match(t), detector.replace_in(t)).otherwise(t)
-        )
-    return out
+    body = "t"
+    for d in DETECTORS:
+        n = f"t{d.index}"
+        step = f"CASE WHEN {d.may_match(n)} THEN {d.replace_in(n)} ELSE {n} END"
+        body = f"transform(array({body}), {n} -> {step})[0]"
+    return let_sql(text, "t", body)
 
 
 def scan_text(text: Column) -> Column:
@@ -53,24 +47,15 @@ def scan_text(text: Column) -> Column:
     the expression linear in size; as a chain of projections it would grow exponentially
     once Catalyst pushed a filter or a join key through it.
     """
-
-    def step(detector, s: Column) -> Column:
-        found = F.transform(
-            detector.matches_in(s["text"]),
-            lambda m: F.struct(F.lit(detector.index).alias("rule"), m.alias("match")),
-        )
-        return F.when(
-            detector.may_match(s["text"]),
-            F.struct(
-                detector.replace_in(s["text"]).alias("text"),
-                F.concat(s["hits"], found).alias("hits"),
-            ),
-        ).otherwise(s)
-
-    state = F.struct(text.alias("text"), no_hits().alias("hits"))
-    for detector in DETECTORS:
-        state = let(state, partial(step, detector))
-    return state
+    body = f"named_struct('text', t, 'hits', CAST(array() AS {HIT_TYPE}))"
+    for d in DETECTORS:
+        s = f"s{d.index}"
+        t = f"{s}.text"
+        found = f"transform({d.matches_in(t)}, m -> named_struct('rule', {d.index}, 'match', m))"
+        new = f"named_struct('text', {d.replace_in(t)}, 'hits', concat({s}.hits, {found}))"
+        step = f"CASE WHEN {d.may_match(t)} THEN {new} ELSE {s} END"
+        body = f"transform(array({body}), {s} -> {step})[0]"
+    return let_sql(text, "t", body)
 
 
 def tally_hits(hits: Column) -> Column:
@@ -79,31 +64,15 @@ def tally_hits(hits: Column) -> Column:
     Sorts the hits once and measures the runs, so the cost stays near linear even for a text
     made of nothing but secrets.
     """
-
-    def runs(s: Column) -> Column:
-        n = F.size(s)
-        starts = F.filter(
-            F.sequence(F.lit(1), n),
-            lambda p: (p == 1) | (F.element_at(s, p) != F.element_at(s, F.greatest(p - 1, F.lit(1)))),
-        )
-        return let(
-            starts,
-            lambda st: F.transform(
-                st,
-                lambda p, j: F.struct(
-                    F.element_at(s, p)["rule"].alias("rule"),
-                    F.element_at(s, p)["match"].alias("match"),
-                    (F.coalesce(F.try_element_at(st, j + 2), n + 1) - p)
-                    .cast("bigint")
-                    .alias("count"),
-                ),
-            ),
-        )
-
-    empty = F.array().cast("array<struct<rule:int,match:string,count:bigint>>")
-    return let(
-        F.sort_array(hits), lambda s: F.when(F.size(s) == 0, empty).otherwise(runs(s))
+    starts = "filter(sequence(1, size(s)), p -> p = 1 OR get(s, p - 1) <> get(s, p - 2))"
+    run = (
+        "named_struct('rule', get(s, p - 1).rule, 'match', get(s, p - 1).match, 'count', "
+        "CAST(coalesce(get(st, j + 1), size(s) + 1) - p AS BIGINT))"
     )
+    runs = f"transform(array({starts}), st -> transform(st, (p, j) -> {run}))[0]"
+    none = "CAST(array() AS array<struct<rule:int,match:string,count:bigint>>)"
+    body = f"CASE WHEN size(s) = 0 THEN {none} ELSE {runs} END"
+    return let_sql(F.sort_array(hits), "s", body)
 
 
 def findings_from_hits(hits: Column) -> Column:

@@ -5,6 +5,7 @@ from tracesieve.plans import (
     publish_queries,
     redaction_queries,
     session_queries,
+    storage_queries,
     trajectory_queries,
 )
 from tracesieve.plans.registry import ORACLES, QUERIES
@@ -16,5 +17,6 @@ __all__ = [
     "publish_queries",
     "redaction_queries",
     "session_queries",
+    "storage_queries",
     "trajectory_queries",
 ]

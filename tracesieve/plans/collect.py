@@ -20,8 +20,18 @@ from tracesieve.operators.rules import (
     mark_unchanged,
 )
 
+# Fixed value: a report repeats this many redacted leaves at its head.
 REPORTED_LEAVES = 20
 
+MANIFEST_COLUMNS = [
+    *KEY,
+    "source_hash",
+    "redacted_hash",
+    "redaction_key",
+    "size_bytes",
+    "redactions_count",
+]
+
 
 def _decide(
     hashed: DataFrame,
@@ -167,12 +177,7 @@ def redaction_report(collected: DataFrame) -> DataFrame:
 def manifest_rows(collected: DataFrame, rules_hash: str | None = None) -> DataFrame:
     """Manifest entries of the collected sessions."""
     return collected.where("outcome = 'collected'").select(
-        *KEY,
-        "source_hash",
-        "redacted_hash",
-        "redaction_key",
-        "size_bytes",
+        *MANIFEST_COLUMNS,
         hashing.created_at().alias("created_at"),
-        "redactions_count",
         F.lit(rules_hash).cast("string").alias("rules_hash"),
     )

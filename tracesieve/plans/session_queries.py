@@ -321,6 +321,12 @@ _COLLECT = f"""{SESSIONS}, {_PREV}, {o.REJECT},
       CASE WHEN outcome = 'collected' THEN redactions_count END AS redactions_count,
       CASE WHEN outcome = 'collected' THEN match_count END AS match_count FROM redacted)"""
 
+
+def json_collect_ctes() -> str:
+    """CTEs up to ``collected``, for other queries on the same run."""
+    return _COLLECT
+
+
 _ROWS = """SELECT source_dir, filename, source_hash, outcome, sha256(redacted) AS redacted_hash,
       CASE WHEN redacted IS NOT NULL THEN sha256('v1:' || source_hash || ':' || redactions_count) END AS redaction_key,
       CAST(strlen(redacted) AS BIGINT) AS size_bytes, redactions_count, match_count FROM collected"""

@@ -8,6 +8,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracesieve.functions.text import once
+from tracesieve.operators.findings import strict_json
+
 MANIFEST_SCHEMA = (
     "source_dir STRING, filename STRING, source_hash STRING, redacted_hash STRING, "
     "redaction_key STRING, size_bytes BIGINT, created_at TIMESTAMP, redactions_count BIGINT, "
@@ -46,15 +49,13 @@ def read_manifest(
 ) -> Manifest:
     """JSON-lines manifest. Malformed lines are dropped and counted; with ``strict``, one of
     them makes the whole manifest empty."""
-    raw = spark.read.schema(f"{schema}, _bad STRING").option("columnNameOfCorruptRecord", "_bad")
-    rows = raw.option("mode", "PERMISSIVE").json(path)
     text = spark.read.text(path).where("value rlike '\\\\S'")
-    columns = rows.columns[:-1]
-    good = rows.where("_bad is null").select(*columns)
-    malformed = text.count() - good.count()
-    if strict and malformed:
-        good = good.limit(0)
-    return Manifest(good, malformed)
+    rows = text.select(
+        once(strict_json(F.col("value"))).alias("_doc"), F.from_json("value", schema).alias("_row")
+    )
+    malformed = rows.where("_doc is null").count()
+    good = rows.where("_doc is not null").select("_row.*")
+    return Manifest(good.limit(0) if strict and malformed else good, malformed)
 
 
 def read_scanner_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -65,8 +66,8 @@ def read_scanner_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_image_assets(spark: SparkSession, path: str) -> DataFrame:
     """Image files by extension, whatever its case: ``filename, size``. Contents are not read."""
     files = spark.read.format("binaryFile").load(path)
-    return image_assets(files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"),
-                                     F.col("length").alias("size")))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    return image_assets(files.select(name.alias("filename"), F.col("length").alias("size")))
 
 
 def image_assets(files: DataFrame, name: str = "filename") -> DataFrame:

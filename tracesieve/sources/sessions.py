@@ -32,7 +32,8 @@ def colon_paths(text: str) -> list[str]:
     return [p for p in parts if p]
 
 
-def _shape(files: DataFrame) -> DataFrame:
+def shape_files(files: DataFrame) -> DataFrame:
+    """Session rows from ``binaryFile`` rows."""
     path = F.col("path")
     return files.select(
         F.regexp_extract(path, r"^(?:file:(?://)?)?(.*)/[^/]*$", 1).alias("source_dir"),
@@ -56,7 +57,7 @@ def read_sessions(
     deny_names = list(deny_names)
     if deny_names:
         files = files.where(~matches_any(F.col("_metadata.file_name"), deny_names))
-    return _shape(files)
+    return shape_files(files)
 
 
 def read_session_dirs(

@@ -14,6 +14,16 @@ from tracesieve.sources.lists import PUBLISH_LOG_SCHEMA, path_exists
 MAX_RECORDS = 100_000
 
 
+def save_collected(collected: DataFrame, path: str) -> DataFrame:
+    """Store the result of a collect run once and read it back.
+
+    Sessions, reports and manifest all derive from it; without this step each of them would
+    redact everything again.
+    """
+    collected.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS).parquet(path)
+    return collected.sparkSession.read.schema(collected.schema).parquet(path)
+
+
 def write_redacted(collected: DataFrame, path: str, mode: str = "append") -> None:
     """Collected sessions as Parquet: keys, text and hashes."""
     rows = collected.where("outcome = 'collected'").select(

@@ -11,11 +11,11 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from tracesieve.operators.hashing import created_at
 from tracesieve.operators.manifest import upsert_manifest
-from tracesieve.plans.collect import collect, manifest_rows
-from tracesieve.sources.lists import MANIFEST_SCHEMA
-from tracesieve.sources.sessions import SESSION_FILES, _shape
-from tracesieve.sources.sinks import write_redacted
+from tracesieve.plans.collect import MANIFEST_COLUMNS, collect
+from tracesieve.sources.sessions import SESSION_FILES, shape_files
+from tracesieve.sources.sinks import save_collected
 
 BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -47,13 +47,11 @@ def stream_collect(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         done = collect(batch, secrets, deny, reject, strip_images=strip_images)
-        write_redacted(done, f"{target}/sessions/batch={batch_id}", mode="overwrite")
-        kept = batch.sparkSession.read.parquet(f"{target}/sessions/batch={batch_id}")
-        del kept
-        manifest_rows(done).write.mode("overwrite").parquet(f"{target}/manifest/batch={batch_id}")
+        stamped = done.withColumn("created_at", created_at())
+        save_collected(stamped, f"{target}/batch={batch_id}")
 
     return (
-        _shape(files)
+        shape_files(files)
         .writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -61,7 +59,13 @@ def stream_collect(
     )
 
 
+def streamed_sessions(spark: SparkSession, target: str) -> DataFrame:
+    """Collected rows of all batches, whatever their outcome."""
+    return spark.read.parquet(target)
+
+
 def streamed_manifest(spark: SparkSession, target: str) -> DataFrame:
     """The manifest over all batches: the newest row of each session."""
-    rows = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{target}/manifest")
+    rows = streamed_sessions(spark, target).where("outcome = 'collected'")
+    rows = rows.select(*MANIFEST_COLUMNS, "created_at")
     return upsert_manifest(rows.limit(0), rows)
