@@ -68,6 +68,11 @@ def mask_secret(raw: Column) -> Column:
     )
 
 
+def trimmed(value: Column) -> Column:
+    """``value`` without white space around it."""
+    return F.btrim(value, F.lit(" \t\r\n\f\x0b"))
+
+
 def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)/*$", 1)
 
@@ -75,9 +80,14 @@ def basename(path: Column) -> Column:
 def normalize_path(path: Column) -> Column:
     """Drop a scheme, ``.`` parts, doubled slashes, ``x/..`` pairs and a trailing slash.
 
-    Three rounds of ``x/..`` removal cover the nesting scanners emit; paths are otherwise
-    compared as they are.
+    Three rounds of ``x/..`` removal cover the nesting scanners emit. Plain paths, nearly
+    all of them, are only tested.
     """
+    plain = ~path.rlike(r"^file:|^\./|/\.|//|\.\.|./$")
+    return F.when(plain, path).otherwise(_normalized(path))
+
+
+def _normalized(path: Column) -> Column:
     p = F.regexp_replace(path, r"^file:(//)?(?=/)", "")
     p = F.regexp_replace(p, r"/(\./)+", "/")
     p = F.regexp_replace(p, r"/{2,}", "/")

@@ -16,6 +16,7 @@ from tracesieve.functions.text import (
     mask_secret,
     normalize_path,
     once,
+    trimmed,
     unicode_order,
 )
 from tracesieve.operators.joins import sized_join
@@ -58,8 +59,7 @@ def parse_findings(lines: DataFrame, line: str = "value") -> DataFrame:
     skipped. Adds ``raw`` so that :func:`~tracesieve.operators.literals.re_redact` can use
     it; drop it before writing.
     """
-    trimmed = F.regexp_replace(F.col(line), r"^\s+|\s+$", "")
-    docs = lines.select(trimmed.alias("_line")).where(F.col("_line").startswith("{"))
+    docs = lines.select(trimmed(F.col(line)).alias("_line")).where(F.col("_line").startswith("{"))
     doc = docs.select(once(strict_json(F.col("_line"))).alias("_doc"))
     d = F.col("_doc")
     text = "STRING"

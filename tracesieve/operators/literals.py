@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracesieve.functions.detectors import DETECTORS
-from tracesieve.functions.text import count_occurrences, once, placeholder
-from tracesieve.operators.joins import fits_broadcast
+from tracesieve.functions.text import count_occurrences, once, placeholder, trimmed
+from tracesieve.operators.joins import cut_lineage, fits_broadcast
 from tracesieve.operators.literal_search import PRESENT_TYPE, find_literals, literal_candidates
 
 SECRET_COLUMNS = ["name", "value", "replacement"]
@@ -63,8 +63,7 @@ def ignored_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def _usable(lines: DataFrame, line: str) -> DataFrame:
-    trimmed = F.regexp_replace(F.col(line), r"^\s+|\s+$", "")
-    df = lines.withColumn("_line", trimmed).where("_line <> ''")
+    df = lines.withColumn("_line", trimmed(F.col(line))).where("_line <> ''")
     df = df.withColumn("value", secret_value(F.col("_line")))
     return df.withColumn(
         "usable", F.col("value").isNotNull() & ~inside_placeholder(F.col("value"))
@@ -232,6 +231,7 @@ def re_redact(
         .select(*keys, F.col("raw").alias("value"))
         .distinct()
     )
+    secrets = cut_lineage(secrets)
     rank = F.row_number().over(
         Window.partitionBy(*keys).orderBy(F.length("value").desc(), F.col("value"))
     )

@@ -171,7 +171,8 @@ def previous_manifest(sessions: DataFrame) -> DataFrame:
 
 
 def scanner_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(f"{SCAN_LINE} AS value")
+    events = spread(table(spark, sf_dir, "events"), "event_id")
+    return events.selectExpr(f"{SCAN_LINE} AS value")
 
 
 def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:

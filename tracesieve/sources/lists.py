@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesieve.functions.text import once
+from tracesieve.functions.text import once, trimmed
 from tracesieve.operators.findings import strict_json
 
 MANIFEST_SCHEMA = (
@@ -21,8 +21,7 @@ PUBLISH_LOG_SCHEMA = "source_dir STRING, filename STRING, uploaded_at TIMESTAMP,
 
 def read_line_set(spark: SparkSession, path: str, name: str = "filename") -> DataFrame:
     """Distinct non-blank lines, trimmed."""
-    line = F.regexp_replace("value", r"^\s+|\s+$", "")
-    lines = spark.read.text(path).select(line.alias(name))
+    lines = spark.read.text(path).select(trimmed(F.col("value")).alias(name))
     return lines.where(F.col(name) != "").distinct()
 
 
