@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -73,12 +73,16 @@ def keep_keys(
     return wide.join(keys, on, "left_semi")
 
 
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names, or one set on the context, as tests do."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.sparkContext.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the cluster's shared checkpoint folder when one is named.
+    """Store ``df`` in the checkpoint folder, if there is one. It is then computed once and
+    survives the loss of executors.
 
     Without a folder the plan is returned as it is and simply computed again where needed.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df
+    return df.checkpoint() if checkpoint_folder(df.sparkSession) else df

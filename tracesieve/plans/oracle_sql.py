@@ -16,8 +16,8 @@ TOKENS = (
     f"'{TOKEN}', 1)) AS value FROM documents)"
 )
 SECRET_LIST = (
-    "secret_list AS (SELECT list({'v': value, 'r': '[REDACTED:' || left(sha256(value), 8) || ']'} "
-    "ORDER BY length(value) DESC, value) AS secrets FROM tokens)"
+    "secret_list AS (SELECT coalesce(list({'v': value, 'r': '[REDACTED:' || left(sha256(value), 8) || ']'} "
+    "ORDER BY length(value) DESC, value), CAST([] AS STRUCT(v VARCHAR, r VARCHAR)[])) AS secrets FROM tokens)"
 )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracesieve.functions.patterns import compile_patterns, matches_any
 from tracesieve.operators import findings as fnd
 from tracesieve.operators import trajectories as tr
+from tracesieve.operators.joins import checkpoint_folder
 from tracesieve.plans import collect as col
 from tracesieve.plans import fixtures as fx
 from tracesieve.plans import oracle_sql as o
@@ -26,7 +27,7 @@ from tracesieve.streaming.collect_stream import stream_collect, streamed_manifes
 
 def scratch(spark) -> str:
     """A new folder name for one run."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracesieve-")
+    base = checkpoint_folder(spark) or tempfile.mkdtemp(prefix="tracesieve-")
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
