@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracesieve.functions.detectors import detector_info
+from tracesieve.functions.detectors import any_may_match, detector_info
 from tracesieve.functions.text import (
     basename,
     mask_secret,
@@ -303,10 +303,10 @@ def finding_details(findings: DataFrame) -> DataFrame:
 def residual_scan(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
     """Findings of the built-in detectors in (redacted) texts, with line numbers.
 
-    No detector can match across a line break, so lines are scanned on their own: a huge
-    text spreads over as many small rows and its lines need no positions.
+    No detector can match across a line break, so lines are scanned on their own and need no
+    positions. Texts that cannot match, nearly all once redacted, are not split at all.
     """
-    lines = texts.select(
+    lines = texts.where(any_may_match(text)).select(
         F.col(file).alias("file"), F.posexplode(F.split(F.col(text), "\n")).alias("_at", "_line")
     )
     hits = lines.select("file", "_at", once(scan_text(F.col("_line"))["hits"]).alias("_hits"))

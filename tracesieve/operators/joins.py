@@ -9,22 +9,21 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and about how many bytes they take. Every task adds up its own rows;
+    two numbers reach the driver."""
+    width = F.lit(0)
+    for name in df.columns:
+        width = width + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + 16
+    sums = df.select(width.cast("bigint").alias("w")).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0)))
+    return tuple(sums.first())
+
+
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Measure ``df`` up to the limit: both its rows and their bytes as JSON text.
-
-    Reading stops just above ``max_rows``; nothing but two numbers reaches the driver.
-    """
-    if not df.columns:
-        return True
-    measured = (
-        df.limit(max_rows + 1)
-        .select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("b"))
-        .agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
-        .first()
-    )
-    return measured["n"] <= max_rows and measured["b"] <= max_bytes
+    rows, size = measure(df)
+    return rows <= max_rows and size <= max_bytes
 
 
 def salted_join(

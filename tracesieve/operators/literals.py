@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracesieve.functions.detectors import DETECTORS
 from tracesieve.functions.text import count_occurrences, once, placeholder, trimmed
-from tracesieve.operators.joins import cut_lineage, fits_broadcast
+from tracesieve.operators.joins import cut_lineage, fits_broadcast, measure
 from tracesieve.operators.literal_search import PRESENT_TYPE, find_literals, literal_candidates
 
 SECRET_COLUMNS = ["name", "value", "replacement"]
@@ -159,10 +159,11 @@ def attach_present(
     ``keys`` must identify the rows of ``df``. The result is the same.
     """
     secrets = secrets.select("value", "replacement")
-    if fits_broadcast(secrets, inline, SHARED_BYTES):
+    rows, size = measure(secrets)
+    if rows <= inline and size <= SHARED_BYTES:
         held = df.withColumn("_all", as_array(secrets))
         return held.withColumn(out, present(F.col(text), F.col("_all"))).drop("_all")
-    if fits_broadcast(secrets, shared, SHARED_BYTES):
+    if rows <= shared and size <= SHARED_BYTES:
         return df.withColumn(out, find_literals(F.col(text), secrets))
     candidates = literal_candidates(df, text, secrets, list(keys), "_candidates")
     if fits_broadcast(candidates):

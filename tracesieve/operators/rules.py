@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.functions.patterns import matches_any
-from tracesieve.operators.joins import sized_join
+from tracesieve.operators.joins import fits_broadcast, sized_join
 
 KEY = ["source_dir", "filename"]
 
@@ -67,10 +67,13 @@ def mark_unchanged(
     With ``rules_hash``, manifest rows made under other rules do not count, so a new secret
     or deny pattern causes everything to be redacted again. (The reference compares the
     source only and needs a manual force.) ``hashed`` should be narrow: a manifest grows
-    with the sessions and this join may shuffle.
+    with the sessions and this join may shuffle. Its keys are unique on both sides, so no
+    task gets more than its share.
     """
     seen = comparable(prev, rules_hash).withColumn(flag, F.lit(True))
-    joined = sized_join(hashed, seen, [*KEY, "source_hash"], "left", ["source_hash"], small)
+    if fits_broadcast(seen) if small is None else small:
+        seen = F.broadcast(seen)
+    joined = hashed.join(seen, [*KEY, "source_hash"], "left")
     return joined.select(*hashed.columns, F.coalesce(flag, F.lit(False)).alias(flag))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracesieve.functions.text import once
 from tracesieve.operators import trajectories as tr
 from tracesieve.plans import fixtures as fx
 from tracesieve.plans import oracle_sql as o
@@ -12,9 +13,9 @@ from tracesieve.plans.registry import query
 KEYS = ["conv_id", "segment"]
 STEP_KEYS = [*KEYS, "step_index"]
 
-# A turn belongs to the segment of 64 turns it falls in, so that a session row has a bounded
-# number of steps even when one conversation holds a large share of all turns.
-SEGMENT = 64
+# Every turn is a session of its own with this many lines, so that no session grows with the
+# length of a conversation. Line i of turn n counts as turn 4 n + i below.
+LINES = 4
 
 # One turn as a JSON line. Some are lines with a source, some wrap one step in ``steps``,
 # some are neither; names, ids, results and metrics are missing now and then.
@@ -36,20 +37,14 @@ _LINE = f"""CASE WHEN turn % 8 = 6 THEN '{{"note": "no step"}}'
 
 
 def _segments(spark, sf_dir):
-    """Conversations as collected JSON-lines sessions."""
-    turns = fx.table(spark, sf_dir, "conversations").withColumn(
-        "js", fx.json_string(F.col("text"))
-    )
-    lines = turns.select(
+    """Conversation turns as collected JSON-lines sessions."""
+    turns = fx.table(spark, sf_dir, "conversations").select(
         "conv_id",
-        F.floor(F.col("turn") / SEGMENT).alias("segment"),
-        "turn",
-        F.expr(_LINE).alias("line"),
-    )
-    grouped = lines.groupBy(*KEYS).agg(
-        F.sort_array(F.collect_list(F.struct("turn", "line"))).alias("l")
+        F.col("turn").alias("segment"),
+        "role",
+        "text",
+        once(fx.json_string(F.col("text"))).alias("js"),
     )
-    body = F.array_join(F.transform("l", lambda x: x["line"]), ",")
     head = F.expr(
         """'{"schema_version": "v' || conv_id % 3 || '", "session_id": "' ||
         CASE WHEN conv_id % 4 = 0 THEN '' ELSE 's' || conv_id END || '"' ||
@@ -57,8 +52,11 @@ def _segments(spark, sf_dir):
           WHEN 1 THEN ', "agent": {"name": "coder"}' ELSE '' END ||
         CASE WHEN conv_id % 2 = 0 THEN ', "final_metrics": {"prompt_tokens": ' || conv_id || ', "cost_usd": 0.12346}' ELSE '' END"""
     )
-    content = F.concat(head, F.lit(', "lines": ['), body, F.lit("]}"))
-    return tr.parse_trajectory(grouped.select(*KEYS, content.alias("redacted")))
+    lines = F.expr(
+        f"transform(sequence(segment * {LINES}, segment * {LINES} + {LINES - 1}), turn -> {_LINE})"
+    )
+    content = F.concat(head, F.lit(', "lines": ['), F.array_join(lines, ","), F.lit("]}"))
+    return tr.parse_trajectory(turns.select(*KEYS, once(content).alias("redacted")))
 
 
 def _steps(spark, sf_dir):
@@ -66,11 +64,11 @@ def _steps(spark, sf_dir):
 
 
 # The expected steps come straight from the turns, not from the JSON.
-_T = """t AS (SELECT conv_id, turn // 64 AS segment, turn, role, text, length(text) AS n,
-      CASE WHEN turn % 6 = 5 THEN 'Sub-Agent' ELSE role END AS source,
-      row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn) AS place FROM conversations),
+_T = """t AS (SELECT conv_id, turn AS segment, turn * 4 + i AS turn, i + 1 AS place, role, text, length(text) AS n,
+      CASE WHEN (turn * 4 + i) % 6 = 5 THEN 'Sub-Agent' ELSE role END AS source
+      FROM conversations, (SELECT unnest([0, 1, 2, 3]) AS i)),
     s AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn) - 1 AS BIGINT) AS step_index,
-      CAST(CASE WHEN turn % 8 = 3 THEN 100 + turn WHEN turn % 8 = 4 THEN turn ELSE place END AS BIGINT) AS step_id
+      CAST(CASE WHEN turn % 8 = 3 THEN 100 + turn WHEN turn % 8 = 4 AND turn > 0 THEN turn ELSE place END AS BIGINT) AS step_id
       FROM t WHERE turn % 8 <> 6)"""
 
 
@@ -86,7 +84,7 @@ def trajectory_steps(spark, sf_dir):
 
 @query(
     "session_info",
-    """SELECT DISTINCT conv_id, turn // 64 AS segment, 'v' || conv_id % 3 AS schema_version,
+    """SELECT conv_id, turn AS segment, 'v' || conv_id % 3 AS schema_version,
       CASE WHEN conv_id % 4 = 0 THEN '—' ELSE 's' || conv_id END AS session,
       CASE conv_id % 3 WHEN 0 THEN 'coder v' || conv_id WHEN 1 THEN 'coder v' ELSE '— v' END AS agent,
       CASE conv_id % 3 WHEN 0 THEN 'm1' ELSE '—' END AS model FROM conversations""",
@@ -142,7 +140,7 @@ def step_metrics(spark, sf_dir):
 
 @query(
     "final_metrics",
-    """SELECT DISTINCT conv_id, turn // 64 AS segment, conv_id AS prompt_tokens, CAST(NULL AS BIGINT) AS completion_tokens,
+    """SELECT conv_id, turn AS segment, conv_id AS prompt_tokens, CAST(NULL AS BIGINT) AS completion_tokens,
       CAST(NULL AS BIGINT) AS cached_tokens, CAST(NULL AS BIGINT) AS total_tokens, CAST(0.12346 AS DOUBLE) AS cost_usd,
       '$0.1235' AS cost_text FROM conversations WHERE conv_id % 2 = 0""",
 )

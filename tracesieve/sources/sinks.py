@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.operators.findings import scan_totals
-from tracesieve.operators.joins import keep_keys
+from tracesieve.operators.joins import cut_lineage, keep_keys
 from tracesieve.operators.publishing import record_uploads, upload_plan
 from tracesieve.operators.rules import KEY
 from tracesieve.sources.lists import PUBLISH_LOG_SCHEMA, path_exists
@@ -71,7 +71,7 @@ def publish_dataset(
     spark = redacted.sparkSession
     log, version = read_publish_log(spark, log_path)
     sizes = redacted.select(*KEY, "size_bytes")
-    plan = upload_plan(sizes, reject, log)
+    plan = cut_lineage(upload_plan(sizes, reject, log))
     if dry_run:
         return plan
     pending = plan.where("status = 'pending'").select(*KEY)
