@@ -108,9 +108,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, source_dir, filename, text`` with planted secrets."""
+    """``doc_id, lang, source_dir, filename, text`` with planted secrets."""
     return documents(spark, sf_dir).selectExpr(
         "doc_id",
+        "lang",
         "source AS source_dir",
         f"{FILENAME} AS filename",
         f"explode(array({PLANTED_TEXT})) AS text",
@@ -142,7 +143,8 @@ def json_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         ELSE '{"doc_id": ' || doc_id || ', "messages": [{"role": "user", "text": ' || _t || '}]}'
         END"""
     )
-    return docs.select("doc_id", "source_dir", "filename", "text", once(content).alias("content"))
+    kept = ["doc_id", "lang", "source_dir", "filename", "text"]
+    return docs.select(*kept, once(content).alias("content"))
 
 
 def token_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,11 +163,11 @@ def reject_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def previous_manifest(sessions: DataFrame) -> DataFrame:
-    """Every third session was collected before; half of those have changed since."""
-    return sessions.where("doc_id % 3 = 0").selectExpr(
+    """The English and French sessions were collected before; the French ones have changed."""
+    return sessions.where("lang IN ('en', 'fr')").selectExpr(
         "source_dir",
         "filename",
-        "CASE WHEN doc_id % 6 = 0 THEN sha2(content || ' ', 256) ELSE sha2(content, 256) END"
+        "CASE WHEN lang = 'fr' THEN sha2(content || ' ', 256) ELSE sha2(content, 256) END"
         " AS source_hash",
     )
 
@@ -176,9 +178,9 @@ def scanner_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per customer: those with an even key below the user ids were scanned, and
-    more that have no findings."""
-    return table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").selectExpr(
+    """One file per customer outside one market segment; the findings in the other files
+    have no scanned source."""
+    return table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").selectExpr(
         "'/data/redacted/user_' || CAST(c_custkey AS STRING) || '.json' AS file",
         "c_name AS content",
     )

@@ -6,7 +6,7 @@ from tracesieve.functions.detectors import DETECTORS
 from tracesieve.plans.fixtures import FILENAME, PLANTED_TEXT, SCAN_LINE, TOKEN
 
 PLANTED = (
-    f"planted AS (SELECT doc_id, source AS source_dir, {FILENAME} AS filename, "
+    f"planted AS (SELECT doc_id, lang, source AS source_dir, {FILENAME} AS filename, "
     f"{PLANTED_TEXT} AS text FROM documents)"
 )
 REJECT = f"reject AS (SELECT DISTINCT {FILENAME} AS filename FROM labels WHERE toxic = 1)"
@@ -92,7 +92,7 @@ DEDUPED = "deduped AS (SELECT DISTINCT replace(file, '/./', '/') AS file, detect
 
 FILES = (
     "files AS (SELECT '/data/redacted/user_' || CAST(c_custkey AS STRING) || '.json' AS file, "
-    "c_name AS content FROM customer WHERE c_custkey % 5 <> 0)"
+    "c_name AS content FROM customer WHERE c_mktsegment <> 'BUILDING')"
 )
 KNOWN = """known AS (SELECT DISTINCT replace(p.file, '/./', '/') AS file, detector, decoder, status, line, raw_sha256, masked
   FROM parsed p JOIN files f ON replace(p.file, '/./', '/') = f.file)"""

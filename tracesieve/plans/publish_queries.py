@@ -11,14 +11,14 @@ from tracesieve.plans.registry import query
 from tracesieve.sources.lists import image_assets
 
 _SIZED = f"""{o.PLANTED}, {o.REJECT},
-    sized AS (SELECT doc_id, source_dir, filename, CAST(strlen(text) AS BIGINT) AS size_bytes FROM planted),
-    log AS (SELECT source_dir, filename FROM planted WHERE doc_id % 4 = 0)"""
+    sized AS (SELECT lang, source_dir, filename, CAST(strlen(text) AS BIGINT) AS size_bytes FROM planted),
+    log AS (SELECT source_dir, filename FROM planted WHERE lang = 'de')"""
 
 
 def _sized(spark, sf_dir):
     docs = fx.planted(spark, sf_dir)
     return docs.select(
-        "doc_id",
+        "lang",
         "source_dir",
         "filename",
         F.octet_length("text").cast("bigint").alias("size_bytes"),
@@ -26,7 +26,7 @@ def _sized(spark, sf_dir):
 
 
 def _log(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").where("doc_id % 4 = 0")
+    docs = fx.table(spark, sf_dir, "documents").where("lang = 'de'")
     return docs.selectExpr(
         "source AS source_dir",
         f"{fx.FILENAME} AS filename",
@@ -60,14 +60,14 @@ def publishable(spark, sf_dir):
 @query(
     "record_uploads",
     f"""WITH {_SIZED}, names AS (SELECT source_dir, filename, true AS before FROM log
-      UNION ALL SELECT source_dir, filename, false FROM sized WHERE doc_id % 8 = 3)
-    SELECT n.filename, before, CASE WHEN doc_id % 16 = 0 THEN 0 ELSE size_bytes END AS size_bytes
-    FROM names n JOIN sized USING (source_dir, filename)""",
+      UNION ALL SELECT source_dir, filename, false FROM sized WHERE lang = 'es')
+    SELECT n.filename, before, CASE WHEN s.source_dir LIKE '%1' THEN 0 ELSE size_bytes END AS size_bytes
+    FROM names n JOIN sized s USING (source_dir, filename)""",
 )
 def record_uploads(spark, sf_dir):
     sized = _sized(spark, sf_dir)
-    left = sized.where("doc_id % 16 <> 0")
-    log = pub.record_uploads(_log(spark, sf_dir), sized.where("doc_id % 8 = 3"), left)
+    left = sized.where("source_dir NOT LIKE '%1'")
+    log = pub.record_uploads(_log(spark, sf_dir), sized.where("lang = 'es'"), left)
     return log.select(
         "filename", (F.unix_micros("uploaded_at") == 1700000000000000).alias("before"), "size_bytes"
     )

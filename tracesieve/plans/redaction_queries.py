@@ -222,17 +222,17 @@ def redact_key_value(spark, sf_dir):
 
 @query(
     "re_redact",
-    f"""WITH found AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[a-z]{{14,}}')) AS v FROM documents WHERE doc_id % 2 = 0),
+    f"""WITH found AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[a-z]{{14,}}')) AS v FROM documents),
     lists AS (SELECT doc_id, list({{'v': v, 'r': '[REDACTED:' || left(sha256(v), 8) || ']'}} ORDER BY length(v) DESC, v) AS secrets
       FROM found GROUP BY doc_id)
     SELECT d.doc_id, sha256(CASE WHEN secrets IS NULL THEN text ELSE {_FOLD} END) AS redacted_sha
     FROM documents d LEFT JOIN lists l USING (doc_id)""",
 )
 def re_redact(spark, sf_dir):
-    """Long words stand in for the raw secrets a scanner found in every other document."""
+    """Long words stand in for the raw secrets a scanner found."""
     docs = fx.plain(spark, sf_dir)
     words = F.regexp_extract_all("text", F.lit("[a-z]{14,}"), F.lit(0))
-    raw = docs.where("doc_id % 2 = 0").select("doc_id", F.explode(words).alias("raw"))
+    raw = docs.select("doc_id", F.explode(words).alias("raw"))
     done = lit.re_redact(docs, raw, text="text", keys=KEYS)
     return done.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha"))
 

@@ -31,7 +31,7 @@ _COMPACT = """CASE
 _TWICE = "(doc_id % 14 <> 6 AND doc_id % 14 <> 13 AND doc_id % 7 <> 5 AND doc_id % 3 = 0)"
 SESSIONS = f"""{o.PLANTED},
     escaped AS (SELECT *, CAST(to_json(text) AS VARCHAR) AS js FROM planted),
-    sessions AS (SELECT doc_id, source_dir, filename, text, {_JSON} AS content,
+    sessions AS (SELECT doc_id, lang, source_dir, filename, text, {_JSON} AS content,
       {_COMPACT.format(js="js")} AS compact FROM escaped)"""
 
 
@@ -224,8 +224,8 @@ def deny_by_content(spark, sf_dir):
 
 
 _PREV = """prev AS (SELECT source_dir, filename,
-      CASE WHEN doc_id % 6 = 0 THEN sha256(content || ' ') ELSE sha256(content) END AS source_hash
-    FROM sessions WHERE doc_id % 3 = 0)"""
+      CASE WHEN lang = 'fr' THEN sha256(content || ' ') ELSE sha256(content) END AS source_hash
+    FROM sessions WHERE lang IN ('en', 'fr'))"""
 
 
 @query(
@@ -422,7 +422,7 @@ _OLD = """SELECT 'clerk' AS source_dir, 'order_' || CAST(o_orderkey AS STRING) |
     md5(o_orderstatus) AS source_hash, CAST(o_custkey AS BIGINT) AS size_bytes, o_orderdate AS created_at FROM orders"""
 _NEW = """SELECT 'clerk' AS source_dir, 'order_' || CAST(l_orderkey * 2 AS STRING) || '.json' AS filename,
     md5(l_returnflag) AS source_hash, CAST(l_partkey AS BIGINT) AS size_bytes, l_shipdate AS created_at
-    FROM lineitem WHERE l_linenumber = 1"""
+    FROM lineitem"""
 
 
 def _manifests(spark, sf_dir):
@@ -489,10 +489,9 @@ def add_rejected(spark, sf_dir):
 @query(
     "remove_rejected",
     f"""WITH {o.REJECT} SELECT filename FROM reject EXCEPT
-    SELECT regexp_extract({_PATHS}, '[^/]+$', 0) FROM lineitem WHERE l_orderkey % 3 = 0""",
+    SELECT 'doc_' || l_orderkey || '.json' FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.05""",
 )
 def remove_rejected(spark, sf_dir):
-    names = fx.table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
-    return man.remove_rejected(
-        fx.reject_list(spark, sf_dir), names.selectExpr(f"{_PATHS} AS filename")
-    )
+    lines = fx.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_discount > 0.05")
+    names = lines.selectExpr("'red/doc_' || CAST(l_orderkey AS STRING) || '.json' AS filename")
+    return man.remove_rejected(fx.reject_list(spark, sf_dir), names)

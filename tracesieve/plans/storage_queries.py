@@ -104,7 +104,7 @@ def line_set_round_trip(spark, sf_dir):
     path = scratch(spark)
     names = fx.reject_list(spark, sf_dir)
     padded = names.union(names.select(F.concat(F.lit("  "), "filename", F.lit(" "))))
-    lists.write_line_set(padded.union(names.limit(1).select(F.lit("   "))), path)
+    lists.write_line_set(padded.union(names.select(F.lit("   "))), path)
     return lists.read_line_set(spark, path)
 
 
@@ -126,7 +126,7 @@ def patterns(spark, sf_dir):
 @query(
     "manifest_round_trip",
     """SELECT 'order_' || o_orderkey || '.json' AS filename, sha256(o_orderstatus) AS source_hash, o_custkey AS size_bytes,
-      CAST((SELECT count(*) FROM customer WHERE c_custkey % 7 = 0) AS BIGINT) AS malformed FROM orders""",
+      CAST((SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS BIGINT) AS malformed FROM orders""",
 )
 def manifest_round_trip(spark, sf_dir):
     """A manifest with torn lines between the good ones."""
@@ -141,7 +141,7 @@ def manifest_round_trip(spark, sf_dir):
             )
         ).alias("value")
     )
-    torn = fx.table(spark, sf_dir, "customer").where("c_custkey % 7 = 0")
+    torn = fx.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
     good.union(torn.select(F.concat(F.lit('{"filename": "'), "c_name"))).write.text(path)
     manifest = lists.read_manifest(spark, path)
     return manifest.rows.select(
@@ -220,15 +220,15 @@ def publish_round_trip(spark, sf_dir):
     """Two runs: the second finds new sessions only."""
     path = scratch(spark)
     docs = fx.planted(spark, sf_dir).select(
-        "doc_id",
+        "lang",
         "source_dir",
         "filename",
         F.col("text").alias("content"),
         F.octet_length("text").cast("bigint").alias("size_bytes"),
     )
     reject = fx.reject_list(spark, sf_dir)
-    for part in (docs.where("doc_id % 3 = 0"), docs):
-        sinks.publish_dataset(part.drop("doc_id"), reject, f"{path}/log", f"{path}/data")
+    for part in (docs.where("lang = 'en'"), docs):
+        sinks.publish_dataset(part.drop("lang"), reject, f"{path}/log", f"{path}/data")
     log, _ = sinks.read_publish_log(spark, f"{path}/log")
     data = spark.read.parquet(f"{path}/data")
     copies = data.groupBy("source_dir", "filename", F.sha2("content", 256).alias("content_sha"))

@@ -200,16 +200,16 @@ def session_listing(spark, sf_dir):
 
 @query(
     "report_for",
-    """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'scan' ELSE 'redaction' END AS kind,
-      CASE WHEN o_orderkey % 3 = 0 THEN '{"customer":' || o_custkey || '}' ELSE '{"status":"' || o_orderstatus || '"}' END AS report
-    FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0""",
+    """SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'scan' ELSE 'redaction' END AS kind,
+      CASE WHEN o_orderstatus = 'F' THEN '{"customer":' || o_custkey || '}' ELSE '{"status":"' || o_orderstatus || '"}' END AS report
+    FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority < '3'""",
 )
 def report_for(spark, sf_dir):
     names = fx.table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "k")
-    scan = names.where("k % 3 = 0").select(
+    scan = names.where("o_orderstatus = 'F'").select(
         "k", F.to_json(F.struct(F.col("o_custkey").alias("customer"))).alias("report")
     )
-    redaction = names.where("k % 2 = 0").select(
+    redaction = names.where("o_orderpriority < '3'").select(
         "k", F.to_json(F.struct(F.col("o_orderstatus").alias("status"))).alias("report")
     )
     return tr.report_for(names, scan, redaction, ["k"])
