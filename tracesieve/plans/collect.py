@@ -110,7 +110,7 @@ def _process(
     df = with_parsed(decided, text, [*base, "outcome"])
     outcome = F.coalesce(
         F.col("outcome"),
-        F.when(~F.col("_ok"), F.lit("failed")),
+        F.when(~F.coalesce(F.col("_ok"), F.lit(False)), F.lit("failed")),
         F.when(denied_by_content(F.col("_compact"), deny), F.lit("rejected")),
         F.lit("collected"),
     )
@@ -126,7 +126,7 @@ def _process(
     return df.select(
         *base,
         "outcome",
-        F.when(F.col("outcome") == "failed", F.lit("neither JSON nor JSON lines")).alias("error"),
+        F.when(F.col("outcome") == "failed", F.lit("neither JSON nor JSON lines, or too large")).alias("error"),
         "redacted",
         hashing.redacted_hash(text).alias("redacted_hash"),
         F.when(

@@ -229,7 +229,7 @@ def publish_round_trip(spark, sf_dir):
     reject = fx.reject_list(spark, sf_dir)
     for part in (docs.where("lang = 'en'"), docs):
         sinks.publish_dataset(part.drop("lang"), reject, f"{path}/log", f"{path}/data")
-    log, _ = sinks.read_publish_log(spark, f"{path}/log")
+    log = sinks.read_publish_log(spark, f"{path}/log")
     data = spark.read.parquet(f"{path}/data")
     copies = data.groupBy("source_dir", "filename", F.sha2("content", 256).alias("content_sha"))
     counted = copies.agg(F.count("*").alias("copies"))

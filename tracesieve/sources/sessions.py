@@ -15,6 +15,8 @@ from tracesieve.functions.text import once
 from tracesieve.operators.findings import strict_json
 
 SESSION_FILES = "*.{json,jsonl}"
+# A session is one row; beyond this size neither rows nor Arrow batches can hold its copies.
+MAX_BYTES = 1 << 30
 SESSION_SCHEMA = (
     "source_dir STRING, filename STRING, content STRING, size BIGINT, modified TIMESTAMP"
 )
@@ -45,19 +47,25 @@ def shape_files(files: DataFrame) -> DataFrame:
 
 
 def read_sessions(
-    spark: SparkSession, paths: str | Iterable[str], deny_names: Iterable[str] = ()
+    spark: SparkSession,
+    paths: str | Iterable[str],
+    deny_names: Iterable[str] = (),
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """One row per ``.json`` or ``.jsonl`` file; names starting with a dot or an underscore
     are hidden, as everywhere in Spark. Bytes that are not UTF-8 become U+FFFD.
 
     ``deny_names`` are constant patterns on the name: files they match are not opened.
+    Files over ``max_bytes`` are listed without content, and fail when collected.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = spark.read.format("binaryFile").option("pathGlobFilter", SESSION_FILES).load(paths)
     deny_names = list(deny_names)
     if deny_names:
         files = files.where(~matches_any(F.col("_metadata.file_name"), deny_names))
-    return shape_files(files)
+    size = F.col("length")
+    large = files.where(size > max_bytes).withColumn("content", F.lit(None).cast("binary"))
+    return shape_files(files.where(size <= max_bytes).unionByName(large))
 
 
 def read_session_dirs(

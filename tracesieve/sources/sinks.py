@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesieve.operators.findings import scan_totals
@@ -61,15 +61,13 @@ def publish_dataset(
     dataset_path: str,
     dry_run: bool = False,
 ) -> DataFrame:
-    """Append the pending sessions to the dataset, then write the new log beside the old.
+    """Append the pending sessions to the dataset, then their entries to the log.
 
     ``redacted`` has keys, ``content`` and ``size_bytes``. Returns the plan with ``status``.
-    The log is a series of versions ``log_path/v=<n>``; readers use the last complete one,
-    so a run that dies between the two writes publishes a session twice at worst and never
-    loses one.
+    A run that dies between the two writes publishes sessions twice at worst; it never
+    records one that is not there.
     """
-    spark = redacted.sparkSession
-    log, version = read_publish_log(spark, log_path)
+    log = read_publish_log(redacted.sparkSession, log_path)
     sizes = redacted.select(*KEY, "size_bytes")
     plan = cut_lineage(upload_plan(sizes, reject, log))
     if dry_run:
@@ -78,17 +76,12 @@ def publish_dataset(
     keep_keys(redacted, pending, KEY).write.mode("append").option(
         "maxRecordsPerFile", MAX_RECORDS
     ).parquet(dataset_path)
-    record_uploads(log, pending, sizes).write.mode("errorifexists").parquet(
-        f"{log_path}/v={version + 1}"
-    )
+    record_uploads(log.limit(0), pending, sizes).write.mode("append").parquet(log_path)
     return plan
 
 
-def read_publish_log(spark, log_path: str) -> tuple[DataFrame, int]:
-    """Latest version of the publish log and its number; empty and 0 when there is none."""
-    version = 0
-    while path_exists(spark, f"{log_path}/v={version + 1}/_SUCCESS"):
-        version += 1
-    if version == 0:
-        return spark.createDataFrame([], PUBLISH_LOG_SCHEMA), 0
-    return spark.read.schema(PUBLISH_LOG_SCHEMA).parquet(f"{log_path}/v={version}"), version
+def read_publish_log(spark: SparkSession, log_path: str) -> DataFrame:
+    """The publish log; empty before the first run."""
+    if not path_exists(spark, log_path):
+        return spark.createDataFrame([], PUBLISH_LOG_SCHEMA)
+    return spark.read.schema(PUBLISH_LOG_SCHEMA).parquet(log_path)
