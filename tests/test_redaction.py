@@ -217,3 +217,14 @@ def test_re_redact_in_bands(spark):
     expected, _ = brute(texts[0][2], [w for _, _, w in raw])
     assert results[0][0] == ("d", "a", expected)
     assert results[0][1] == ("d", "b", "one")
+
+
+@pytest.mark.parametrize("bounds", [{"inline": 0}, {"inline": 0, "shared": 0}])
+def test_secrets_that_share_a_long_beginning(spark, bounds):
+    head = "-----BEGIN KEY-----" * 5
+    values = [f"{head}{i:04d}" for i in range(400)] + [head[:70]]
+    texts = [f"x {values[7]} {values[300]} y", f"only {head[:80]}", "none", values[-1][:-1]]
+    secrets = secrets_of(spark, values)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    done = lit.redact_literals(df, secrets, keys=["id"], **bounds).orderBy("id").collect()
+    assert [r["redacted"] for r in done] == [brute(t, values)[0] for t in texts]

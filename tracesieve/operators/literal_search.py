@@ -6,13 +6,14 @@ anchors, and only the few windows that are in it are looked at again.
 
 * :func:`find_literals` - the secrets fit a checked bound. Tasks hold them and compare the
   bytes at each probable place; nothing is shuffled.
-* :func:`literal_candidates` - any number of secrets. Tasks hold only the bitmap (16 MB at
-  most); probable places join the secrets by hash and the caller checks each candidate
-  against the text, so the answer is exact whatever the hashes do.
+* :func:`literal_candidates` - any number of secrets. Tasks hold only two bitmaps (16 MB each
+  at most); what they let through joins the secrets by hash and the caller checks each
+  candidate against the text, so the answer is exact whatever the hashes do.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
 
 import numpy as np
@@ -21,7 +22,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracesieve.operators.joins import salted_join
+from tracesieve.functions.text import once
+from tracesieve.operators.joins import cut_lineage, salted_join
 
 # The helpers below travel to the Python workers by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -91,18 +93,26 @@ def bitmap_bits(n: int) -> int:
     return bits
 
 
+def row_offsets(texts: pa.Array) -> np.ndarray:
+    """Byte offsets of the rows in the data buffer, one more than there are rows."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], dtype=kind)
+    return offsets[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+
+
+def row_ends(texts: pa.Array) -> list[int]:
+    return row_offsets(texts)[1:].tolist()
+
+
 def probable_places(texts: pa.Array, table: np.ndarray, widths):
     """Yield ``(rows, places, width, hashes)`` of windows whose anchor is in the bitmap.
 
     Works on the Arrow buffer itself, a slice at a time, so that memory stays bounded even
     for very long texts. ``places`` are byte offsets into the buffer.
     """
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)
-    if pa.types.is_large_string(texts.type):
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)
-    offsets = offsets[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     if texts.buffers()[2] is None or len(texts) == 0:
         return
+    offsets = row_offsets(texts)
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)
     shift = np.uint64(64 - ((len(table) * 32).bit_length() - 1))
     overlap = max(widths) - 1
@@ -130,94 +140,107 @@ def find_literals(text: Column, secrets: DataFrame) -> Column:
         ((r["value"], r["replacement"]) for r in secrets.select("value", "replacement").collect()),
         key=lambda r: (-len(r[0]), r[0]),
     )
-    raws = [value.encode("utf-8") for value, _ in rows]
-    by_anchor: dict[tuple[int, int], list[int]] = {}
-    for i, raw in enumerate(raws):
+    index = {value.encode("utf-8"): i for i, (value, _) in enumerate(rows)}
+    sizes: dict[tuple[int, int], set[int]] = {}
+    for raw in index:
         width, h = anchor(raw)
-        by_anchor.setdefault((width, int(h)), []).append(i)
-    widths = sorted({width for width, _ in by_anchor})
-    table = make_bitmap(
-        np.array([h for _, h in by_anchor], dtype=np.uint64), bitmap_bits(len(by_anchor))
-    )
-    shared = spark.sparkContext.broadcast((rows, raws, by_anchor, widths, table))
+        sizes.setdefault((width, int(h)), set()).add(len(raw))
+    widths = sorted({width for width, _ in sizes})
+    table = make_bitmap(np.array([h for _, h in sizes], dtype=np.uint64), bitmap_bits(len(sizes)))
+    shared = spark.sparkContext.broadcast((rows, index, sizes, widths, table))
 
     @F.arrow_udf(PRESENT_TYPE)
     def search(texts: pa.Array) -> pa.Array:
-        rows, raws, by_anchor, widths, table = shared.value
-        found: dict[int, set[int]] = {}
-        data = texts.buffers()[2]
-        if widths:
+        rows, index, sizes, widths, table = shared.value
+        found: list[set[int]] = [set() for _ in range(len(texts))]
+        if widths and len(texts):
+            data, ends = texts.buffers()[2], row_ends(texts)
             for at, places, width, hashes in probable_places(texts, table, widths):
                 for row, place, h in zip(at.tolist(), places.tolist(), hashes.tolist()):
-                    for i in by_anchor.get((width, h), ()):
-                        end = place + len(raws[i])
-                        if data[place:end].to_pybytes() == raws[i]:
-                            found.setdefault(row, set()).add((i, end))
-        ends = texts.buffers()[1]
-        step = 8 if pa.types.is_large_string(texts.type) else 4
-
-        def row_end(row):
-            at = (texts.offset + row + 1) * step
-            return int.from_bytes(ends[at : at + step].to_pybytes(), "little")
-
-        values = []
-        for row in range(len(texts)):
-            limit = row_end(row) if row in found else 0
-            kept = sorted({i for i, end in found.get(row, ()) if end <= limit})
-            values.append([{"value": rows[i][0], "replacement": rows[i][1]} for i in kept])
+                    for size in sizes.get((width, h), ()):
+                        end = place + size
+                        i = index.get(data[place:end].to_pybytes()) if end <= ends[row] else None
+                        if i is not None:
+                            found[row].add(i)
+        values = [
+            [{"value": rows[i][0], "replacement": rows[i][1]} for i in sorted(hits)] for hits in found
+        ]
         fields = pa.struct([("value", pa.string()), ("replacement", pa.string())])
         return pa.array(values, pa.list_(fields))
 
     return search(text)
 
 
+def full_hash(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
 def literal_candidates(
     df: DataFrame, text: str, secrets: DataFrame, keys: list[str], out: str
 ) -> DataFrame:
-    """``keys`` plus the array of secrets that may occur in the text; keys without any are
-    left out. The array is bounded by the text: each entry starts like some part of it."""
-
-    @F.arrow_udf("struct<width:int,anchor:bigint>")
-    def anchor_udf(values: pa.Array) -> pa.Array:
-        pairs = [anchor(v.encode("utf-8")) for v in values.to_pylist()]
-        return pa.StructArray.from_arrays(
-            [
-                pa.array([w for w, _ in pairs], pa.int32()),
-                pa.array(np.array([h for _, h in pairs], dtype=np.uint64).astype(np.int64)),
-            ],
-            ["width", "anchor"],
-        )
+    """``keys`` plus the array of secrets that occur in the text (hash for hash); keys
+    without any are left out.
 
-    anchored = secrets.select("value", "replacement", anchor_udf("value").alias("a")).select(
-        "value", "replacement", F.col("a.anchor").alias("anchor"), F.col("a.width").alias("width")
-    )
-    table, widths = _distributed_bitmap(anchored)
-    shared = df.sparkSession.sparkContext.broadcast((table, widths))
+    A probable place is taken further in the task: the bytes there, at every length that
+    secrets with such an anchor have, are hashed whole, and only whole hashes that a second
+    bitmap knows are joined. So secrets that share a long beginning do not multiply, and the
+    array of a text is no longer than what occurs in it.
+    """
+
+    @F.arrow_udf("struct<width:int,size:int,anchor:bigint,whole:bigint>")
+    def hashes_udf(values: pa.Array) -> pa.Array:
+        raws = [v.encode("utf-8") for v in values.to_pylist()]
+        pairs = [anchor(raw) for raw in raws]
+        columns = {
+            "width": pa.array([w for w, _ in pairs], pa.int32()),
+            "size": pa.array([len(raw) for raw in raws], pa.int32()),
+            "anchor": pa.array(np.array([h for _, h in pairs], dtype=np.uint64).astype(np.int64)),
+            "whole": pa.array([full_hash(raw) for raw in raws], pa.int64()),
+        }
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+    hashed = secrets.select("value", "replacement", hashes_udf("value").alias("h"))
+    hashed = cut_lineage(hashed.select("value", "replacement", "h.*"))
+    sizes: dict[int, list[int]] = {}
+    for row in hashed.select("width", "size").distinct().collect():
+        sizes.setdefault(row["width"], []).append(row["size"])
+    count = hashed.count()
+    anchors = _distributed_bitmap(hashed, "anchor", count)
+    wholes = _distributed_bitmap(hashed, "whole", count)
+    shared = df.sparkSession.sparkContext.broadcast((anchors, wholes, sizes))
 
     @F.arrow_udf("array<bigint>")
     def probe(texts: pa.Array) -> pa.Array:
-        table, widths = shared.value
+        anchors, wholes, sizes = shared.value
+        shift = 64 - ((len(wholes) * 32).bit_length() - 1)
         found: list[set[int]] = [set() for _ in range(len(texts))]
-        for at, _, _, hashes in probable_places(texts, table, widths):
-            for row, h in zip(at.tolist(), hashes.astype(np.int64).tolist()):
-                found[row].add(h)
+        data = texts.buffers()[2]
+        ends = row_ends(texts)
+        for rows, places, width, _ in probable_places(texts, anchors, sorted(sizes)):
+            for row, place in zip(rows.tolist(), places.tolist()):
+                for size in sizes[width]:
+                    if place + size <= ends[row]:
+                        h = full_hash(data[place : place + size].to_pybytes())
+                        slot = (h % (1 << 64)) >> shift
+                        if int(wholes[slot >> 5]) >> (slot & 31) & 1:
+                            found[row].add(h)
         return pa.array([list(f) for f in found], pa.list_(pa.int64()))
 
-    seen = df.select(*keys, probe(F.col(text)).alias("anchors")).select(
-        *keys, F.explode("anchors").alias("anchor")
+    seen = df.select(*keys, once(probe(F.col(text))).alias("_wholes")).select(
+        *keys, F.explode("_wholes").alias("whole")
     )
-    pairs = salted_join(seen, anchored.drop("width"), ["anchor"], spread=keys, how="inner")
+    known = hashed.select("value", "replacement", "whole")
+    pairs = salted_join(seen, known, ["whole"], spread=keys, how="inner")
     return pairs.groupBy(*keys).agg(F.collect_list(F.struct("value", "replacement")).alias(out))
 
 
-def _distributed_bitmap(anchored: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The bitmap as 32-bit words OR-ed together by Spark. Set words only reach the driver:
-    4 million at most, whatever the number of secrets."""
-    stats = anchored.agg(F.count("*").alias("n"), F.collect_set("width").alias("w")).first()
-    bits = bitmap_bits(stats["n"])
-    slot = F.shiftrightunsigned("anchor", 64 - (bits.bit_length() - 1))
+def _distributed_bitmap(hashed: DataFrame, column: str, count: int) -> np.ndarray:
+    """Bitmap of a hash column as 32-bit words OR-ed together by Spark. Set words only reach
+    the driver: 4 million at most, whatever the number of secrets."""
+    bits = bitmap_bits(count)
+    slot = F.shiftrightunsigned(column, 64 - (bits.bit_length() - 1))
     words = (
-        anchored.select(
+        hashed.select(
             F.shiftright(slot, 5).alias("word"),
             F.call_function(
                 "shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(31).cast("int")
@@ -229,4 +252,4 @@ def _distributed_bitmap(anchored: DataFrame) -> tuple[np.ndarray, list[int]]:
     )
     table = np.zeros(bits // 32, dtype=np.uint32)
     table[words["word"].to_numpy()] = words["bit"].to_numpy().astype(np.uint32)
-    return table, sorted(stats["w"])
+    return table
