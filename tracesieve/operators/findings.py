@@ -23,8 +23,6 @@ from tracesieve.operators.joins import sized_join
 from tracesieve.operators.manifest import add_rejected
 from tracesieve.operators.redaction import scan_text
 
-IDENTITY = ["file", "detector", "decoder", "status", "line", "raw_sha256", "masked"]
-
 # Fixed values.
 BLOCKING_REASON = "trufflehog-findings"
 TOP_DETECTORS = 8

@@ -31,9 +31,6 @@ DATA_URI = r"data:image/(\w+);base64,([A-Za-z0-9+/=]{100,})"
 
 
 _FINDING = "struct<detector:string,severity:string,replacement:string,count:bigint>"
-LEAF_RESULT = (
-    f"array<struct<leaf:int,path:string,text:string,findings:array<{_FINDING}>,image:boolean>>"
-)
 
 
 def json_leaves(df: DataFrame, content: str, keys: Sequence[str]) -> DataFrame:

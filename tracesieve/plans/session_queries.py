@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracesieve.functions.json_tree import parsed
+from tracesieve.functions.text import once
 from tracesieve.operators import hashing
 from tracesieve.operators import json_redaction as jr
 from tracesieve.operators import manifest as man
@@ -212,10 +214,8 @@ def deny_by_name(spark, sf_dir):
     FROM sessions WHERE compact IS NOT NULL""",
 )
 def deny_by_content(spark, sf_dir):
-    from tracesieve.functions.json_tree import parsed
-
     rows = fx.json_sessions(spark, sf_dir).select(
-        "filename", parsed(F.col("content")).alias("p")
+        "filename", once(parsed(F.col("content"))).alias("p")
     )
     deny = [fx.DENY_CONTENT, "sk-[0-9a-f]+", "track"]
     return rows.where("p.ok").select(

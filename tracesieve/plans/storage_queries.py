@@ -18,6 +18,7 @@ from tracesieve.operators.joins import checkpoint_folder
 from tracesieve.plans import collect as col
 from tracesieve.plans import fixtures as fx
 from tracesieve.plans import oracle_sql as o
+from tracesieve.plans import scan
 from tracesieve.plans.registry import query
 from tracesieve.plans.session_queries import SESSIONS, json_collect_ctes
 from tracesieve.sources import lists, sinks
@@ -167,11 +168,9 @@ def scanner_lines_round_trip(spark, sf_dir):
     FROM reports r LEFT JOIN known k ON k.file = r.file GROUP BY r.file, r.findings""",
 )
 def scan_reports_round_trip(spark, sf_dir):
-    from tracesieve.plans.scan import scan_lines
-
     path = scratch(spark)
-    scan = scan_lines(fx.scanned_files(spark, sf_dir), fx.scanner_lines(spark, sf_dir))
-    sinks.write_scan_reports(scan.reports, scan.findings, path, scan_seconds=1.0)
+    result = scan.scan_lines(fx.scanned_files(spark, sf_dir), fx.scanner_lines(spark, sf_dir))
+    sinks.write_scan_reports(result.reports, result.findings, path, scan_seconds=1.0)
     stored = spark.read.json(f"{path}/findings").groupBy("file").agg(F.count("*").alias("stored"))
     summary = spark.read.json(f"{path}/summary").select("total_findings")
     reports = spark.read.json(f"{path}/reports").select("file", "findings")
