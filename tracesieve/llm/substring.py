@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracesieve.llm.common import SLICE, id_and_text, map_batches, stored, text_key, utf8
+from tracesieve.llm.common import SLICE, id_and_text, map_batches, text_key, utf8, written
 
 WINDOW = 35
 GRAM = 18
@@ -196,7 +196,7 @@ def _suspects(sent, bits: int):
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = sent.value
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(4)]
         for k, a, _ in _anchored(batch.column(2)):
             if a is None:
                 continue
@@ -208,65 +208,63 @@ def _suspects(sent, bits: int):
             if not at.size:
                 continue
             own = a.window_keys()
-            first, count, offset = a.first[at], a.count[at], a.offset[at]
-            # A block is shorter than a window, so its first and last one cover all its words.
-            shape = (count.astype(np.uint64) << np.uint64(8)) | offset.astype(np.uint64)
-            head, tail = _mix(own[first] + shape), _mix(own[first + count - 1] * _P1 + shape)
+            first, count = a.first[at], a.count[at]
             keys = [own[f : f + c].tobytes() for f, c in zip(first.tolist(), count.tolist())]
-            for column, values in zip(out, ([k] * len(at), a.anchor[at], head, tail, first, keys)):
+            for column, values in zip(out, ([k] * len(at), a.anchor[at], first, keys)):
                 column.extend(values)
         rows_of = pa.array(out[0], pa.int64())
-        signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[1:4]]
-        columns = [batch.column(0).take(rows_of), batch.column(1).take(rows_of), *signed]
-        columns += [pa.array(np.array(out[4], np.int32)), pa.array(out[5], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "anchor", "b1", "b2", "first", "keys"])
+        anchors = pa.array(np.array(out[1], np.uint64).view(np.int64))
+        columns = [batch.column(0).take(rows_of), batch.column(1).take(rows_of), anchors]
+        columns += [pa.array(np.array(out[2], np.int32)), pa.array(out[3], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "anchor", "first", "keys"])
 
     return work
 
 
 def _explode_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
     """A row for every window of a block: its key and its place in the block."""
-    keys = [np.frombuffer(k, np.int64) for k in batch.column(3).to_pylist()]
+    keys = [np.frombuffer(k, np.int64) for k in batch.column(2).to_pylist()]
     sizes = [len(k) for k in keys]
     at = pa.array(np.repeat(np.arange(len(keys)), sizes))
     flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
     place = np.concatenate([np.arange(n) for n in sizes]) if keys else np.zeros(0)
-    columns = [*(batch.column(i).take(at) for i in (0, 1, 2)), pa.array(place.astype(np.int32))]
-    columns += [pa.array(flat), batch.column(4).take(at)]
-    return pa.RecordBatch.from_arrays(columns, ["anchor", "b1", "b2", "place", "window", "n"])
+    columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(place.astype(np.int32))]
+    columns += [pa.array(flat), batch.column(3).take(at)]
+    return pa.RecordBatch.from_arrays(columns, ["anchor", "block", "place", "window", "n"])
 
 
 def repeated_windows(docs: DataFrame, bits: int | None = None) -> DataFrame:
-    """(doc_id, tkey, starts): of each document the first words of its repeated windows, as rows of
-    (first window of a block, mask of its windows)."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch(docs, bits := bits or sketch_bits(docs)))
+    """(id_key, tkey, starts): of each document its blocks with repeated windows, as pairs of the
+    block's first window and the mask of those that repeat."""
+    bits = bits or sketch_bits(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(sketch(docs, bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    suspects = stored(
+    suspects = written(
         map_batches(
             docs.select("doc_id", "tkey", "text"), _suspects(sent, bits),
-            f"doc_id {kind}, tkey long, anchor long, b1 long, b2 long, first int, keys binary",
-        )
-    )
-    block = ["anchor", "b1", "b2"]
-    blocks = stored(suspects.groupBy(*block).agg(F.count("*").alias("n"), F.min("keys").alias("keys")))
+            f"doc_id {kind}, tkey long, anchor long, first int, keys binary",
+        ),
+        "suspects",
+    )
+    # A block is shorter than a window, so equal keys mean that all words of its windows are equal.
+    counted = suspects.groupBy("anchor", "keys").agg(F.count("*").alias("n"))
+    blocks = written(counted.select("anchor", F.xxhash64("keys").alias("block"), "keys", "n"), "blocks")
     # Anchors with one block only: repeated as a whole, or not at all.
-    variety = blocks.groupBy("anchor").agg(F.count("*").alias("blocks"))
-    several = variety.where("blocks > 1").select("anchor")
+    several = blocks.groupBy("anchor").agg(F.count("*").alias("blocks")).where("blocks > 1").select("anchor")
     every = F.expr("shiftleft(1, int(octet_length(keys) / 8)) - 1")
-    whole = blocks.where("n > 1").select(*block, every.alias("mask"))
+    whole = blocks.where("n > 1").select("anchor", "block", every.alias("mask"))
     mixed = map_batches(
-        blocks.join(several, "anchor", "left_semi").select(*block, "keys", "n"), _explode_keys,
-        "anchor long, b1 long, b2 long, place int, window long, n long",
+        blocks.join(several, "anchor", "left_semi").select("anchor", "block", "keys", "n"), _explode_keys,
+        "anchor long, block long, place int, window long, n long",
     )
-    mixed = stored(mixed)
     again = mixed.groupBy("anchor", "window").agg(F.sum("n").alias("total")).where("total > 1")
     parts = (
         mixed.where("n = 1").join(again, ["anchor", "window"])
-        .groupBy(*block).agg(F.bit_or(F.expr("shiftleft(1, place)")).alias("mask"))
+        .groupBy("anchor", "block").agg(F.bit_or(F.expr("shiftleft(1, place)")).alias("mask"))
     )
     masks = whole.unionByName(parts)
-    found = suspects.select("doc_id", "tkey", *block, "first").join(masks, block)
-    return found.groupBy(F.xxhash64("doc_id").alias("id_key"), "tkey").agg(
+    found = suspects.select("doc_id", "tkey", "anchor", F.xxhash64("keys").alias("block"), "first")
+    return found.join(masks, ["anchor", "block"]).groupBy(F.xxhash64("doc_id").alias("id_key"), "tkey").agg(
         F.collect_set(F.struct("first", "mask")).alias("starts")
     )
 
