@@ -172,3 +172,10 @@ def test_residual_scan_lines(spark):
         (4, "NPM_TOKEN", "npm_dddd***dddd"),
         (4, "NPM_TOKEN", "npm_dddd***dddd"),
     ]
+
+
+def test_paths_with_any_depth_of_parents(spark):
+    given = {"/" + "/".join("abcdefghijkl"[:n]) + "/.." * n + "/z": "/z" for n in range(1, 13)}
+    given |= {"/../r/x.json": "/r/x.json", "a/../../b": "../b", "file:///a//b/./c/": "/a/b/c", "/a/..": "/"}
+    rows = spark.createDataFrame([(p,) for p in given], "p string").select("p", normalize_path(F.col("p")).alias("q"))
+    assert {r.p: r.q for r in rows.collect()} == given

@@ -138,3 +138,34 @@ def test_stream(spark, tmp_path):
     manifest = streamed_manifest(spark, target)
     assert sorted(r["filename"] for r in manifest.collect()) == ["a.json", "b.json", "c.json"]
     assert "created_at" in manifest.columns
+
+
+def test_only_the_newest_copy_is_published(spark, tmp_path):
+    folder = str(tmp_path)
+    columns = "source_dir string, filename string, content string, redacted_hash string, size_bytes long, created_at timestamp"
+    old, new = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
+    copies = spark.createDataFrame(
+        [("d", "a", "pw hunter22", "h1", 11, None), ("d", "b", "fine", "h3", 4, None), ("d", "c", "late", "h4", 4, None), ("d", "e", "bad", "h5", 3, None)], columns
+    ).withColumn("created_at", F.lit(old).cast("timestamp"))
+    again = spark.createDataFrame([("d", "a", "pw [REDACTED]", "h2", 13, None)], columns)
+    redacted = copies.unionByName(again.withColumn("created_at", F.lit(new).cast("timestamp")))
+    keys = lambda *names: spark.createDataFrame([("d", n) for n in names] or [], "source_dir string, filename string")
+    reject = spark.createDataFrame([], "filename string")
+    for _ in range(2):
+        sinks.publish_dataset(redacted, reject, f"{folder}/log", f"{folder}/data", denied=keys("c"), blocked=keys("e"))
+    published = spark.read.parquet(f"{folder}/data")
+    assert sorted((r.filename, r.content) for r in published.collect()) == [("a", "pw [REDACTED]"), ("b", "fine")]
+    assert spark.read.parquet(f"{folder}/log").count() == 2
+
+
+def test_a_fault_is_not_an_empty_log(spark, monkeypatch):
+    from pyspark.errors import AnalysisException
+
+    from tracesieve.sources.lists import path_exists
+
+    def refused(*_, **__):
+        raise AnalysisException(errorClass="UNSUPPORTED_OPERATION", messageParameters={"operation": "read"})
+
+    monkeypatch.setattr(type(spark.read), "load", refused)
+    with pytest.raises(AnalysisException):
+        path_exists(spark, "/nowhere")

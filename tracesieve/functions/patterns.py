@@ -41,12 +41,12 @@ def matches_any(text: Column, patterns: Iterable[str]) -> Column:
     """True when any regex is found in ``text``.
 
     Plain patterns share one alternation, so the text is decoded and scanned once. Those
-    with group references or inline flags would change meaning inside it and stay apart.
+    with group references, named groups, quoting or inline flags would change meaning inside it and stay apart.
     """
     patterns = list(patterns)
     if not patterns:
         return F.lit(False)
-    apart = [p for p in patterns if re.search(r"\\[1-9k]|\(\?[^:=!<]", p)]
+    apart = [p for p in patterns if re.search(r"\\[1-9kQE]|\(\?[^:=!]", p)]
     together = [p for p in patterns if p not in apart]
     tests = [text.rlike(p) for p in apart]
     if together:

@@ -80,8 +80,8 @@ def basename(path: Column) -> Column:
 def normalize_path(path: Column) -> Column:
     """Drop a scheme, ``.`` parts, doubled slashes, ``x/..`` pairs and a trailing slash.
 
-    Three rounds of ``x/..`` removal cover the nesting scanners emit. Plain paths, nearly
-    all of them, are only tested.
+    ``..`` at the root of an absolute path vanishes, at the beginning of a relative one it
+    stays. Plain paths, nearly all of them, are only tested.
     """
     plain = ~path.rlike(r"^file:|^\./|/\.|//|\.\.|./$")
     return F.when(plain, path).otherwise(_normalized(path))
@@ -89,12 +89,22 @@ def normalize_path(path: Column) -> Column:
 
 def _normalized(path: Column) -> Column:
     p = F.regexp_replace(path, r"^file:(//)?(?=/)", "")
-    p = F.regexp_replace(p, r"/(\./)+", "/")
-    p = F.regexp_replace(p, r"/{2,}", "/")
-    p = F.regexp_replace(p, r"^(\./)+", "")
-    for _ in range(3):
-        p = F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\.(/|$)", "$1")
-    return F.when(p == "/", p).otherwise(F.regexp_replace(p, r"/+$", ""))
+    absolute = p.startswith("/")
+
+    def step(done: Column, part: Column) -> Column:
+        climbs = (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+        up = (
+            F.when(climbs, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+            .when(absolute, done)
+            .otherwise(F.array_append(done, part))
+        )
+        return (
+            F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.array_append(done, part))
+        )
+
+    start = F.array().cast("array<string>")
+    parts = F.aggregate(F.split(p, "/", -1), start, step)
+    return F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
 
 
 def kilobytes(size: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Store ``df`` in the checkpoint folder, if there is one. It is then computed once and
     survives the loss of executors.
 
-    Without a folder the plan is returned as it is and simply computed again where needed.
+    Without a folder the plan is returned as it is and computed again where needed, with a warning.
     """
-    return df.checkpoint() if checkpoint_folder(df.sparkSession) else df
+    if checkpoint_folder(df.sparkSession):
+        return df.checkpoint()
+    warnings.warn("spark.checkpoint.dir is not set: results are computed again where used", stacklevel=2)
+    return df

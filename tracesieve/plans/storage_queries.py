@@ -6,7 +6,6 @@ as in tests, a temporary folder of this machine serves.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -28,7 +27,7 @@ from tracesieve.streaming.collect_stream import stream_collect, streamed_manifes
 
 def scratch(spark) -> str:
     """A new folder name for one run."""
-    base = checkpoint_folder(spark) or tempfile.mkdtemp(prefix="tracesieve-")
+    base = checkpoint_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 

@@ -59,7 +59,7 @@ def read_manifest(
 
 def read_scanner_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw scanner output lines that may hold a finding."""
-    return spark.read.text(path).where("ltrim(value) like '{%'")
+    return spark.read.text(path).where(trimmed(F.col("value")).startswith("{"))
 
 
 def read_image_assets(spark: SparkSession, path: str) -> DataFrame:
@@ -74,8 +74,11 @@ def image_assets(files: DataFrame, name: str = "filename") -> DataFrame:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
+    """False only if nothing is there; other faults, such as a refused access, are raised."""
     try:
         spark.read.format("binaryFile").load(path)
         return True
-    except PySparkException:
+    except PySparkException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False

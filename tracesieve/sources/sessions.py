@@ -6,13 +6,13 @@ import os
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesieve.functions.patterns import matches_any
 from tracesieve.functions.text import once
 from tracesieve.operators.findings import strict_json
+from tracesieve.sources.lists import path_exists
 
 SESSION_FILES = "*.{json,jsonl}"
 # A session is one row; beyond this size neither rows nor Arrow batches can hold its copies.
@@ -75,11 +75,7 @@ def read_session_dirs(
     dirs = colon_paths(dirs) if isinstance(dirs, str) else list(dirs)
     there, missing = [], []
     for path in dirs:
-        try:
-            spark.read.format("binaryFile").load(path)
-            there.append(path)
-        except AnalysisException:
-            missing.append(path)
+        (there if path_exists(spark, path) else missing).append(path)
     if not there:
         return SessionSource(spark.createDataFrame([], SESSION_SCHEMA), missing)
     return SessionSource(read_sessions(spark, there, deny_names), missing)

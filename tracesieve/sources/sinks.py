@@ -25,9 +25,17 @@ def save_collected(collected: DataFrame, path: str) -> DataFrame:
 
 
 def write_redacted(collected: DataFrame, path: str, mode: str = "append") -> None:
-    """Collected sessions as Parquet: keys, text and hashes."""
+    """Collected sessions as Parquet: keys, text, hashes and when they were written.
+
+    A session collected again gets a further row; ``newest_copies`` and ``publish_dataset`` take
+    the newest one only.
+    """
     rows = collected.where("outcome = 'collected'").select(
-        *KEY, F.col("redacted").alias("content"), "redacted_hash", "size_bytes"
+        *KEY,
+        F.col("redacted").alias("content"),
+        "redacted_hash",
+        "size_bytes",
+        F.current_timestamp().alias("created_at"),
     )
     rows.write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS).parquet(path)
 
@@ -54,26 +62,50 @@ def write_scan_reports(
     summary.write.mode("overwrite").json(f"{path}/summary")
 
 
+def newest_copies(redacted: DataFrame) -> DataFrame:
+    """Keys, ``size_bytes`` and what tells the newest copy of each session apart from older ones.
+
+    Without ``created_at`` every session is taken to have one copy.
+    """
+    marks = [c for c in ("created_at", "redacted_hash") if c in redacted.columns]
+    if "created_at" not in marks:
+        return redacted.select(*KEY, "size_bytes").distinct()
+    newest = F.max(F.struct(*marks, "size_bytes")).alias("_newest")
+    return redacted.groupBy(*KEY).agg(newest).select(*KEY, "_newest.*")
+
+
 def publish_dataset(
     redacted: DataFrame,
     reject: DataFrame,
     log_path: str,
     dataset_path: str,
     dry_run: bool = False,
+    denied: DataFrame | None = None,
+    blocked: DataFrame | None = None,
 ) -> DataFrame:
     """Append the pending sessions to the dataset, then their entries to the log.
 
-    ``redacted`` has keys, ``content`` and ``size_bytes``. Returns the plan with ``status``.
+    ``redacted`` has keys, ``content`` and ``size_bytes``; of several copies (``created_at``) only
+    the newest is published, so text redacted by older rules never goes out. Sessions in
+    ``denied`` (keys) or ``blocked`` (keys, as of the scan's blocking reasons) stay back. Returns
+    the plan with ``status``.
     A run that dies between the two writes publishes sessions twice at worst; it never
     records one that is not there.
     """
     log = read_publish_log(redacted.sparkSession, log_path)
-    sizes = redacted.select(*KEY, "size_bytes")
+    newest = newest_copies(redacted)
+    for held_back in (denied, blocked):
+        if held_back is not None:
+            newest = newest.join(held_back.select(*KEY).distinct(), KEY, "left_anti")
+    newest = cut_lineage(newest)
+    sizes = newest.select(*KEY, "size_bytes")
     plan = cut_lineage(upload_plan(sizes, reject, log))
     if dry_run:
         return plan
     pending = plan.where("status = 'pending'").select(*KEY)
-    keep_keys(redacted, pending, KEY).write.mode("append").option(
+    one_copy = [c for c in newest.columns if c != "size_bytes"]
+    chosen = newest.join(pending, KEY, "left_semi")
+    keep_keys(redacted, chosen, one_copy).write.mode("append").option(
         "maxRecordsPerFile", MAX_RECORDS
     ).parquet(dataset_path)
     record_uploads(log.limit(0), pending, sizes).write.mode("append").parquet(log_path)
