@@ -136,3 +136,10 @@ def test_extract_images(spark):
     assert [r["image_name"] for r in rows] == ["my_file_img0.png", "my_file_img1.gif"]
     assert bytes(rows[0]["image"]) == bytes(range(90))
     assert len(rows[1]["image"]) == 75
+
+
+def test_numbers_of_any_length():
+    digits = "9" * 6000
+    assert jt.compact(jt.strict_loads(f'{{"a":{digits},"b":-{digits},"c":12345678901234567890}}')) == (
+        '{"a":null,"b":null,"c":12345678901234567890}'
+    )

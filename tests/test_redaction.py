@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +229,50 @@ def test_secrets_that_share_a_long_beginning(spark, bounds):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     done = lit.redact_literals(df, secrets, keys=["id"], **bounds).orderBy("id").collect()
     assert [r["redacted"] for r in done] == [brute(t, values)[0] for t in texts]
+
+
+def _random_texts(pieces, n=4000):
+    rng = random.Random(5)
+    return ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
+
+def test_one_pass_patterns_equal_the_plain_ones(spark):
+    """Against the fixed regexes, run by Spark on short random texts."""
+    urls = ["http://", "https://", "http", "h", "x", "@", ":", " ", '"', "'", "u:p@h", "\n"]
+    tokens = ["eyJ", "e", "yJ", ".", "eyJa", "-", "_", " ", ".eyJb", "A"]
+    mails = ["a", "@", ".", "b1", "com", "-", "c", " ", "1", "x@y", ".c", "%", "é"]
+    for pieces, index in ((urls, 17), (tokens, 9)):
+        df = spark.createDataFrame([(t,) for t in _random_texts(pieces)], "t string")
+        d = DETECTORS[index]
+        plain = red_sql(d.regex)
+        same = df.selectExpr(
+            f"{d.replace_in('t')} = regexp_replace(t, {plain}, '{d.replacement}') AS same_text",
+            f"{d.matches_in('t')} = regexp_extract_all(t, {plain}, 0) AS found",
+            f"size({d.matches_in('t')}) AS n",
+        )
+        bad, hits = same.agg(F.count_if(F.expr("NOT (same_text AND found)")), F.sum("n")).first()
+        assert bad == 0 and hits > 100
+    df = spark.createDataFrame([(t,) for t in _random_texts(mails)], "t string")
+    plain = F.regexp_replace("t", red.EMAIL, "[REDACTED:EMAIL]")
+    differ = df.select("t", plain.alias("p"), red.redact_email(F.col("t")).alias("q"))
+    assert differ.where("p != q").collect() == []
+    assert differ.where("p != t").count() > 100
+
+
+def test_patterns_do_not_stall_on_long_runs(spark):
+    n = 1_000_000
+    texts = [
+        "x@" + "a." * (n // 2),
+        "w" * n + "@x.org",
+        "x@" + "a." * (n // 2) + "org",
+        "https://a:" * (n // 10) + " @",
+        "https://" + "a:@" * (n // 3),
+        "eyJ" * (n // 3),
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    start = time.monotonic()
+    mails = df.select("i", red.redact_email(F.col("t")).alias("t")).orderBy("i").collect()
+    rest = df.select("i", red.redacted_text(F.col("t")).alias("t")).orderBy("i").collect()
+    assert time.monotonic() - start < 60
+    assert [r["t"] for r in mails[:3]] == [texts[0], "[REDACTED:EMAIL]", "[REDACTED:EMAIL]"]
+    assert [r["t"] for r in rest] == texts

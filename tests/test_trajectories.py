@@ -77,6 +77,24 @@ def test_calls_observations_metrics(spark):
     assert (text["message"], text["reasoning"]) == ("hi", None)
 
 
+def test_odd_steps_and_results_lose_nothing(spark):
+    df = sessions(
+        spark,
+        {"steps": [{"source": "a", "observation": {"results": [{"stdout": "hello"}, "txt", 5]}}, "junk", 3, {"source": "b", "observation": "plain text"}]},
+        {"lines": ["junk", {"source": "c", "observation": {"stdout": "x"}}, {"steps": ["odd", {"source": "d", "step_id": "t", "message": "m"}]}]},
+    )
+    steps = tr.steps(df, ["id"])
+    rows = steps.orderBy("id", "step_index").collect()
+    assert [(r["id"], r["step_id"], r["source"], r["message"]) for r in rows] == [
+        (0, None, "a", None), (0, None, None, None), (0, None, None, None), (0, None, "b", None),
+        (1, 2, "c", None), (1, None, None, None), (1, None, "d", "m"),
+    ]
+    seen = tr.observations(steps, ["id", "step_index"]).orderBy("id", "step_index", "result_index").collect()
+    assert [(r["id"], r["step_index"], r["result_index"], r["content"]) for r in seen] == [
+        (0, 0, 0, '{"stdout":"hello"}'), (0, 0, 1, '"txt"'), (0, 0, 2, "5"), (0, 3, 0, '"plain text"'), (1, 0, 0, '{"stdout":"x"}'),
+    ]
+
+
 def test_session_info_and_final_metrics(spark):
     df = sessions(
         spark,

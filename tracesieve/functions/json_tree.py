@@ -30,12 +30,19 @@ def _number(text: str):
     return int(value) if value.is_integer() and abs(value) < 1e21 else value
 
 
+def _integer(text: str):
+    # The interpreter converts so many digits at most; longer numbers are beyond any double.
+    return int(text) if len(text) <= 4000 else _number(text)
+
+
 def _not_json(name: str):
     raise ValueError(name)
 
 
 def strict_loads(text: str):
-    return json.loads(text, parse_float=_number, parse_constant=_not_json)
+    return json.loads(
+        text, parse_float=_number, parse_int=_integer, parse_constant=_not_json
+    )
 
 
 def parse_session_text(text: str):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracesieve.functions.text import first_non_empty, once
+from tracesieve.functions.text import first_non_empty, let, once
 from tracesieve.operators.rules import KEY, mark_rejected
 
 METRICS = (
@@ -19,19 +19,18 @@ METRICS = (
 CALL = (
     "tool_call_id STRING, function_name STRING, name STRING, arguments STRING, args STRING"
 )
-RESULT = "source_call_id STRING, content STRING, output STRING, result STRING"
 STEP = (
     "step_id BIGINT, source STRING, timestamp STRING, message STRING, reasoning_content STRING, "
     f"tool_calls ARRAY<STRUCT<{CALL}>>, "
-    f"observation STRUCT<results: ARRAY<STRUCT<{RESULT}>>, {RESULT}>, "
+    "observation VARIANT, "
     f"metrics STRUCT<{METRICS}>"
 )
 TRAJECTORY = (
     "schema_version STRING, session_id STRING, "
     "agent STRUCT<name STRING, version STRING, model_name STRING>, "
-    f"steps ARRAY<STRUCT<{STEP}>>, final_metrics STRUCT<{METRICS}>, "
-    f"lines ARRAY<STRUCT<steps: ARRAY<STRUCT<{STEP}>>, {STEP}>>"
+    f"steps ARRAY<STRING>, final_metrics STRUCT<{METRICS}>, lines ARRAY<STRING>"
 )
+LINE = f"steps ARRAY<STRING>, {STEP}"
 STEP_FIELDS = [
     "step_id",
     "source",
@@ -45,7 +44,8 @@ STEP_FIELDS = [
 
 
 def parse_trajectory(df: DataFrame, content: str = "redacted") -> DataFrame:
-    """Typed ``trajectory`` struct of a session's JSON text. Tool arguments stay JSON text.
+    """Typed ``trajectory`` struct of a session's JSON text. Tool arguments stay JSON text; so do
+    steps and lines, each of which is typed by itself: an odd one costs no other.
 
     JSON-lines sessions are expected as collected, that is as ``{"lines": [...]}``.
     """
@@ -54,7 +54,11 @@ def parse_trajectory(df: DataFrame, content: str = "redacted") -> DataFrame:
 
 def session_steps(steps: Column, lines: Column) -> Column:
     """The steps of a session. With ``lines``, those are the steps of each line, or the line
-    itself when it has a source (its ``step_id`` defaults to its place, counted from 1)."""
+    itself when it has a source (its ``step_id`` defaults to its place, counted from 1). A step
+    that is no object is one without fields."""
+
+    def typed(texts: Column) -> Column:
+        return F.transform(texts, lambda text: F.from_json(text, STEP))
 
     def of_line(line: Column, index: Column) -> Column:
         place = (index + 1).cast("bigint")
@@ -63,12 +67,15 @@ def session_steps(steps: Column, lines: Column) -> Column:
             step_id.alias("step_id"), *[line[f].alias(f) for f in STEP_FIELDS if f != "step_id"]
         )
         return (
-            F.when(line["steps"].isNotNull(), line["steps"])
+            F.when(line["steps"].isNotNull(), typed(line["steps"]))
             .when(first_non_empty(line["source"]).isNotNull(), F.array(alone))
             .otherwise(F.array().cast(f"array<struct<{STEP}>>"))
         )
 
-    return F.coalesce(F.flatten(F.transform(lines, of_line)), steps)
+    def of_text(text: Column, index: Column) -> Column:
+        return let(F.from_json(text, LINE), lambda line: of_line(line, index))
+
+    return F.coalesce(F.flatten(F.transform(lines, of_text)), typed(steps))
 
 
 def steps(sessions: DataFrame, keys: list[str], trajectory: str = "trajectory") -> DataFrame:
@@ -134,19 +141,27 @@ def tool_calls(step_rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def observations(step_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per observation result, or one for an observation without ``results``."""
+    """One row per observation result, or one for an observation without ``results``.
+
+    A result that has none of the text fields is shown as JSON, whatever it is; objects then have
+    their keys in alphabetical order."""
     obs = F.col("observation")
-    fields = ["source_call_id", "content", "output", "result"]
-    itself = F.array(F.struct(*[obs[f].alias(f) for f in fields]))
-    results = F.when(obs.isNotNull(), F.coalesce(obs["results"], itself))
+    empty = F.coalesce(F.to_json(obs), F.lit("null")).isin("null", '""', "0", "false")
+    listed_results = F.try_variant_get(obs, "$.results", "array<variant>")
+    results = F.when(~empty, F.coalesce(listed_results, F.array(obs)))
     listed = step_rows.select(*keys, once(results).alias("_r"))
     rows = listed.select(*keys, F.posexplode("_r").alias("result_index", "r"))
-    texts = [F.col(f"r.{f}") for f in ("content", "output", "result")]
+
+    def field(name: str) -> Column:
+        return F.try_variant_get("r", f"$.{name}", "string")
+
     return rows.select(
         *keys,
         F.col("result_index").cast("bigint").alias("result_index"),
-        F.col("r.source_call_id").alias("source_call_id"),
-        F.coalesce(first_non_empty(*texts), F.to_json("r")).alias("content"),
+        field("source_call_id").alias("source_call_id"),
+        F.coalesce(
+            first_non_empty(field("content"), field("output"), field("result")), F.to_json("r")
+        ).alias("content"),
     )
 
 
