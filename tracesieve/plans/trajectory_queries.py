@@ -22,7 +22,8 @@ LINES = 4
 _CALLS = """CASE turn % 4 WHEN 0 THEN ', "tool_calls": [{"tool_call_id": "c' || turn || '", "function_name": "read", "arguments": {"n": ' || turn || '}}, {"name": "write", "args": {"ok": true}}]'
     WHEN 1 THEN ', "tool_calls": [{"tool_call_id": "d' || turn || '"}]' WHEN 2 THEN ', "tool_calls": []' ELSE '' END"""
 _OBS = """CASE turn % 5 WHEN 0 THEN ', "observation": {"results": [{"source_call_id": "c' || turn || '", "content": "seen ' || conv_id || '"}, {"output": "out"}]}'
-    WHEN 1 THEN ', "observation": {"content": "", "result": "bare"}' WHEN 2 THEN ', "observation": {"results": [{"source_call_id": "x"}]}' ELSE '' END"""
+    WHEN 1 THEN ', "observation": {"content": "", "result": "bare"}' WHEN 2 THEN ', "observation": {"results": [{"source_call_id": "x"}]}'
+    WHEN 3 THEN ', "observation": {"results": ["txt", {"stdout": "s' || turn || '"}, 5]}' ELSE CASE WHEN turn % 2 = 0 THEN ', "observation": "plain ' || turn || '"' ELSE '' END END"""
 _METRICS = """CASE turn % 3 WHEN 0 THEN ', "metrics": {"prompt_tokens": ' || length(text) || ', "completion_tokens": ' || turn || ', "cost_usd": ' || CAST(length(text) * 1373 AS STRING) || 'e-8}'
     WHEN 1 THEN ', "metrics": {"cached_tokens": 1, "total_tokens": ' || length(text) || '}' ELSE '' END"""
 _TIME = """CASE turn % 3 WHEN 0 THEN ', "timestamp": "2024-05-0' || (1 + turn % 9) || 'T10:0' || (turn % 10) || ':30Z"'
@@ -30,7 +31,7 @@ _TIME = """CASE turn % 3 WHEN 0 THEN ', "timestamp": "2024-05-0' || (1 + turn %
 _STEP = f"""'"source": "' || CASE WHEN turn % 6 = 5 THEN 'Sub-Agent' ELSE role END || '", "message": ' || js ||
     CASE WHEN turn % 2 = 1 THEN ', "reasoning_content": "because ' || turn || '"' ELSE ', "reasoning_content": ""' END ||
     {_CALLS} || {_OBS} || {_METRICS} || {_TIME}"""
-_LINE = f"""CASE WHEN turn % 8 = 6 THEN '{{"note": "no step"}}'
+_LINE = f"""CASE WHEN turn % 16 = 14 THEN '"junk"' WHEN turn % 8 = 6 THEN '{{"note": "no step"}}'
     WHEN turn % 8 = 3 THEN '{{"steps": [{{"step_id": ' || (100 + turn) || ', ' || {_STEP} || '}}]}}'
     WHEN turn % 8 = 4 THEN '{{"step_id": ' || turn || ', ' || {_STEP} || '}}'
     ELSE '{{' || {_STEP} || '}}' END"""
@@ -121,7 +122,11 @@ def tool_calls(spark, sf_dir):
     SELECT conv_id, segment, step_index, CAST(0 AS BIGINT) AS result_index, 'c' || turn AS source_call_id, 'seen ' || conv_id AS content FROM s WHERE turn % 5 = 0
     UNION ALL SELECT conv_id, segment, step_index, 1, NULL, 'out' FROM s WHERE turn % 5 = 0
     UNION ALL SELECT conv_id, segment, step_index, 0, NULL, 'bare' FROM s WHERE turn % 5 = 1
-    UNION ALL SELECT conv_id, segment, step_index, 0, 'x', '{{"source_call_id":"x"}}' FROM s WHERE turn % 5 = 2""",
+    UNION ALL SELECT conv_id, segment, step_index, 0, 'x', '{{"source_call_id":"x"}}' FROM s WHERE turn % 5 = 2
+    UNION ALL SELECT conv_id, segment, step_index, 0, NULL, '"txt"' FROM s WHERE turn % 5 = 3
+    UNION ALL SELECT conv_id, segment, step_index, 1, NULL, '{{"stdout":"s' || turn || '"}}' FROM s WHERE turn % 5 = 3
+    UNION ALL SELECT conv_id, segment, step_index, 2, NULL, '5' FROM s WHERE turn % 5 = 3
+    UNION ALL SELECT conv_id, segment, step_index, 0, NULL, '"plain ' || turn || '"' FROM s WHERE turn % 5 = 4 AND turn % 2 = 0""",
 )
 def observations(spark, sf_dir):
     return tr.observations(_steps(spark, sf_dir), STEP_KEYS)
