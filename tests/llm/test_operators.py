@@ -200,6 +200,31 @@ def test_lines_against_brute_force(spark):
     assert len(near) > 60 and expected <= found <= expected + 0.03 * len(near)
 
 
+def test_lines_of_large_buckets_all_meet(spark, monkeypatch):
+    """Every close pair that shares a band ends in one component, however large its bucket."""
+    monkeypatch.setattr(fuzzy_lines, "SMALL", 3)
+    monkeypatch.setattr(fuzzy_lines, "BLOCK", 16)
+    r, words = random.Random(5), vocabulary(9, 400)
+    lines = set()
+    for _ in range(3):
+        base = r.choices(words, k=80)
+        for _ in range(90):
+            own = list(base)
+            for _ in range(r.choice([1, 2, 3, 4])):
+                own[r.randrange(80)] = r.choice(words)
+            lines.add(" ".join(own))
+    table = spark.createDataFrame(list(enumerate(sorted(lines))), "doc_id long, text string")
+    rows = fuzzy_lines._lines(table, "doc_id", "text")
+    distinct = fuzzy_lines.signatures(fuzzy_lines._distinct_lines(rows)).select("h", "keys").checkpoint()
+    keys = {x.h: x["keys"] for x in distinct.collect()}
+    sets = {x.h: slow_shingles(x.norm) for x in rows.collect()}
+    share = [(a, b) for a in keys for b in keys if a < b and any(x == y for x, y in zip(keys[a], keys[b]))]
+    close = [(a, b) for a, b in share if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    expected = {h: c for h, c in union(close, keys).items() if any(h in p for p in close)}
+    assert len(share) > len(close) > 500
+    assert {x.h: x.component for x in fuzzy_lines.line_components(rows, distinct).collect()} == expected
+
+
 def test_lines_odd_cases(spark, docs, rows, none):
     table = spark.createDataFrame(
         [(1, "Same Line \n\nother", "k"), (2, "same line\nnew", "k"), (2, "same line\nnew", "k"), (3, None, "k"), (4, "", "k"), (5, " \n", "k"), (None, "same line", "k"), (6, "東京都は日本の首都\nother", "k")],
