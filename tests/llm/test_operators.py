@@ -225,6 +225,70 @@ def test_lines_of_large_buckets_all_meet(spark, monkeypatch):
     assert {x.h: x.component for x in fuzzy_lines.line_components(rows, distinct).collect()} == expected
 
 
+def character_shingles(line):
+    norm = re.sub(r"[\s\x00]+", " ", line.lower(), flags=re.A).strip(" ")
+    return {norm[i : i + 5] for i in range(max(1, len(norm) - 4))}
+
+
+def test_shingle_sets_overlap_at_every_position(spark):
+    """Sets against plain slices: short, long, space-free, wide characters, tabs and runs of blanks."""
+    r = random.Random(3)
+    lines = ["a", "abcd", "abcde", "abcdef", "x" * 400, "a\tb  c\x0bd \t e", " İSTANBUL\u2028é ", "東京都は日本の首都", "😀x" * 70]
+    lines += ["".join(r.choices("abcdé 😀", k=n)) for n in (63, 64, 65, 67, 68, 69, 72, 128, 132, 133, 500)]
+    table = spark.createDataFrame([(x,) for x in lines], "line string")
+    norm = fuzzy_lines.normalised(F.col("line"))
+    found = table.select("line", norm.alias("norm"), fuzzy_lines.shingle_set(norm).alias("s")).collect()
+    every = sorted({s for x in lines for s in character_shingles(x)})
+    hashed = spark.createDataFrame([(s,) for s in every], "s string").select("s", F.xxhash64("s").alias("h"))
+    hashes = {x.s: x.h for x in hashed.collect()}
+    for x in found:
+        assert len(x.s) == len(set(x.s)) and set(x.s) == {hashes[s] for s in character_shingles(x.line)}, x.line
+
+
+def test_lines_edited_by_a_character_or_word(spark):
+    """Lines with one character or word replaced, space-free and tab-separated ones, by brute force."""
+    r, words = random.Random(17), vocabulary(13, 900)
+    lines = []
+    for k in range(240):
+        gap = ("", " ", "\t", "  ")[k % 4]
+        line = gap.join(r.choices(words, k=r.randint(8, 60)))
+        at = r.randrange(1, len(line) - 1)
+        edits = [line[:at] + "#" + line[at + 1 :], line.replace(gap, " \t") if gap else line.upper()]
+        own = line.split(gap) if gap else [line]
+        own[r.randrange(len(own))] = r.choice(words)
+        lines += [line, *edits, *([gap.join(own)] if gap else [])]
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    sets = {k: character_shingles(x) for k, x in enumerate(lines)}
+    near = [(a, b) for a in sets for b in range(a + 1, len(lines)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    first = union(near, sets)
+    kept = {x.doc_id for x in fuzzy_lines.dedup_lines(table).collect() if x.text}
+    wrong = [k for k, c in first.items() if (k == c) != (k in kept)]
+    assert len(near) > 400 and {k for k, c in first.items() if k == c} <= kept and len(wrong) <= 0.01 * len(near)
+
+
+def test_close_lines_of_large_buckets_all_meet(spark, monkeypatch):
+    """As above, by overlapping character shingles."""
+    monkeypatch.setattr(fuzzy_lines, "SMALL", 3)
+    monkeypatch.setattr(fuzzy_lines, "BLOCK", 16)
+    r, words = random.Random(5), vocabulary(9, 400)
+    base, lines = r.choices(words, k=60), set()
+    for _ in range(70):
+        own = list(base)
+        for _ in range(r.choice([1, 2, 2])):
+            own[r.randrange(60)] = "".join(r.choices("0123456789", k=12))
+        lines.add(" ".join(own))
+    table = spark.createDataFrame(list(enumerate(sorted(lines))), "doc_id long, text string")
+    rows = fuzzy_lines._lines(table, "doc_id", "text")
+    distinct = fuzzy_lines.signatures(fuzzy_lines._distinct_lines(rows)).select("h", "keys").checkpoint()
+    keys = {x.h: x["keys"] for x in distinct.collect()}
+    sets = {x.h: character_shingles(x.norm) for x in rows.collect()}
+    share = [(a, b) for a in keys for b in keys if a < b and any(x == y for x, y in zip(keys[a], keys[b]))]
+    close = [(a, b) for a, b in share if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    expected = {h: c for h, c in union(close, keys).items() if any(h in p for p in close)}
+    assert len(share) > len(close) > 20
+    assert {x.h: x.component for x in fuzzy_lines.line_components(rows, distinct).collect()} == expected
+
+
 def test_lines_odd_cases(spark, docs, rows, none):
     table = spark.createDataFrame(
         [(1, "Same Line \n\nother", "k"), (2, "same line\nnew", "k"), (2, "same line\nnew", "k"), (3, None, "k"), (4, "", "k"), (5, " \n", "k"), (None, "same line", "k"), (6, "東京都は日本の首都\nother", "k")],
