@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -452,6 +453,40 @@ def test_packing(docs, rows, none):
     assert packing.pack(none, tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+SPECIAL = ["end <|endoftext|> start", "<|startoftext|>a<|endoftext|>", "x|<|endoftext|>|y", "a  <|endoftext|>\n\n b", "it<|endoftext|>'s", "<|ENDOFTEXT|> <|endoftext |>", "é.<|endoftext|>. \x85<|endoftext|>"]
+
+
+@lru_cache
+def library(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer(name))
+
+
+def library_ids(name, text):
+    return library(name).encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name,byte_level", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_special_tokens_in_texts_are_the_librarys(name, byte_level):
+    r = random.Random(21)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "  ", "\n", "a", "Été", ".", "!", "|", "'s", "<", "12", "\x1c", "\xa0"]
+    some = [*SPECIAL, *("".join(r.choices(parts, k=r.randint(1, 12))) for _ in range(300))]
+    for text, ids in zip(some, encoder(tokenizer(name), byte_level, plain=False).encode(some)):
+        assert np.frombuffer(ids, "<u4").tolist() == library_ids(name, text), text
+
+
+def test_tables_hold_the_librarys_ids(spark):
+    table = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    blocks = token_codec.encode_table(table, tokenizer("word_bpe_49k.json"))
+    found = {x[0]: tuple(x)[2:] for x in token_codec.token_digests(blocks).collect()}
+    word = {k: np.array([*library_ids("word_bpe_49k.json", t), 1], "<u4") for k, t in enumerate(SPECIAL)}
+    assert found == {k: (len(i), zlib.crc32(i.tobytes())) for k, i in word.items()}
+    packed = {x.doc_id: (x.length, x.ids_crc32) for x in packing.pack(table, tokenizer("byte_bpe_50k.json")).collect()}
+    byte = {k: np.array([*library_ids("byte_bpe_50k.json", t), 2], "<u4") for k, t in enumerate(SPECIAL)}
+    assert packed == {k: (len(i), zlib.crc32(i.tobytes())) for k, i in byte.items()}
+
+
 def test_local_search_only_helps():
     r = np.random.default_rng(0)
     for n in (1, 2, 50, 600):

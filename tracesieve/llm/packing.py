@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, byte_level: bool = True
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, out = [], [[], [], [], []]
-        for k, ids in enumerate(encoder(tokenizer, byte_level).encode([t or "" for t in batch.column(1).to_pylist()])):
+        for k, ids in enumerate(encoder(tokenizer, byte_level, plain=False).encode([t or "" for t in batch.column(1).to_pylist()])):
             ids += end
             n = len(ids) // 4
             first = (n - 1) % capacity + 1

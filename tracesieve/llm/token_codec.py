@@ -129,7 +129,7 @@ def write_tokens(
             columns += [pa.array([names], pa.list_(id_type)), pa.array([pack_block(waiting)])]
             return pa.RecordBatch.from_arrays(columns, ["part", "block", "before", "n_ids", "doc_ids", "payload"])
 
-        encode = encoder(tokenizer, byte_level).encode
+        encode = encoder(tokenizer, byte_level, plain=False).encode
         for batch in batches:
             id_type = batch.schema.field(0).type
             for start in range(0, batch.num_rows, SLICE):

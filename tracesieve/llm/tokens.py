@@ -1,7 +1,8 @@
 """Token ids of whole texts, made by a public tokenizer chunk by chunk.
 
 Both pre-tokenizers cut a text at white space whatever stands around it, so the ids of a text are
-those of its chunks, one after another. Chunks repeat a lot; each worker keeps the ids of those it
+those of its chunks, one after another. No chunk ends inside a special token: it has no white space,
+and a chunk that holds a ``<`` goes on to the next white space. Chunks repeat a lot; each worker keeps the ids of those it
 has met, at most ``REMEMBERED``. Texts with characters that Python and the tokenizer may class
 differently go to the tokenizer whole.
 """
@@ -24,14 +25,18 @@ ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 
 
 class Encoder:
-    """Encodes texts with the tokenizer in ``path`` as little-endian unsigned 32-bit ids."""
+    """Encodes texts with the tokenizer in ``path`` as little-endian unsigned 32-bit ids.
 
-    def __init__(self, path: str, chunks: re.Pattern):
+    ``plain``: special tokens that stand in a text are taken for ordinary characters. The contract's
+    ids are those of the library with nothing set, so the queries do not use it."""
+
+    def __init__(self, path: str, chunks: re.Pattern, plain: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if plain:
+            self.tokenizer.encode_special_tokens = True
         self.chunks = chunks.findall
         self.known: dict[str, bytes] = {}
 
@@ -50,6 +55,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, byte_level: bool) -> Encoder:
+def encoder(path: str, byte_level: bool, plain: bool = True) -> Encoder:
     """One encoder per Python worker and tokenizer."""
-    return Encoder(path, BYTE_LEVEL if byte_level else WORD_LEVEL)
+    return Encoder(path, BYTE_LEVEL if byte_level else WORD_LEVEL, plain)
