@@ -453,6 +453,13 @@ def test_packing(docs, rows, none):
     assert packing.pack(none, tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_rows_that_repeat_are_dealt_to_many_shards(spark):
+    table = spark.range(600).selectExpr("cast(null as long) doc_id", "cast(null as string) text")
+    found = packing.pack(table, tokenizer("byte_bpe_50k.json"), shard=64).collect()
+    shards = [x.sequence_id >> 32 for x in found]
+    assert len(found) == 600 and max(map(shards.count, set(shards))) < 150
+
+
 SPECIAL = ["end <|endoftext|> start", "<|startoftext|>a<|endoftext|>", "x|<|endoftext|>|y", "a  <|endoftext|>\n\n b", "it<|endoftext|>'s", "<|ENDOFTEXT|> <|endoftext |>", "é.<|endoftext|>. \x85<|endoftext|>"]
 
 

@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences, improved by local search.
 
-Pieces are dealt by a hash to shards of about ``SHARD`` pieces, so no task holds more, whatever one
-source or document contributes. In a shard best-fit decreasing places them. Then the least full
+Pieces are dealt by a hash, their row number included, to shards of about ``SHARD`` pieces, so no task
+holds more, whatever one source or document contributes, and however often a row repeats. In a shard best-fit decreasing places them. Then the least full
 sequences are taken apart: their pieces are moved into others, or exchanged one for one, two for one
 or one for two, whenever that makes the sum of squared fill larger, until sequences are empty or no
 exchange helps. A shard leaves a sequence or so less full than it could be, one in thousands.
@@ -186,7 +186,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, byte_level: bool = Tr
     rows give no rows; other columns are not looked at."""
     cut = stored(pieces(docs, tokenizer, end_id, byte_level, capacity))
     shards = max(1, -(-cut.count() // shard))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # The stored rows keep their partition and order, so that a row has the same number in every run of
+    # a task.
+    number = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    dealt = cut.withColumn("shard", F.pmod(number, F.lit(shards)))
     kind = cut.schema["doc_id"].dataType.simpleString()
 
     def packed(table: pa.Table) -> pa.Table:
