@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,14 +19,14 @@ SLICE = 256
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    Where it is unset and the session runs in one process, as in tests, a folder of this machine
-    is taken. On a cluster that would lose data, so it is refused."""
+    Where it is unset and the session runs in one process, as in tests, a new folder
+    is taken: one in the warehouse. On a cluster that would lose data, so it is refused."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoints-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named

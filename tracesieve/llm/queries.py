@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesieve.llm import chat, decision_list, embeddings, fuzzy_lines, mixing, packing, secret_lexer, simhash, substring, token_codec
+from tracesieve.llm import chat, decision_list, embeddings, fuzzy_lines, merkle, mixing, packing, secret_lexer, simhash, substring, token_codec
 from tracesieve.llm.common import WORD
 
 
@@ -93,21 +93,107 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    text = F.when(tampered, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    found = merkle.manifest(docs, "doc_id", "lang", columns, [*[F.col(c) for c in columns[:-1]], text])
+    root = merkle.folded(F.col("claimed"), F.col("path"))
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+        merkle.path_digest(F.col("path")).alias("proof_sha256"), root.alias("folded_root"), (root == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_embedding_dedup, op3_mix_sources, op4_line_dedup, op5_quality_rules,
         op6_substring_dedup, op7_chat_format, op8_token_blocks, op9_secret_scan, op10_pack,
+        op12_merkle_manifest,
     )
 }
 
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text in DuckDB SQL, bit by bit."""
+    bit = "lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    byte = f"lambda crc, b: list_reduce(range(8), {bit}, xor(crc, b))"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce({codes}, {byte}, 4294967295::BIGINT), 4294967295)"
+
+
+_LEVELS = 8  # enough for 8^8 leaves in a group
+
+
+def merkle_steps(prefix: str, levels: int) -> str:
+    """CTEs ``{prefix}1`` and so on: nodes (g, i, digest) of the next level, passed on once a group has
+    one; and each leaf's siblings there, as (g, leaf, left, right) in ``{prefix}s``."""
+    out, paths = [], []
+    for k in range(levels):
+        out.append(f"""
+        {prefix}n{k} AS (SELECT *, count(*) OVER (PARTITION BY g) AS many FROM {prefix}{k}),
+        {prefix}{k + 1} AS (
+            SELECT g, i // 8 AS i, CASE WHEN any_value(many) > 1 THEN sha256(string_agg(digest, '' ORDER BY i)) ELSE any_value(digest) END AS digest
+            FROM {prefix}n{k} GROUP BY g, i // 8
+        ),
+        {prefix}s{k} AS (
+            SELECT a.g, a.i,
+                coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+                coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+            FROM {prefix}n{k} a JOIN {prefix}n{k} b ON a.g = b.g AND a.i // 8 = b.i // 8 WHERE a.many > 1 GROUP BY a.g, a.i
+        )""")
+    return ",".join(out)
+
+
 _VECTORS = """
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
       AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 """
 
+def _merkle_oracle() -> str:
+    enc = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(enc, ("doc_id", "source", "lang", "n_chars")), enc(text)]) + ")"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    walk, at = [], "rows0"
+    # Each step folds the claimed leaf over its siblings and collects them, first in its group's tree.
+    for tree, key, node, levels in (("t", "g", "i", _LEVELS), ("u", "''", "u", 3)):
+        for k in range(levels):
+            walk.append(f"""
+        {at}{tree}{k} AS (
+            SELECT w.* REPLACE (
+                CASE WHEN s.l IS NULL THEN fold ELSE sha256(s.l || fold || s.r) END AS fold,
+                proof || coalesce(s.l || s.r, '') AS proof)
+            FROM {at} w LEFT JOIN {tree}s{k} s ON s.g = w.{key} AND s.i = w.{node} // {8**k}
+        )""".replace("w.''", "''"))
+            at = f"{at}{tree}{k}"
+    return f"""
+        WITH leaves AS (
+            SELECT doc_id, lang, coalesce('+' || lang, '') AS g, {leaf("text")} AS leaf,
+                CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 3 = 0
+                    THEN {leaf(f"translate(text, '{upper}', '{upper.lower()}')")} ELSE {leaf("text")} END AS claimed
+            FROM documents
+        ),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+        t0 AS (SELECT g, i, leaf AS digest FROM placed),
+        {merkle_steps("t", _LEVELS)},
+        heads AS (SELECT g AS name, digest, row_number() OVER (ORDER BY g) - 1 AS u FROM t{_LEVELS}),
+        u0 AS (SELECT '' AS g, u AS i, digest FROM heads),
+        {merkle_steps("u", 3)},
+        rows0 AS (
+            SELECT p.doc_id, p.g, p.i, h.u, p.leaf, h.digest AS subroot, (SELECT digest FROM u3) AS root, p.claimed AS fold, '' AS proof
+            FROM placed p JOIN heads h ON h.name = p.g
+        ),
+        {",".join(walk)}
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM {at}
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op12_merkle_manifest": _merkle_oracle(),
     "op2_embedding_dedup": f"""
         WITH RECURSIVE good AS ({_VECTORS}),
         link AS (
