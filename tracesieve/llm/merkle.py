@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.llm.common import written
-from tracesieve.operators.joins import sized_join
+from tracesieve.operators.joins import fits_broadcast, sized_join
 
 #: Fixed value of the contract: children of a node.
 FAN = 8
@@ -118,13 +118,14 @@ def attach_paths(tree: Tree, tops: DataFrame) -> DataFrame:
     """Leaves with ``path``, from their siblings up to those of ``tops`` (g, path and further columns,
     which every leaf gets)."""
     kept = [c for c in tops.columns if c not in ("g", "path")]
+    small = fits_broadcast(tops)
     above = None
     for level in reversed(range(len(tree.runs))):
         span = FAN ** (level + 1)
         own = tree.runs[level].select("g", "n", "bucket", "lo", "hi", "members")
         # Groups whose root is a parent of this level start here with the path of their root.
         heads = own.where("hi - lo = n").select("g", "lo", "hi", F.expr(f"lo div {span}").alias("bucket"))
-        starts = sized_join(heads, tops, ["g"], "inner", spread=["lo"])
+        starts = sized_join(heads, tops, ["g"], "inner", ["lo"], small)
         parents = starts if above is None else starts.unionByName(above.withColumn("bucket", F.expr(f"lo div {span}")).select(*starts.columns))
         parents = parents.select("g", "bucket", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "path", *kept)
         inside = own.join(parents, ["g", "bucket"]).where("_lo <= lo and hi <= _hi")
@@ -134,7 +135,7 @@ def attach_paths(tree: Tree, tops: DataFrame) -> DataFrame:
             rest(lambda s: s["hi"] <= F.col("m.lo")).alias("left"), rest(lambda s: s["lo"] >= F.col("m.hi")).alias("right")
         )
         above = members.select("g", "n", "m.*", F.concat(F.array(step.cast(STEP)), "path").alias("path"), *kept)
-    single = sized_join(tree.leaves.where("n = 1").withColumn("hi", F.col("lo") + 1), tops, ["g"], "inner", spread=["g"])
+    single = sized_join(tree.leaves.where("n = 1").withColumn("hi", F.col("lo") + 1), tops, ["g"], "inner", ["g"], small)
     return single if above is None else single.unionByName(above.select(*single.columns))
 
 

@@ -130,8 +130,8 @@ _LEVELS = 8  # enough for 8^8 leaves in a group
 
 def merkle_steps(prefix: str, levels: int) -> str:
     """CTEs ``{prefix}1`` and so on: nodes (g, i, digest) of the next level, passed on once a group has
-    one; and each leaf's siblings there, as (g, leaf, left, right) in ``{prefix}s``."""
-    out, paths = [], []
+    one; and the siblings of each node of a level, (g, i, l, r), in ``{prefix}s0`` and so on."""
+    out = []
     for k in range(levels):
         out.append(f"""
         {prefix}n{k} AS (SELECT *, count(*) OVER (PARTITION BY g) AS many FROM {prefix}{k}),
