@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesieve.llm import chat, decision_list, embeddings, fuzzy_lines, merkle, mixing, packing, secret_lexer, simhash, substring, token_codec
+from tracesieve.llm import chat, decision_list, embeddings, fuzzy_lines, merkle, mixing, packing, page_text, prefix_trie, secret_lexer, simhash, substring, token_codec
 from tracesieve.llm.common import WORD
 
 
@@ -93,6 +93,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -107,12 +111,19 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    h = (F.crc32(conv.cast("string").cast("binary")) % 6).cast("int")
+    sequences = prefix_trie.turn_sequences(table(spark, sf_dir, "conversations"), conv - conv % 100, h)
+    return prefix_trie.prefix_trie(sequences)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_embedding_dedup, op3_mix_sources, op4_line_dedup, op5_quality_rules,
         op6_substring_dedup, op7_chat_format, op8_token_blocks, op9_secret_scan, op10_pack,
-        op12_merkle_manifest,
+        op11_page_text, op12_merkle_manifest, op13_prefix_trie,
     )
 }
 
@@ -194,6 +205,43 @@ def _merkle_oracle() -> str:
 
 ORACLES: dict[str, str] = {
     "op12_merkle_manifest": _merkle_oracle(),
+    "op13_prefix_trie": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        own AS (
+            SELECT conv_id, {crc32_sql("conv_id::VARCHAR")} % 6 AS h,
+                list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS ts
+            FROM turns GROUP BY conv_id
+        ),
+        rebuilt AS (
+            SELECT o.conv_id, list_concat(coalesce(b.ts[1:o.h], []), o.ts[o.h + 1:]) AS ts
+            FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+        ),
+        starts AS (SELECT conv_id, len(ts) AS length, ts, unnest(range(len(ts) + 1)) AS d FROM rebuilt),
+        nodes AS (
+            SELECT ts[1:d] AS prefix, d, min(conv_id) AS conv_id, count(*) AS n,
+                coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = d), '') AS ends
+            FROM starts GROUP BY ts[1:d], d
+        ),
+        edges AS (
+            SELECT c.prefix, c.d, p.conv_id AS parent, p.prefix AS parent_prefix
+            FROM nodes c JOIN nodes p ON c.d = p.d + 1 AND c.prefix[1:p.d] = p.prefix
+        ),
+        children AS (SELECT parent_prefix AS prefix, count(*) AS n_children FROM edges GROUP BY parent_prefix),
+        full_nodes AS (
+            SELECT n.*, e.parent, coalesce(c.n_children, 0) AS n_children,
+                (n.n - 1) * CASE WHEN n.d = 0 THEN 0 ELSE length(n.prefix[n.d].text) END AS saved
+            FROM nodes n LEFT JOIN edges e ON e.prefix = n.prefix LEFT JOIN children c ON c.prefix = n.prefix
+        ),
+        trees AS (
+            SELECT a.prefix, sum(b.saved)::BIGINT AS saved_tokens, count(*) FILTER (b.n_children = 0) AS n_leaves
+            FROM nodes a JOIN full_nodes b ON b.d >= a.d AND b.prefix[1:a.d] = a.prefix GROUP BY a.prefix
+        )
+        SELECT f.conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n AS n_convs, f.n_children, t.n_leaves, t.saved_tokens,
+            sha256(f.ends) AS ends_sha256
+        FROM full_nodes f JOIN trees t ON t.prefix = f.prefix
+    """,
     "op2_embedding_dedup": f"""
         WITH RECURSIVE good AS ({_VECTORS}),
         link AS (
