@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from functools import lru_cache
 
@@ -180,9 +181,9 @@ def test_mixing(docs, rows, none):
     assert mixing.mix(none).count() == 0
 
 
-def slow_shingles(line):
-    words = re.split(fuzzy_lines.CUT, line)
-    return {" ".join(words[i : i + 3])[: max(12, len(w))] for i, w in enumerate(words)}
+def character_shingles(line):
+    norm = re.sub(r"[\s\x00]+", " ", line.lower(), flags=re.A).strip(" ")
+    return {norm[i : i + 5] for i in range(max(1, len(norm) - 4))}
 
 
 def test_lines_against_brute_force(spark):
@@ -193,8 +194,8 @@ def test_lines_against_brute_force(spark):
         own[r.randrange(len(own))] = r.choice(words)
         lines.append(" ".join(own) if k % 3 else lines[k].upper() + "  ")
     table = spark.createDataFrame([(k // 3, "\n".join(lines[k : k + 3])) for k in range(0, len(lines), 3)], "doc_id long, text string")
-    norm = sorted({x.strip(fuzzy_lines.SPACE).lower() for x in lines})
-    sets = {x: slow_shingles(x) for x in norm}
+    norm = sorted({x.strip().lower() for x in lines})
+    sets = {x: character_shingles(x) for x in norm}
     near = [(a, b) for k, a in enumerate(norm) for b in norm[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     expected = len(set(union(near, norm).values()))
     found = sum(len(x.text.split("\n")) for x in fuzzy_lines.dedup_lines(table).collect() if x.text)
@@ -218,7 +219,7 @@ def test_lines_of_large_buckets_all_meet(spark, monkeypatch):
     rows = fuzzy_lines._lines(table, "doc_id", "text")
     distinct = fuzzy_lines.signatures(fuzzy_lines._distinct_lines(rows)).select("h", "keys").checkpoint()
     keys = {x.h: x["keys"] for x in distinct.collect()}
-    sets = {x.h: slow_shingles(x.norm) for x in rows.collect()}
+    sets = {x.h: character_shingles(x.norm) for x in rows.collect()}
     share = [(a, b) for a in keys for b in keys if a < b and any(x == y for x, y in zip(keys[a], keys[b]))]
     close = [(a, b) for a, b in share if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     expected = {h: c for h, c in union(close, keys).items() if any(h in p for p in close)}
@@ -226,11 +227,6 @@ def test_lines_of_large_buckets_all_meet(spark, monkeypatch):
     assert {x.h: x.component for x in fuzzy_lines.line_components(rows, distinct).collect()} == expected
 
 
-def character_shingles(line):
-    norm = re.sub(r"[\s\x00]+", " ", line.lower(), flags=re.A).strip(" ")
-    return {norm[i : i + 5] for i in range(max(1, len(norm) - 4))}
-
-
 def test_shingle_sets_overlap_at_every_position(spark):
     """Sets against plain slices: short, long, space-free, wide characters, tabs and runs of blanks."""
     r = random.Random(3)
@@ -503,6 +499,53 @@ def test_local_search_only_helps():
         assert -(-sizes.sum() // 1024) <= len(best) <= len(start)
 
 
+PLAIN_SECRET = "Zx9-Qp2_Lm7Ty"
+IN_SYNTAX = [
+    ('db_password: str = "{}"', True), ('const apiSecretKey: string = "{}";', True), ('token =\n    "{}"', True), ('password = ("{}")', True),
+    ('password = """{}"""', True), ('password = os.getenv("PW", "{}")', True), ('password = os.getenv("{}")', False),
+    ('password = os.environ["{}"]', False), ('secret = Secret("{}")', True), ("password: >\n  {}\nother: 1", True),
+    ("a:\n  password: |-\n    {}\n  b: 2", True), ("<password>{}</password>", True), ('<add key="DbPassword" value="{}"/>', True),
+    ('let token: &str = "{}";', True), ('val password: String = "{}"', True), ('var secret string = "{}"', True), ('char password[] = "{}";', True),
+    ("url = http://h/?token={}&x=1", True), ("password={}", True), ('"password": "{}",', True), ("config = {{'api_key': '{}'}}", True),
+    ("export SECRET_KEY={}", True), ('def f(password: str = "{}", n: int = 3):', True), ('self.api_token: Optional[str] = "{}"', True),
+    ('x = a + \\\n  b\npassword = \\\n "{}"', True), ('name = "{}"', False), ('KEY = "{}"\nclient_secret = wrap(KEY)', True), ("password = decrypt(load())", None),
+]
+
+
+@pytest.mark.parametrize("form, there", IN_SYNTAX)
+def test_secrets_in_syntax(form, there):
+    text = form.format(PLAIN_SECRET)
+    assert [text[a:b] for a, b in secret_lexer.lexed(text)] == ([PLAIN_SECRET] if there else [])
+
+
+def test_adjacent_literals_are_one_secret():
+    for text in ('password = "Zx9-Qp2_" "Lm7Ty"', 'password = (\n  "Zx9-Qp2_"\n  "Lm7Ty"\n)'):
+        (span,) = secret_lexer.lexed(text)
+        assert text[slice(*span)].startswith("Zx9-Qp2_") and text[slice(*span)].endswith("Lm7Ty")
+
+
+@pytest.mark.parametrize("run", ["ab:", "k=v&"])
+def test_long_runs_without_names_cost_nothing(run):
+    start = time.monotonic()
+    assert secret_lexer.secret_spans(run * (1_000_000 // len(run))) == []
+    assert time.monotonic() - start < 1
+
+
+@pytest.mark.parametrize(
+    "run",
+    ["token:", "token=", 'password="', "a = a + a\n", 'a="{a}{a}"\n', "x=(", "='", "a: |\n ", 'token = f("x", ', "password=abc:def ", "\'\'\'='", "q=`", "a: b ", "x: a[", "<a>"],
+)
+def test_secret_scan_is_linear(run):
+    """Twice the text takes about twice the time: no run is read again from each of its operators."""
+    took = []
+    for size in (60_000, 240_000):
+        text = "token " + run * (size // len(run))
+        start = time.monotonic()
+        secret_lexer.secret_spans(text)
+        took.append(time.monotonic() - start)
+    assert took[1] < 8 * took[0] + 1
+
+
 def test_secrets(docs, rows, none):
     lower = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     cases = ['token=token="12345678"', "Secret: abcdefgh x", "ſecret=abcdefgh12", "AKIAAKIA1234567890", "AKIA12", "f" * 40 + "g" + "a" * 31, ""]

@@ -301,7 +301,8 @@ def read_page(html: str) -> tuple[list[str | None], list[dict]]:
             seen.add((first, last))
             if companion not in codes:
                 codes[companion] = _hash(companion.encode("utf-8", "surrogatepass"))
-            subtrees.append({"subtree": code, "companion": codes[companion], "first": first, "last": last})
+            held = bool(main[first:last].any())
+            subtrees.append({"subtree": code, "companion": codes[companion], "first": first, "last": last, "main": held})
     return [t if m else None for t, m in zip(page.blocks, main.tolist())], subtrees
 
 
@@ -316,12 +317,12 @@ def extract_pages(
 ) -> DataFrame:
     """(page_id, url, text, n_chars, n_template_blocks) of every row of ``pages``.
 
-    Blocks of the main text are joined by an empty line; white space inside a block is one space.
+    The last one is the number of main blocks that were a template's. Blocks of the main text are joined by an empty line; white space inside a block is one space.
     Null or empty html has an empty text; a page without a host in its URL (null too) is a site of its
     own, where nothing recurs. Rows may repeat, ids may be null, further columns are not read. A page
     whose main text lies wholly in one subtree keeps it."""
     kind = pages.schema[id_col].dataType.simpleString()
-    shape = pa.list_(pa.struct([("subtree", pa.int64()), ("companion", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
+    shape = pa.list_(pa.struct([("subtree", pa.int64()), ("companion", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("main", pa.bool_())]))
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [read_page(h or "") for h in batch.column(2).to_pylist()]
@@ -335,14 +336,15 @@ def extract_pages(
         return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "blocks", "subtrees"])
 
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
-    spans = "subtrees array<struct<subtree: long, companion: long, first: int, last: int>>"
+    spans = "subtrees array<struct<subtree: long, companion: long, first: int, last: int, main: boolean>>"
     read_rows = map_batches(rows, read, f"page_id {kind}, url string, host long, blocks array<string>, {spans}", 64)
     parsed = written(read_rows.withColumn("row", F.monotonically_increasing_id()), "page-blocks")
     subtrees = parsed.select("row", "host", F.explode("subtrees").alias("s")).select("row", "host", "s.*")
     # Twice grouped, each time combined before the shuffle: a hot host's template is many small counts.
     template = subtrees.groupBy("host", "subtree", "companion").agg(F.lit(1).alias("one")).groupBy("host", "subtree")
     template = written(template.agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "subtree"), "templates")
-    hits = sized_join(subtrees, template, ["host", "subtree"], "inner", spread=["row"])
+    # All subtrees count; those without a main block have nothing left to delete.
+    hits = sized_join(subtrees.where("main"), template, ["host", "subtree"], "inner", spread=["row"])
     hits = written(hits.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("hits")), "template-places")
     placed = sized_join(parsed.select("row", "page_id", "url", "blocks"), hits, ["row"], "left", spread=["row"])
 
@@ -355,7 +357,7 @@ def extract_pages(
             if sum(map(len, left)) < (1 - copy_share) * sum(map(len, main)):
                 left = main
             texts.append(_clean("\n\n".join(left)))
-            removed.append(sum(gone))
+            removed.append(len(main) - len(left))
         columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(removed, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "n_template_blocks"])
 
