@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracesieve.functions.detectors import DETECTORS, any_may_match
 from tracesieve.functions.text import count_occurrences, mask_secret, placeholder
+from tracesieve.operators import automaton
 from tracesieve.operators import literals as lit
 from tracesieve.operators import redaction as red
 
@@ -205,19 +206,99 @@ def test_literals_against_brute_force(spark, bounds):
         assert sum(f["count"] for f in row["findings"]) == total
 
 
-def test_re_redact_in_bands(spark):
-    texts = [("d", "a", "one two three four five"), ("d", "b", "one"), ("e", "a", "nothing")]
+def test_re_redact(spark):
+    texts = [("d", "a", "one two three four five"), ("d", "b", "one"), ("e", "a", "nothing"), ("e", "b", None)]
     sessions = spark.createDataFrame(texts, "source_dir string, filename string, content string")
-    raw = [("d", "a", w) for w in ("one", "two", "three", "four", "five", "three four", "absent")]
+    raw = [("d", "a", w) for w in ("one", "two", "three", "four", "five", "three four", "absent")] + [("e", "b", "one")]
     found = spark.createDataFrame(raw, "source_dir string, filename string, raw string")
-    results = [
-        sorted((r["source_dir"], r["filename"], r["redacted"]) for r in lit.re_redact(sessions, found, band=b).collect())
-        for b in (1024, 2, 1)
-    ]
-    assert results[0] == results[1] == results[2]
-    expected, _ = brute(texts[0][2], [w for _, _, w in raw])
-    assert results[0][0] == ("d", "a", expected)
-    assert results[0][1] == ("d", "b", "one")
+    result = {(r["source_dir"], r["filename"]): r for r in lit.re_redact(sessions, found).collect()}
+    expected, total = brute(texts[0][2], [w for _, _, w in raw])
+    assert result["d", "a"]["redacted"] == expected and result["d", "a"]["match_count"] == total
+    assert result["d", "a"]["secrets_found"] == 4
+    assert [result[k]["redacted"] for k in (("d", "b"), ("e", "a"), ("e", "b"))] == ["one", "nothing", None]
+
+
+def test_re_redact_ten_thousand_values(spark):
+    """One join, whatever the number of values a session has."""
+    values = [f"value-{i:05d}-{i * 7919 % 10007}" for i in range(10_000)]
+    text = " ".join(values[::3]) + " clean " + values[1]
+    sessions = spark.createDataFrame([("d", "a", text), ("d", "b", "clean")], "source_dir string, filename string, content string")
+    found = spark.createDataFrame([("d", "a", v) for v in values], "source_dir string, filename string, raw string")
+    done = lit.re_redact(sessions, found)
+    assert done._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+    rows = {r["filename"]: r for r in done.collect()}
+    assert rows["a"]["secrets_found"] == rows["a"]["match_count"] == len(values[::3]) + 1
+    assert rows["b"]["redacted"] == "clean" and "value" not in rows["a"]["redacted"]
+
+
+def by_place(text, values):
+    """Longest first; what was replaced is cut out, so that nothing is found in a placeholder."""
+    import hashlib
+
+    pieces = [(text, False)]
+    for v in sorted(values, key=lambda v: (-len(v), v)):
+        new = f"[REDACTED:{hashlib.sha256(v.encode()).hexdigest()[:8]}]"
+        cut = []
+        for piece, done in pieces:
+            parts = [piece] if done else piece.split(v)
+            for i, part in enumerate(parts):
+                cut += [(new, True)] * (i > 0) + [(part, done)]
+        pieces = cut
+    return "".join(p for p, _ in pieces)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"inline": 0}, {"inline": 0, "shared": 0}])
+def test_placeholders_are_not_rewritten(spark, bounds):
+    """Secrets that are part of another's placeholder, or end in its bracket, leave it alone."""
+    hexes = ["f551", "8f55", "51e9", "b140"]
+    values = ["longsecretvalue", *hexes, "e]x", "\\Ex", "a.b*c", "\\Qq", "[REDACTED"]
+    secrets = spark.createDataFrame([(v, placeholder_of(v)) for v in values], "value string, replacement string")
+    texts = [f"longsecretvalue {' '.join(hexes)} f551e9", "longsecretvaluex", "\\Ex a.b*c axbxc \\Qq \\E", "", "none", "longsecretvalue" * 3, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    done = lit.redact_literals(df, secrets, keys=["id"], **bounds).orderBy("id").collect()
+    assert [r["redacted"] for r in done] == [t if t is None else by_place(t, values) for t in texts]
+    assert done[0]["redacted"].startswith(placeholder_of("longsecretvalue"))
+    assert sum(f["count"] for f in done[5]["findings"]) == 3
+
+
+def placeholder_of(value):
+    import hashlib
+
+    return f"[REDACTED:{hashlib.sha256(value.encode()).hexdigest()[:8]}]"
+
+
+def test_automaton_against_brute_force(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    for _ in range(60):
+        alphabet = rng.choice(["ab", "abc", "abcdé", "aé日"])
+        sizes = rng.choice([1, 3]), rng.choice([3, 5, 12, 40])
+        values = {"".join(rng.choices(alphabet, k=rng.randint(*sizes))) for _ in range(rng.choice([1, 2, 5, 30, 200]))}
+        values = sorted(values, key=lambda v: (-len(v), v))
+        texts = [rng.choice([None, "", "".join(rng.choices(alphabet, k=300)), "".join(rng.choices([*values, *alphabet], k=30))]) for _ in range(20)]
+        monkeypatch.setattr(automaton, "LANES", rng.choice([2, 7, 2048]))
+        monkeypatch.setattr(automaton, "SLICE_BYTES", rng.choice([17, 64, 1 << 22]))
+        machine = automaton.Automaton([v.encode() for v in values])
+        column = pa.array(texts, pa.string()).slice(rng.randint(0, 3))
+        texts = texts[len(texts) - len(column) :]
+        done = automaton.redact(column, machine, [placeholder_of(v) for v in values]).to_pylist()
+        there = automaton.present(column, machine, values, values).to_pylist()
+        for text, row, found in zip(texts, done, there):
+            assert row["text"] == (None if text is None else by_place(text, values))
+            assert [f["value"] for f in found] == [v for v in values if text and v in text]
+            assert (row["text"] or "").count("[") == sum(f["count"] for f in row["found"])
+
+
+def test_automaton_reads_repeats_once():
+    import time
+
+    import pyarrow as pa
+
+    values = ["a" * k for k in (2000, 1000, 500)]
+    start = time.monotonic()
+    done = automaton.redact(pa.array(["a" * 1_000_000 + "b"]), automaton.Automaton([v.encode() for v in values]), ["x", "y", "z"])
+    assert done[0].as_py()["text"] == "x" * 500 + "b" and time.monotonic() - start < 30
 
 
 @pytest.mark.parametrize("bounds", [{"inline": 0}, {"inline": 0, "shared": 0}])

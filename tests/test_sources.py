@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracesieve.functions.patterns import compile_patterns, matches_any
 from tracesieve.operators import publishing as pub
 from tracesieve.plans import collect as col
+from tracesieve.plans import collect_files as files
 from tracesieve.sources import lists, sinks
 from tracesieve.sources import sessions as src
 from tracesieve.streaming.collect_stream import stream_collect, streamed_manifest, streamed_sessions
@@ -169,3 +170,100 @@ def test_a_fault_is_not_an_empty_log(spark, monkeypatch):
     monkeypatch.setattr(type(spark.read), "load", refused)
     with pytest.raises(AnalysisException):
         path_exists(spark, "/nowhere")
+
+
+def long_file(path, n, bad=()):
+    """JSON lines, some blank, one with Windows line ends; returns the values of the lines."""
+    values = [{"i": i, "t": f"line {i} {KEY if i % 7 == 0 else 'é'}"} for i in range(n)]
+    with open(path, "w", newline="") as out:
+        for i, value in enumerate(values):
+            out.write("{" if i in bad else json.dumps(value, ensure_ascii=False))
+            out.write("\r\n" if i % 50 == 3 else "\n\n \n" if i % 50 == 4 else "\n")
+    return values
+
+
+def test_long_lines_are_numbered(spark, tmp_path):
+    """Ranges of a file count their lines on their own, whatever their number."""
+    long_file(tmp_path / "a b+c%20.jsonl", 3000)
+    long_file(tmp_path / "short.jsonl", 3)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    hashes = set()
+    for size in (2_000, 30_000, 1 << 27):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            lines = src.read_long_lines(spark, str(tmp_path), long_bytes=1000)
+            rows = sorted((r.line_no, json.loads(r.line)["i"], r.source_dir, r.filename) for r in lines.collect())
+            hashes.add(files.lines_hash(lines).first()["source_hash"])
+            assert size > 30_000 or lines.rdd.getNumPartitions() > 3
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert rows == [(i, i, str(tmp_path), "a b+c%20.jsonl") for i in range(3000)]
+    assert len(hashes) == 1, "the hash must not depend on the splits"
+
+
+def test_long_and_short_sessions_have_one_outcome(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    values = long_file(inbox / "good.jsonl", 200)
+    long_file(inbox / "bad.jsonl", 200, bad=[150])
+    long_file(inbox / "denied.jsonl", 200)
+    long_file(inbox / "listed.jsonl", 200)
+    (inbox / "no.json").write_text("{")
+    (inbox / "deep.json").write_text("[" * 100_000)
+    (inbox / "blank.jsonl").write_text("\n" * 500)
+    with open(inbox / "denied.jsonl", "a") as out:
+        out.write('{"t": "internal only"}\n')
+    reject = spark.createDataFrame([("listed.jsonl",)], "filename string")
+    runs = {}
+    for name, size in (("rows", 1 << 20), ("lines", 400)):
+        target = str(tmp_path / name)
+        rows = files.collect_files(spark, str(inbox), target, deny=["internal only"], reject=reject, long_bytes=size)
+        runs[name] = {r["filename"]: r for r in rows.collect()}
+    outcomes = {k: r["outcome"] for k, r in runs["rows"].items() if k != "blank.jsonl"}
+    assert outcomes == {k: r["outcome"] for k, r in runs["lines"].items() if k != "blank.jsonl"}
+    assert outcomes == {
+        "good.jsonl": "collected", "bad.jsonl": "failed", "denied.jsonl": "rejected", "listed.jsonl": "on_reject_list",
+        "no.json": "failed", "deep.json": "failed",
+    }
+    assert {r["error"] for r in runs["rows"].values()} == {None, "neither JSON nor JSON lines", "JSON nested too deep"}
+    for column in ("redactions_count", "match_count", "size_bytes"):
+        assert runs["rows"]["good.jsonl"][column] == runs["lines"]["good.jsonl"][column]
+    whole = files.redacted_rows(spark, str(tmp_path / "rows")).collect()
+    parts = sorted(files.redacted_rows(spark, str(tmp_path / "lines")).where("filename = 'good.jsonl'").collect(), key=lambda r: r["part"])
+    assert json.loads(next(r["content"] for r in whole if r["filename"] == "good.jsonl"))["lines"] == [json.loads(r["content"]) for r in parts]
+    assert [json.loads(r["content"])["i"] for r in parts] == [v["i"] for v in values]
+    assert not any(KEY in r["content"] for r in whole + parts)
+    again = files.collect_files(
+        spark, str(inbox), str(tmp_path / "again"), deny=["internal only"], reject=reject, long_bytes=400,
+        prev=files.collected_manifest(spark, str(tmp_path / "lines")),
+    )
+    assert {r["outcome"] for r in again.collect() if r["filename"] == "good.jsonl"} == {"unchanged"}
+
+
+def test_stream_takes_long_files(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    long_file(inbox / "a.jsonl", 100)
+    target = str(tmp_path / "out")
+    stream_collect(spark, str(inbox), target, str(tmp_path / "state"), long_bytes=400).awaitTermination()
+    assert files.redacted_rows(spark, target).count() == 100
+    assert streamed_manifest(spark, target).count() == 1
+
+
+def test_changed_files_are_collected_again(spark, tmp_path):
+    inbox, target = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    for name in "abc":
+        (inbox / f"{name}.json").write_text(json.dumps({"t": name}))
+    long_file(inbox / "l.jsonl", 60)
+    collect = lambda: files.collect_changed(spark, str(inbox), target, files_per_batch=2, long_bytes=400)
+    assert collect() == 4 and collect() == 0
+    (inbox / "b.json").write_text(json.dumps({"t": "edited"}))
+    (inbox / "d.json").write_text(json.dumps({"t": KEY}))
+    long_file(inbox / "l.jsonl", 61)
+    assert collect() == 3 and collect() == 0
+    newest = sinks.newest_rows(files.redacted_rows(spark, target)).collect()
+    texts = {r["filename"]: r["content"] for r in newest if r["part"] is None}
+    assert {k: json.loads(v)["t"] for k, v in texts.items()} == {"a.json": "a", "b.json": "edited", "c.json": "c", "d.json": "[REDACTED:GITLAB_TOKEN]"}
+    assert sum(r["filename"] == "l.jsonl" for r in newest) == 61
+    assert files.collected_manifest(spark, target).count() == 5

@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAF_FIELDS = "leaf:int,path:string,value:string,mime:string"
-PARSED_TYPE = f"struct<ok:boolean,compact:string,leaves:array<struct<{LEAF_FIELDS}>>>"
+PARSED_TYPE = f"struct<ok:boolean,error:string,compact:string,leaves:array<struct<{LEAF_FIELDS}>>>"
 
+# Why a session fails.
+NOT_JSON = "neither JSON nor JSON lines"
+TOO_DEEP = "JSON nested too deep"
+
+# Fixed value: keys that stand in a path without brackets, as child_path writes them.
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 _SURROGATE = re.compile("[\ud800-\udfff]")
 
@@ -120,15 +125,16 @@ def parse_and_list(texts: pa.Array) -> pa.Array:
                 }
                 for i, (path, box, key, mime) in enumerate(walk_strings(tree))
             ]
-            rows.append({"ok": True, "compact": compact(tree), "leaves": leaves})
-        except (ValueError, RecursionError):
-            rows.append({"ok": False, "compact": None, "leaves": None})
+            rows.append({"ok": True, "error": None, "compact": compact(tree), "leaves": leaves})
+        except (ValueError, RecursionError) as fault:
+            error = NOT_JSON if isinstance(fault, ValueError) else TOO_DEEP
+            rows.append({"ok": False, "error": error, "compact": None, "leaves": None})
     leaf = pa.struct(
         [("leaf", pa.int32()), ("path", pa.string()), ("value", pa.string()), ("mime", pa.string())]
     )
     return pa.array(
         rows,
-        pa.struct([("ok", pa.bool_()), ("compact", pa.string()), ("leaves", pa.list_(leaf))]),
+        pa.struct([("ok", pa.bool_()), ("error", pa.string()), ("compact", pa.string()), ("leaves", pa.list_(leaf))]),
     )
 
 
@@ -152,7 +158,7 @@ def put_back(texts: pa.Array, changes: pa.Array) -> pa.Array:
 
 
 def parsed(content: Column) -> Column:
-    """``struct<ok, compact, leaves>`` of a session; ``ok`` is false when it is not JSON."""
+    """``struct<ok, error, compact, leaves>`` of a session; ``ok`` is false when it is not JSON."""
     return F.arrow_udf(parse_and_list, PARSED_TYPE)(content)
 
 

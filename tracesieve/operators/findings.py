@@ -50,6 +50,23 @@ def _typed(doc: Column, path: str, kind: str, to: str) -> Column:
     return F.when(is_kind, F.try_variant_get(doc, path, to))
 
 
+_FIELDS = """DetectorName VARIANT, DecoderName VARIANT, Verified VARIANT, Raw VARIANT,
+    ExtraData STRUCT<verification_error: VARIANT, verificationError: VARIANT, error: VARIANT>,
+    SourceMetadata STRUCT<Data: STRUCT<Filesystem: STRUCT<file: VARIANT, line: VARIANT>>>"""
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _finding_fields(line: Column) -> Column:
+    """The fields of a line that is exactly one JSON object, else null. Of a key that repeats, the last
+    value counts.
+
+    Text that closes the brackets of one wrapper early cannot fit the other.
+    """
+    listed = F.from_json(F.concat(F.lit("["), line, F.lit("]")), f"ARRAY<STRUCT<{_FIELDS}>>", _STRICT)
+    closed = F.from_json(F.concat(F.lit('{"v":'), line, F.lit(',"z":0}')), "z INT", _STRICT)["z"] == 0
+    return F.when(closed & (F.size(listed) == 1), listed[0])
+
+
 def parse_findings(lines: DataFrame, line: str = "value") -> DataFrame:
     """Scanner output lines to findings.
 
@@ -58,22 +75,20 @@ def parse_findings(lines: DataFrame, line: str = "value") -> DataFrame:
     it; drop it before writing.
     """
     docs = lines.select(trimmed(F.col(line)).alias("_line")).where(F.col("_line").startswith("{"))
-    doc = docs.select(once(strict_json(F.col("_line"))).alias("_doc"))
-    d = F.col("_doc")
+    doc = docs.select(once(_finding_fields(F.col("_line"))).alias("_doc"))
+    d, place = F.col("_doc"), F.col("_doc.SourceMetadata.Data.Filesystem")
     text = "STRING"
     fields = doc.select(
-        _typed(d, "$.DetectorName", text, "string").alias("detector"),
-        _typed(d, "$.DecoderName", text, "string").alias("decoder"),
-        _typed(d, "$.Verified", "BOOLEAN", "boolean").alias("verified"),
-        _typed(d, "$.Raw", text, "string").alias("raw"),
+        _typed(d["DetectorName"], "$", text, "string").alias("detector"),
+        _typed(d["DecoderName"], "$", text, "string").alias("decoder"),
+        _typed(d["Verified"], "$", "BOOLEAN", "boolean").alias("verified"),
+        _typed(d["Raw"], "$", text, "string").alias("raw"),
         *[
-            _typed(d, f"$.ExtraData.{name}", text, "string").alias(f"_{name}")
+            _typed(d["ExtraData"][name], "$", text, "string").alias(f"_{name}")
             for name in ("verification_error", "verificationError", "error")
         ],
-        _typed(d, "$.SourceMetadata.Data.Filesystem.file", text, "string").alias("file"),
-        _typed(
-            d, "$.SourceMetadata.Data.Filesystem.line", "BIGINT|DECIMAL|DOUBLE|FLOAT", "bigint"
-        ).alias("line"),
+        _typed(place["file"], "$", text, "string").alias("file"),
+        _typed(place["line"], "$", "BIGINT|DECIMAL|DOUBLE|FLOAT", "bigint").alias("line"),
     ).where("detector is not null")
     return with_derived(fields)
 
@@ -201,19 +216,33 @@ def finding_examples(findings: DataFrame, limit: int = EXAMPLES) -> DataFrame:
     return first.groupBy("file").agg(texts.alias("examples"))
 
 
+def file_summaries(findings: DataFrame, limit: int = TOP_DETECTORS) -> DataFrame:
+    """:func:`summarize_findings` and :func:`top_detectors` from one aggregation by file and detector.
+
+    A file has as many of its rows as the scanner has kinds of detectors, however many findings.
+    """
+    status = F.col("status")
+    counts = findings.groupBy("file", "detector").agg(
+        F.count("*").alias("findings"),
+        *[F.count_if(status == s).alias(s) for s in ("verified", "unverified", "unknown")],
+    )
+    entry = F.struct((-F.col("findings")).alias("n"), unicode_order(F.col("detector")).alias("u"), "detector")
+    return counts.groupBy("file").agg(
+        *[F.sum(c).alias(c) for c in ("findings", "verified", "unverified", "unknown")],
+        F.transform(F.slice(F.sort_array(F.collect_list(entry)), 1, limit), lambda s: s["detector"]).alias("top_detectors"),
+    )
+
+
 def scan_reports(files: DataFrame, findings: DataFrame, content: str = "content") -> DataFrame:
     """One row per scanned file, also without findings: hash, counts, detectors, examples.
 
-    ``findings`` are deduplicated and attached. They stay in their own table; a report row
-    is bounded whatever a file contains. Content is hashed before any join.
+    ``findings`` are deduplicated and attached, and read twice: store them first if they are costly.
+    They stay in their own table; a report row is bounded whatever a file contains. Content is hashed
+    before any join.
     """
     hashed = files.select("file", F.sha2(F.col(content), 256).alias("redacted_hash"))
     none = F.array().cast("array<string>")
-    joined = (
-        hashed.join(summarize_findings(findings), ["file"], "left")
-        .join(top_detectors(findings), ["file"], "left")
-        .join(finding_examples(findings), ["file"], "left")
-    )
+    joined = hashed.join(file_summaries(findings), ["file"], "left").join(finding_examples(findings), ["file"], "left")
     return joined.select(
         "file",
         "redacted_hash",

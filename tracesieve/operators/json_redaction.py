@@ -15,11 +15,11 @@ from tracesieve.functions.detectors import any_may_match
 from tracesieve.functions.json_tree import parsed, with_leaves
 from tracesieve.functions.text import let, let_sql, once
 from tracesieve.operators.literals import (
+    PRESENT_TYPE,
     attach_present,
-    fold_literals,
     literal_findings,
+    replace_literals,
 )
-from tracesieve.operators.literal_search import PRESENT_TYPE
 from tracesieve.operators.redaction import findings_from_hits, scan_text
 
 IMAGE_REMOVED = "[IMAGE_REMOVED]"
@@ -79,7 +79,7 @@ def _leaf_result(leaf: Column, secrets: Column | None, images: bool) -> Column:
         start = F.struct(leaf["value"].alias("text"), none.alias("found"))
         return let(start, finish)
     present = F.filter(secrets, lambda s: leaf["value"].contains(s["value"]))
-    return let(fold_literals(leaf["value"], present), finish)
+    return let(let(present, lambda own: replace_literals(leaf["value"], own)), finish)
 
 
 def redacted_leaves(leaves: Column, secrets: Column | None, images: bool) -> Column:
@@ -100,9 +100,9 @@ def redacted_leaves(leaves: Column, secrets: Column | None, images: bool) -> Col
 
 
 def with_parsed(df: DataFrame, content: Column, kept: Sequence[str]) -> DataFrame:
-    """``kept`` columns plus ``_ok``, ``_compact`` and ``_leaves`` of the session text."""
+    """``kept`` columns plus ``_ok``, ``_error``, ``_compact`` and ``_leaves`` of the session text."""
     done = df.select(*kept, once(parsed(content)).alias("_p"))
-    parts = [F.col(f"_p.{f}").alias(f"_{f}") for f in ("ok", "compact", "leaves")]
+    parts = [F.col(f"_p.{f}").alias(f"_{f}") for f in ("ok", "error", "compact", "leaves")]
     return done.select(*kept, *parts)
 
 
@@ -156,7 +156,7 @@ def redact_object(
     Adds ``redacted`` (compact JSON, null when not JSON), ``redactions_count`` (leaves with a
     finding), ``match_count`` (single matches), ``images_stripped`` and ``changed``.
     """
-    listed = with_parsed(df, F.col(content), df.columns).drop("_ok")
+    listed = with_parsed(df, F.col(content), df.columns).drop("_ok", "_error")
     done = with_redaction(listed, keys, secrets, images, **bounds)
     return done.select("*", *redaction_counts(F.col("changed")))
 

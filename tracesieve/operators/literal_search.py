@@ -1,14 +1,9 @@
-"""Which of many literal secrets occur in which text, without trying every pair.
+"""Which of any number of literal secrets occur in which text, without trying every pair.
 
-Every secret is known by a hash of its first bytes (its *anchor*). Texts are scanned once,
-an Arrow buffer at a time: the hash of every window is probed against a bitmap of the
-anchors, and only the few windows that are in it are looked at again.
-
-* :func:`find_literals` - the secrets fit a checked bound. Tasks hold them and compare the
-  bytes at each probable place; nothing is shuffled.
-* :func:`literal_candidates` - any number of secrets. Tasks hold only two bitmaps (16 MB each
-  at most); what they let through joins the secrets by hash and the caller checks each
-  candidate against the text, so the answer is exact whatever the hashes do.
+Every secret is known by a hash of its first bytes (its *anchor*). Tasks hold two bitmaps only (16 MB
+each at most). Texts are scanned once, an Arrow buffer at a time: the hash of every window is probed
+against a bitmap of the anchors, and what that lets through joins the secrets by hash. The caller
+checks each candidate against the text, so the answer is exact whatever the hashes do.
 """
 
 from __future__ import annotations
@@ -19,10 +14,11 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.functions.text import once
+from tracesieve.operators.automaton import row_offsets
 from tracesieve.operators.joins import cut_lineage, salted_join
 
 # The helpers below travel to the Python workers by value.
@@ -37,8 +33,6 @@ SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MIX = 0xD6E8FEB86659FD93
 
-PRESENT_TYPE = "array<struct<value:string,replacement:string>>"
-
 
 def window_hashes(data: np.ndarray, widths) -> dict[int, np.ndarray]:
     """Hash of every window of each width; polynomial in wrapping 64-bit arithmetic."""
@@ -93,13 +87,6 @@ def bitmap_bits(n: int) -> int:
     return bits
 
 
-def row_offsets(texts: pa.Array) -> np.ndarray:
-    """Byte offsets of the rows in the data buffer, one more than there are rows."""
-    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-    offsets = np.frombuffer(texts.buffers()[1], dtype=kind)
-    return offsets[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-
-
 def row_ends(texts: pa.Array) -> list[int]:
     return row_offsets(texts)[1:].tolist()
 
@@ -130,47 +117,6 @@ def probable_places(texts: pa.Array, table: np.ndarray, widths):
             yield rows[inside], places[inside], width, hashes[hit[inside]]
 
 
-def find_literals(text: Column, secrets: DataFrame) -> Column:
-    """Array of the secrets that occur in ``text``, longest first.
-
-    ``secrets`` must have been measured: they are collected and sent to every executor.
-    """
-    spark = secrets.sparkSession
-    rows = sorted(
-        ((r["value"], r["replacement"]) for r in secrets.select("value", "replacement").collect()),
-        key=lambda r: (-len(r[0]), r[0]),
-    )
-    index = {value.encode("utf-8"): i for i, (value, _) in enumerate(rows)}
-    sizes: dict[tuple[int, int], set[int]] = {}
-    for raw in index:
-        width, h = anchor(raw)
-        sizes.setdefault((width, int(h)), set()).add(len(raw))
-    widths = sorted({width for width, _ in sizes})
-    table = make_bitmap(np.array([h for _, h in sizes], dtype=np.uint64), bitmap_bits(len(sizes)))
-    shared = spark.sparkContext.broadcast((rows, index, sizes, widths, table))
-
-    @F.arrow_udf(PRESENT_TYPE)
-    def search(texts: pa.Array) -> pa.Array:
-        rows, index, sizes, widths, table = shared.value
-        found: list[set[int]] = [set() for _ in range(len(texts))]
-        if widths and len(texts):
-            data, ends = texts.buffers()[2], row_ends(texts)
-            for at, places, width, hashes in probable_places(texts, table, widths):
-                for row, place, h in zip(at.tolist(), places.tolist(), hashes.tolist()):
-                    for size in sizes.get((width, h), ()):
-                        end = place + size
-                        i = index.get(data[place:end].to_pybytes()) if end <= ends[row] else None
-                        if i is not None:
-                            found[row].add(i)
-        values = [
-            [{"value": rows[i][0], "replacement": rows[i][1]} for i in sorted(hits)] for hits in found
-        ]
-        fields = pa.struct([("value", pa.string()), ("replacement", pa.string())])
-        return pa.array(values, pa.list_(fields))
-
-    return search(text)
-
-
 def full_hash(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 

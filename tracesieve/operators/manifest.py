@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.functions.text import basename
+from tracesieve.operators.publishing import newest_rows
 from tracesieve.operators.rules import KEY
 
 
@@ -28,8 +29,9 @@ def session_metadata(manifest: DataFrame, filename: str) -> DataFrame:
 
 
 def load_session(redacted: DataFrame, filename: str) -> DataFrame:
-    """Redacted text by name; no row when there is none. The filter reaches the scan."""
-    return redacted.where(F.col("filename") == filename)
+    """Redacted text by name, the newest copy in each directory; no row when there is none. The filter
+    reaches the scan."""
+    return newest_rows(redacted.where(F.col("filename") == filename))
 
 
 def add_rejected(reject: DataFrame, names: DataFrame, name: str = "filename") -> DataFrame:

@@ -11,9 +11,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.functions.text import kilobytes
+from tracesieve.operators.joins import keep_keys
 from tracesieve.operators.rules import KEY, drop_rejected, mark_rejected
 
 
+def newest_copies(redacted: DataFrame) -> DataFrame:
+    """Keys, ``size_bytes`` and what tells the newest copy of each session apart from older ones.
+
+    Without ``created_at`` every session is taken to have one copy.
+    """
+    if "created_at" not in redacted.columns:
+        return redacted.select(*KEY, "size_bytes").distinct()
+    marks = [c for c in ("created_at", "redacted_hash") if c in redacted.columns]
+    newest = F.max(F.struct(*marks, "size_bytes")).alias("_newest")
+    return redacted.groupBy(*KEY).agg(newest).select(*KEY, "_newest.*")
+
+
+def newest_rows(redacted: DataFrame) -> DataFrame:
+    """Rows of the newest copy of each session. Only names, times and hashes are compared."""
+    if "created_at" not in redacted.columns:
+        return redacted
+    newest = newest_copies(redacted)
+    marks = [c for c in newest.columns if c != "size_bytes"]
+    return keep_keys(redacted, newest, marks)
+
+
+def _one_copy(sessions: DataFrame) -> DataFrame:
+    return newest_copies(sessions) if "created_at" in sessions.columns else sessions
+
+
 def publishable(redacted: DataFrame, reject: DataFrame, denied: DataFrame) -> DataFrame:
     """Redacted sessions that are neither rejected nor denied by the current rules.
 
@@ -25,7 +51,9 @@ def publishable(redacted: DataFrame, reject: DataFrame, denied: DataFrame) -> Da
 
 
 def upload_plan(sessions: DataFrame, reject: DataFrame, log: DataFrame) -> DataFrame:
-    """``status`` of every session that is not rejected: ``pending`` or ``uploaded``."""
+    """``status`` of every session that is not rejected: ``pending`` or ``uploaded``. Of several copies
+    (``created_at``) the newest counts."""
+    sessions = _one_copy(sessions)
     allowed = drop_rejected(sessions, reject)
     done = log.select(*KEY).distinct().withColumn("_done", F.lit(True))
     return allowed.join(done, KEY, "left").select(
@@ -54,10 +82,11 @@ def workspace_stats(sessions: DataFrame, reject: DataFrame, log: DataFrame) -> D
     """Total, uploaded, pending and rejected counts and the pending bytes.
 
     As in the reference, ``uploaded`` includes rejected sessions and ``rejected`` counts names
-    on the list, even without a session; the parts need not add up to ``total``.
+    on the list, even without a session; the parts need not add up to ``total``. Of several copies of
+    a session the newest counts.
     """
     done = log.select(*KEY).distinct().withColumn("_done", F.lit(True))
-    marked = mark_rejected(sessions.select(*KEY, "size_bytes"), reject, "_rejected")
+    marked = mark_rejected(_one_copy(sessions).select(*KEY, "size_bytes"), reject, "_rejected")
     marked = marked.join(done, KEY, "left").withColumn("_done", F.coalesce("_done", F.lit(False)))
     pending = ~F.col("_done") & ~F.col("_rejected")
     counts = marked.agg(
@@ -78,8 +107,9 @@ def workspace_stats(sessions: DataFrame, reject: DataFrame, log: DataFrame) -> D
 
 
 def dataset_stats(sessions: DataFrame) -> DataFrame:
-    """Number and bytes of the redacted sessions, as a dataset card states them."""
-    sums = sessions.agg(
+    """Number and bytes of the redacted sessions, as a dataset card states them; of several copies the
+    newest counts."""
+    sums = _one_copy(sessions).agg(
         F.count("*").alias("num_examples"),
         F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("num_bytes"),
     )

@@ -94,11 +94,15 @@ def grep_sessions(
 ) -> DataFrame:
     """Sessions that may be published and whose whole redacted text matches.
 
-    The text is searched where it is read; only the names that match meet the reject list.
+    The text is searched where it is read; only the names that match meet the reject list and, where
+    sessions have copies (``created_at``), the newest copies.
     """
     searched = f"(?i){pattern}" if ignore_case else pattern
-    hits = sessions.where(F.col(content).rlike(searched)).select(*KEY)
-    return drop_rejected(hits, reject)
+    matching = sessions.where(F.col(content).rlike(searched))
+    if "created_at" in sessions.columns:
+        newest = sessions.groupBy(*KEY).agg(F.max("created_at").alias("created_at"))
+        matching = matching.select(*KEY, "created_at").join(newest, [*KEY, "created_at"], "left_semi").distinct()
+    return drop_rejected(matching.select(*KEY), reject)
 
 
 def grep_count(matches: DataFrame) -> DataFrame:

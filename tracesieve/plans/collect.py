@@ -20,6 +20,9 @@ from tracesieve.operators.rules import (
     mark_unchanged,
 )
 
+# Why a session without content fails.
+TOO_LARGE = "too large for one JSON value"
+
 # Fixed value: a report repeats this many redacted leaves at its head.
 REPORTED_LEAVES = 20
 
@@ -33,12 +36,12 @@ MANIFEST_COLUMNS = [
 ]
 
 
-def _decide(
+def decide(
     hashed: DataFrame,
     reject: DataFrame | None,
     deny: list[str],
     prev: DataFrame | None,
-    small: bool | None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Add ``outcome`` of the rules that need no parsing; null means: go on."""
     columns = hashed.columns
@@ -89,8 +92,8 @@ def collect(
         small = all(fits_broadcast(s) for s in sides)
     rows = sessions.select(*KEY, "content", hashing.source_hash(F.col("content")).alias("source_hash"))
     if small:
-        return _process(_decide(rows, reject, deny, prev, True), secrets, deny, strip_images, bounds)
-    decided = cut_lineage(_decide(rows.drop("content"), reject, deny, prev, False))
+        return _process(decide(rows, reject, deny, prev, True), secrets, deny, strip_images, bounds)
+    decided = cut_lineage(decide(rows.drop("content"), reject, deny, prev, False))
     todo = keep_keys(rows, decided.where("outcome is null"), KEY)
     todo = todo.withColumn("outcome", F.lit(None).cast("string"))
     done = _process(todo, secrets, deny, strip_images, bounds)
@@ -114,19 +117,18 @@ def _process(
         F.when(denied_by_content(F.col("_compact"), deny), F.lit("rejected")),
         F.lit("collected"),
     )
-    df = df.select(*base, once(outcome).alias("outcome"), "_compact", "_leaves")
-    going = F.col("outcome") == "collected"
-    df = df.select(
-        *base, "outcome", *[F.when(going, F.col(c)).alias(c) for c in ("_compact", "_leaves")]
-    )
+    error = F.when(outcome == "failed", F.coalesce("_error", F.lit(TOO_LARGE)))
+    df = df.select(*base, once(F.struct(outcome.alias("outcome"), error.alias("error"))).alias("_o"), "_compact", "_leaves")
+    going = F.col("_o.outcome") == "collected"
+    df = df.select(*base, "_o.*", *[F.when(going, F.col(c)).alias(c) for c in ("_compact", "_leaves")])
     df = with_redaction(df, KEY, secrets, strip_images, **bounds)
     count, matches, images = redaction_counts(F.col("changed"))
-    df = df.select(*base, "outcome", "redacted", count, matches, images, "changed")
+    df = df.select(*base, "outcome", "error", "redacted", count, matches, images, "changed")
     text = F.col("redacted")
     return df.select(
         *base,
         "outcome",
-        F.when(F.col("outcome") == "failed", F.lit("neither JSON nor JSON lines, or too large")).alias("error"),
+        "error",
         "redacted",
         hashing.redacted_hash(text).alias("redacted_hash"),
         F.when(

@@ -31,6 +31,21 @@ def parse_findings(spark, sf_dir):
     return _parsed(spark, sf_dir).select(*_PUBLIC)
 
 
+@query(
+    "duplicate_keys",
+    """SELECT event_id AS line, event_type AS detector, CASE WHEN event_id % 3 = 0 THEN 'verified' ELSE 'unverified' END AS status,
+      sha256(CAST(user_id AS STRING)) AS raw_sha256 FROM events WHERE event_id % 5 <> 0""",
+)
+def duplicate_keys(spark, sf_dir):
+    """Scanner lines that name a field twice, at the top and further in: the last one counts. One line in
+    five is cut off behind the repeated field."""
+    line = """'{"DetectorName": "first", "Verified": ' || (event_id % 3 <> 0) || ', "Raw": "a", "DetectorName": "' || event_type
+      || '", "Raw": "' || user_id || '", "SourceMetadata": {"Data": {"Filesystem": {"line": 1, "file": "f", "line": ' || event_id
+      || '}}}, "Verified": ' || (event_id % 3 = 0) || CASE WHEN event_id % 5 = 0 THEN '' ELSE '}' END"""
+    found = fnd.parse_findings(fx.table(spark, sf_dir, "events").selectExpr(f"{line} AS value"))
+    return found.select("line", "detector", "status", "raw_sha256")
+
+
 @query(
     "finding_status",
     """WITH e AS (SELECT event_id, event_id % 7 = 0 AS v,

@@ -8,6 +8,7 @@ from tracesieve.functions.text import count_occurrences, once, placeholder
 from tracesieve.operators import findings as fnd
 from tracesieve.operators import literals as lit
 from tracesieve.operators import redaction as red
+from tracesieve.operators.joins import cut_lineage
 from tracesieve.plans import fixtures as fx
 from tracesieve.plans import oracle_sql as o
 from tracesieve.plans.registry import query
@@ -166,6 +167,32 @@ def redact_literals_joined(spark, sf_dir):
     return _literal_result(lit.redact_literals(docs, secrets, keys=KEYS, inline=0, shared=0))
 
 
+_HEX = "substr(sha256(md5(text)), 1, 4)"
+
+
+@query(
+    "literal_inside_placeholder",
+    f"""WITH vals AS (SELECT md5(text) AS v FROM documents WHERE doc_id % 5 = 0 UNION SELECT {_HEX} FROM documents WHERE doc_id % 5 = 0),
+    -- Each secret first becomes one character of its own, so that no placeholder is searched.
+    marks AS (SELECT v, chr(CAST(983040 + row_number() OVER (ORDER BY v) AS INT)) AS c FROM vals),
+    secret_list AS (SELECT list({{'v': v, 'c': c, 'r': '[REDACTED:' || left(sha256(v), 8) || ']'}} ORDER BY length(v) DESC, v) AS secrets FROM marks),
+    texts AS (SELECT doc_id, text || ' ' || md5(text) || ' ' || {_HEX} AS text, secrets FROM documents, secret_list),
+    own AS (SELECT doc_id, text, list_filter(secrets, lambda s: contains(text, s.v)) AS secrets FROM texts),
+    cut AS (SELECT *, list_reduce(secrets, lambda acc, s: {{'v': replace(acc.v, s.v, s.c), 'c': '', 'r': ''}}, {{'v': text, 'c': '', 'r': ''}}).v AS t FROM own)
+    SELECT doc_id, sha256(list_reduce(secrets, lambda acc, s: {{'v': replace(acc.v, s.c, s.r), 'c': '', 'r': ''}}, {{'v': t, 'c': '', 'r': ''}}).v) AS redacted_sha,
+      CAST(len(list_filter(secrets, lambda s: contains(t, s.c))) AS BIGINT) AS secrets_found,
+      CAST(coalesce(list_sum(list_transform(secrets, lambda s: length(t) - length(replace(t, s.c, '')))), 0) AS BIGINT) AS found FROM cut""",
+)
+def literal_inside_placeholder(spark, sf_dir):
+    """Secrets that are part of other secrets' placeholders: what was put in is not rewritten."""
+    docs = fx.documents(spark, sf_dir)
+    short = F.left(F.sha2(F.md5("text"), 256), F.lit(4))
+    values = docs.where("doc_id % 5 = 0").select(F.explode(F.array(F.md5("text"), short)).alias("value")).distinct()
+    texts = docs.select("doc_id", F.concat_ws(" ", "text", F.md5("text"), short).alias("text"))
+    secrets = cut_lineage(values.withColumn("replacement", placeholder(F.col("value"))))
+    return _literal_result(lit.redact_literals(texts, secrets, keys=KEYS))
+
+
 @query(
     "redact_text",
     f"""WITH {o.PLANTED}, {o.TOKENS}, {o.SECRET_LIST},

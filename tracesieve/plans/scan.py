@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from tracesieve.operators import findings as fnd
+from tracesieve.operators.joins import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -21,9 +22,9 @@ def assess(files: DataFrame, found: DataFrame, content: str = "content") -> Scan
     """Assess findings (parsed, possibly repeated) of the scanned ``files`` (``file, content``).
 
     Copies are dropped before findings meet the files, so that a flood of repeated findings
-    never reaches the join.
+    never reaches the join. What is left is stored once: all results derive from it.
     """
-    known = fnd.attach_source(fnd.dedup_findings(found), files)
+    known = cut_lineage(fnd.attach_source(fnd.dedup_findings(found), files))
     reports = fnd.scan_reports(files, known, content)
     return Scan(known, reports, fnd.scan_totals(reports), fnd.blocking_reasons(reports))
 

@@ -11,10 +11,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from tracesieve.functions.patterns import compile_patterns, matches_any
+from tracesieve.functions.text import once
 from tracesieve.operators import findings as fnd
+from tracesieve.operators import publishing as pub
 from tracesieve.operators import trajectories as tr
 from tracesieve.operators.joins import checkpoint_folder
+from tracesieve.operators.publishing import newest_rows
 from tracesieve.plans import collect as col
+from tracesieve.plans import collect_files as files
 from tracesieve.plans import fixtures as fx
 from tracesieve.plans import oracle_sql as o
 from tracesieve.plans import scan
@@ -258,3 +262,122 @@ def collect_stream(spark, sf_dir):
         (F.col("lines") + single.select("n").scalar()).alias("lines"),
         (F.col("with_o") + single.select("o").scalar()).alias("with_o"),
     )
+
+
+_STEP = "lines ARRAY<STRUCT<step_key: STRING, message: STRING>>, step_key STRING, message STRING"
+
+
+def _steps_of(redacted):
+    """Key and message of every step, of sessions in one row and of those in lines."""
+    doc = F.from_json("content", _STEP)
+    steps = redacted.select(once(doc).alias("d")).select(
+        F.explode(F.coalesce("d.lines", F.array(F.struct("d.step_key", "d.message")))).alias("s")
+    )
+    return steps.select("s.step_key", F.sha2("s.message", 256).alias("message_sha"))
+
+
+@query(
+    "collect_files",
+    """SELECT conv_id || '-' || turn AS step_key, sha256(text || ' [REDACTED:OPENAI_KEY]') AS message_sha,
+      CAST((SELECT count(*) FROM conversations) AS BIGINT) AS redactions FROM conversations""",
+)
+def collect_files(spark, sf_dir):
+    """Session files of all sizes, the larger ones line by line; every step comes out redacted."""
+    path = scratch(spark)
+    turns = fx.table(spark, sf_dir, "conversations").select(
+        "role", F.concat_ws("-", "conv_id", "turn").alias("step_key"), F.expr("text || ' sk-' || md5(text)").alias("message")
+    )
+    turns.write.partitionBy("role").option("maxRecordsPerFile", 150).json(f"{path}/in")
+    _name_files(spark, f"{path}/in", f"{path}/files")
+    done = files.collect_files(spark, f"{path}/files", f"{path}/out", long_bytes=20_000)
+    total = done.agg(F.sum("redactions_count").alias("n")).scalar()
+    return _steps_of(files.redacted_rows(spark, f"{path}/out")).withColumn("redactions", total)
+
+
+def _name_files(spark, source, target, names=None):
+    """Move written files to ``target`` as ``.jsonl`` files named by their folder and number, over those
+    that are there. Names only pass through here."""
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs
+    system = hadoop.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop.Path(target))
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(source)
+    for k, row in enumerate(paths.select("path").orderBy("path").toLocalIterator()):
+        folder = row["path"].rsplit("/", 2)[1].split("=")[-1]
+        goal = hadoop.Path(f"{target}/{names(folder) if names else f'{folder}-{k}'}.jsonl")
+        system.delete(goal, False)
+        system.rename(hadoop.Path(row["path"]), goal)
+
+
+@query(
+    "collect_changed",
+    """SELECT conv_id || '-' || turn AS step_key, sha256(CASE WHEN conv_id % 16 < 4 THEN text || ' edited' ELSE text END) AS message_sha,
+      16 AS first_run, 4 AS second_run, 0 AS third_run FROM conversations""",
+)
+def collect_changed(spark, sf_dir):
+    """Files that change between two runs are collected again, the others are not."""
+    path, runs = scratch(spark), []
+    turns = fx.table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") % 16).alias("bucket"), F.concat_ws("-", "conv_id", "turn").alias("step_key"), F.col("text").alias("message")
+    )
+    edited = turns.where("bucket < 4").withColumn("message", F.concat("message", F.lit(" edited")))
+    for run, rows in enumerate((turns, edited, None)):
+        if rows is not None:
+            rows.repartition("bucket").write.partitionBy("bucket").json(f"{path}/in-{run}")
+            _name_files(spark, f"{path}/in-{run}", f"{path}/files", names=lambda bucket: f"s-{bucket}")
+        runs.append(files.collect_changed(spark, f"{path}/files", f"{path}/out", long_bytes=20_000))
+    newest = newest_rows(files.redacted_rows(spark, f"{path}/out"))
+    counts = [F.lit(n).alias(name) for n, name in zip(runs, ("first_run", "second_run", "third_run"))]
+    return _steps_of(newest).select("*", *counts)
+
+
+def _redacted_copies(spark, sf_dir, path):
+    """All sessions as they are, then the English ones again without their last word."""
+    docs = fx.planted(spark, sf_dir)
+    again = docs.where("lang = 'en'").withColumn("text", F.regexp_replace("text", r"\s\S*\z", ""))
+    for rows in (docs, again):
+        text = F.col("text")
+        done = rows.select(
+            "source_dir", "filename", F.lit("collected").alias("outcome"), text.alias("redacted"),
+            F.sha2(text, 256).alias("redacted_hash"), F.octet_length(text).cast("bigint").alias("size_bytes"),
+        )
+        sinks.write_redacted(done, path)
+    return spark.read.parquet(path)
+
+
+_NEWEST = f"""{o.PLANTED}, newest AS (SELECT lang, source_dir, filename,
+    CASE WHEN lang = 'en' THEN regexp_replace(text, '\\s\\S*\\z', '') ELSE text END AS text FROM planted)"""
+
+
+@query(
+    "recollect_round_trip",
+    f"""WITH {_NEWEST} SELECT filename, sha256(text) AS content_sha, (SELECT count(*) FROM newest) AS num_examples,
+      CAST((SELECT sum(strlen(text)) FROM newest) AS BIGINT) AS num_bytes FROM newest""",
+)
+def recollect_round_trip(spark, sf_dir):
+    """Sessions collected twice: every reader sees the newest copy."""
+    redacted = _redacted_copies(spark, sf_dir, f"{scratch(spark)}/redacted")
+    stats = pub.dataset_stats(redacted)
+    return newest_rows(redacted).select(
+        "filename",
+        F.sha2("content", 256).alias("content_sha"),
+        stats.select("num_examples").scalar().alias("num_examples"),
+        stats.select("num_bytes").scalar().alias("num_bytes"),
+    )
+
+
+@query(
+    "publish_denied",
+    f"""WITH {_NEWEST}, {o.REJECT} SELECT filename, sha256(text) AS content_sha FROM newest
+    WHERE lang NOT IN ('de', 'fr') AND filename NOT IN (SELECT filename FROM reject)""",
+)
+def publish_denied(spark, sf_dir):
+    """What is denied, blocked by the scan or rejected stays back, whichever copy it is."""
+    path = scratch(spark)
+    redacted = _redacted_copies(spark, sf_dir, f"{path}/redacted")
+    docs = fx.planted(spark, sf_dir)
+    keys = lambda lang: docs.where(F.col("lang") == lang).select("source_dir", "filename")
+    reject = fx.reject_list(spark, sf_dir)
+    for _ in range(2):
+        sinks.publish_dataset(redacted, reject, f"{path}/log", f"{path}/data", denied=keys("de"), blocked=keys("fr"))
+    return spark.read.parquet(f"{path}/data").select("filename", F.sha2("content", 256).alias("content_sha"))

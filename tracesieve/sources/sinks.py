@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracesieve.operators.findings import scan_totals
 from tracesieve.operators.joins import cut_lineage, keep_keys
-from tracesieve.operators.publishing import record_uploads, upload_plan
+from tracesieve.operators.publishing import newest_copies, newest_rows, record_uploads, upload_plan
 from tracesieve.operators.rules import KEY
 from tracesieve.sources.lists import PUBLISH_LOG_SCHEMA, path_exists
 
@@ -27,10 +27,9 @@ def save_collected(collected: DataFrame, path: str) -> DataFrame:
 def write_redacted(collected: DataFrame, path: str, mode: str = "append") -> None:
     """Collected sessions as Parquet: keys, text, hashes and when they were written.
 
-    A session collected again gets a further row; ``newest_copies`` and ``publish_dataset`` take
-    the newest one only.
+    A session collected again gets a further row; all readers take the newest one only.
     """
-    rows = collected.where("outcome = 'collected'").select(
+    rows = collected.where("outcome = 'collected' and redacted is not null").select(
         *KEY,
         F.col("redacted").alias("content"),
         "redacted_hash",
@@ -41,7 +40,8 @@ def write_redacted(collected: DataFrame, path: str, mode: str = "append") -> Non
 
 
 def write_reports(reports: DataFrame, path: str, mode: str = "append") -> None:
-    reports.write.mode(mode).json(path)
+    """Reports with the time of writing, so that the newest one of a session can be told."""
+    reports.withColumn("created_at", F.current_timestamp()).write.mode(mode).json(path)
 
 
 def write_scan_reports(
@@ -62,18 +62,6 @@ def write_scan_reports(
     summary.write.mode("overwrite").json(f"{path}/summary")
 
 
-def newest_copies(redacted: DataFrame) -> DataFrame:
-    """Keys, ``size_bytes`` and what tells the newest copy of each session apart from older ones.
-
-    Without ``created_at`` every session is taken to have one copy.
-    """
-    marks = [c for c in ("created_at", "redacted_hash") if c in redacted.columns]
-    if "created_at" not in marks:
-        return redacted.select(*KEY, "size_bytes").distinct()
-    newest = F.max(F.struct(*marks, "size_bytes")).alias("_newest")
-    return redacted.groupBy(*KEY).agg(newest).select(*KEY, "_newest.*")
-
-
 def publish_dataset(
     redacted: DataFrame,
     reject: DataFrame,

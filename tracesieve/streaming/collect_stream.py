@@ -1,7 +1,8 @@
-"""Collect as files arrive: the batch plan, run on each micro-batch.
+"""Collect as files arrive: the batch plan, run on the names of each micro-batch.
 
-The checkpoint remembers file names, so a changed file under an old name is not read again;
-edits need the batch run.
+The stream itself reads names only, so a file of any size is collected, or fails, as in a batch run.
+Its checkpoint remembers names; files that change under their name are the work of
+:func:`~tracesieve.plans.collect_files.collect_changed`, which writes to the same target.
 """
 
 from __future__ import annotations
@@ -11,11 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tracesieve.operators.hashing import created_at
-from tracesieve.operators.manifest import upsert_manifest
-from tracesieve.plans.collect import MANIFEST_COLUMNS, collect
-from tracesieve.sources.sessions import SESSION_FILES, shape_files
-from tracesieve.sources.sinks import save_collected
+from tracesieve.plans.collect_files import FILES_PER_BATCH, collect_files, collected_manifest, collected_rows
+from tracesieve.sources.sessions import LONG_BYTES, SESSION_FILES
 
 BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -29,7 +27,8 @@ def stream_collect(
     deny: Iterable[str] = (),
     reject: DataFrame | None = None,
     strip_images: bool = False,
-    files_per_batch: int = 10_000,
+    files_per_batch: int = FILES_PER_BATCH,
+    long_bytes: int = LONG_BYTES,
 ) -> StreamingQuery:
     """Collect all files not seen before and stop.
 
@@ -46,12 +45,14 @@ def stream_collect(
     deny = list(deny)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        done = collect(batch, secrets, deny, reject, strip_images=strip_images)
-        stamped = done.withColumn("created_at", created_at())
-        save_collected(stamped, f"{target}/batch={batch_id}")
+        paths = [r["path"] for r in batch.collect()]  # ``files_per_batch`` at most
+        if paths:
+            collect_files(
+                spark, paths, target, secrets, deny, reject, strip_images=strip_images, long_bytes=long_bytes, batch=batch_id
+            )
 
     return (
-        shape_files(files)
+        files.select("path")
         .writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -61,11 +62,9 @@ def stream_collect(
 
 def streamed_sessions(spark: SparkSession, target: str) -> DataFrame:
     """Collected rows of all batches, whatever their outcome."""
-    return spark.read.parquet(target)
+    return collected_rows(spark, target)
 
 
 def streamed_manifest(spark: SparkSession, target: str) -> DataFrame:
     """The manifest over all batches: the newest row of each session."""
-    rows = streamed_sessions(spark, target).where("outcome = 'collected'")
-    rows = rows.select(*MANIFEST_COLUMNS, "created_at")
-    return upsert_manifest(rows.limit(0), rows)
+    return collected_manifest(spark, target)
