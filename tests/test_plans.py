@@ -11,6 +11,7 @@ from tracesieve.operators import manifest, rules
 from tracesieve.operators import redaction as red
 from tracesieve.operators import trajectories as tr
 from tracesieve.plans import collect as col
+from tracesieve.plans import scan
 
 
 def plan(df):
@@ -95,3 +96,56 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     before = text[text.index("Exchange"):]
     assert "WindowGroupLimit" in before and "Partial" in before
     assert "partial_count" in plan(fnd.summarize_findings(found))
+
+
+def test_text_is_not_shuffled_for_many_new_sessions(spark, tmp_path):
+    """300,000 new sessions beside 300,000 known ones: names meet, content does not."""
+    path = str(tmp_path / "many")
+    spark.range(600_000).select(
+        F.lit("d").alias("source_dir"), F.concat(F.lit("f"), "id").alias("filename"), F.concat(F.lit('{"t":"'), "id", F.lit('"}')).alias("content")
+    ).write.parquet(path)
+    df = spark.read.parquet(path)
+    known = df.where("cast(substr(filename, 2) as int) % 2 = 0")
+    prev = known.select("source_dir", "filename", F.sha2("content", 256).alias("source_hash"))
+    done = col.collect(df, prev=prev)
+    text = plan(done)
+    assert "content" in text and "words" in text
+    for line in text.splitlines():
+        if "Exchange" in line or "Join" in line:
+            assert "content" not in line and "compact" not in line
+    counts = {r["outcome"]: r["count"] for r in done.groupBy("outcome").count().collect()}
+    assert counts == {"unchanged": 300_000, "collected": 300_000}
+    new = done.where("outcome = 'collected'")
+    assert new.where("cast(substr(filename, 2) as int) % 2 = 0").count() == 0
+
+
+def test_cascade_is_exact(spark):
+    keys = spark.range(40_000).select(F.xxhash64("id").cast("string").alias("k"), "id", F.lit("wide").alias("w"))
+    inside, outside = keys.where("id % 3 = 0"), keys.where("id % 3 <> 0")
+    from tracesieve.operators import membership
+
+    for small in (0, 10, 100_000):
+        kept = membership.keep_known(keys, inside.select("k"), outside.select("k"), ["k"], max_rows=small)
+        assert sorted(r["id"] for r in kept.collect()) == list(range(0, 40_000, 3))
+        assert kept.columns == keys.columns
+
+
+def test_old_manifest_is_read_as_it_is(spark, tmp_path):
+    """An upsert sorts and shuffles the new rows; the old table meets their names."""
+    columns = "source_dir string, filename string, source_hash string, created_at timestamp"
+    old = spark.range(1000).selectExpr("'d' source_dir", "concat('f', id) filename", "'h' source_hash", "timestamp'2024-01-01' created_at")
+    old.write.parquet(str(tmp_path / "old"))
+    new = spark.createDataFrame([("d", "f1", "n", None), ("d", "x", "n", None)], columns)
+    text = plan(manifest.upsert_manifest(spark.read.parquet(str(tmp_path / "old")), new))
+    before = text[: text.index("Scan parquet")] if "Scan parquet" in text else text[: text.index("FileScan")]
+    assert "LeftAnti" in before and "SortAggregate" not in before and "Exchange hashpartitioning" not in before
+
+
+def test_scan_reports_read_lines_once(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    lines = spark.range(50).select(F.format_string('{"DetectorName":"d%d","SourceMetadata":{"Data":{"Filesystem":{"file":"f%d"}}}}', F.col("id") % 5, F.col("id") % 3).alias("value"))
+    files = spark.createDataFrame([("f0", "x"), ("f1", "y"), ("f9", "z")], "file string, content string")
+    result = scan.scan_lines(files, lines)
+    text = plan(result.reports)
+    assert "from_json" not in text and text.count("Exchange hashpartitioning") <= 4
+    assert [r["findings"] for r in result.reports.orderBy("file").collect()] == [17, 17, 0]

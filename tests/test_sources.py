@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracesieve.functions.patterns import compile_patterns, matches_any
+from tracesieve.operators import manifest
 from tracesieve.operators import publishing as pub
 from tracesieve.plans import collect as col
 from tracesieve.plans import collect_files as files
@@ -136,9 +137,9 @@ def test_stream(spark, tmp_path):
     stream_collect(spark, str(inbox), target, state).awaitTermination()
     rows = {r["filename"]: r["outcome"] for r in streamed_sessions(spark, target).collect()}
     assert rows == {"a.json": "collected", "bad.json": "failed", "b.json": "collected", "c.json": "collected"}
-    manifest = streamed_manifest(spark, target)
-    assert sorted(r["filename"] for r in manifest.collect()) == ["a.json", "b.json", "c.json"]
-    assert "created_at" in manifest.columns
+    rows = streamed_manifest(spark, target)
+    assert sorted(r["filename"] for r in rows.collect()) == ["a.json", "b.json", "c.json"]
+    assert "created_at" in rows.columns
 
 
 def test_only_the_newest_copy_is_published(spark, tmp_path):
@@ -267,3 +268,40 @@ def test_changed_files_are_collected_again(spark, tmp_path):
     assert {k: json.loads(v)["t"] for k, v in texts.items()} == {"a.json": "a", "b.json": "edited", "c.json": "c", "d.json": "[REDACTED:GITLAB_TOKEN]"}
     assert sum(r["filename"] == "l.jsonl" for r in newest) == 61
     assert files.collected_manifest(spark, target).count() == 5
+
+
+def test_a_run_that_dies_publishes_nothing_twice(spark, tmp_path, monkeypatch):
+    columns = "source_dir string, filename string, content string, size_bytes long"
+    redacted = spark.createDataFrame([("d", name, "text", 4) for name in "abc"], columns)
+    reject = spark.createDataFrame([], "filename string")
+    log, data = str(tmp_path / "log"), str(tmp_path / "data")
+    sinks.publish_dataset(redacted.where("filename = 'a'"), reject, log, data)
+    whole = sinks.record_uploads
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(sinks, "record_uploads", dies)
+    with pytest.raises(RuntimeError):
+        sinks.publish_dataset(redacted, reject, log, data)
+    names = lambda df: sorted(r["filename"] for r in df.collect())
+    assert names(sinks.read_dataset(spark, data, log)) == ["a"] == names(sinks.read_publish_log(spark, log))
+    monkeypatch.setattr(sinks, "record_uploads", whole)
+    sinks.publish_dataset(redacted, reject, log, data)
+    assert names(sinks.read_dataset(spark, data, log)) == ["a", "b", "c"] == names(sinks.read_publish_log(spark, log))
+    assert spark.read.parquet(data).count() == 3
+
+
+def test_manifest_table_writes_touched_parts_only(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    columns = "source_dir string, filename string, source_hash string, created_at timestamp"
+    rows = lambda names, h: spark.createDataFrame([("d", n, h, None) for n in names], columns)
+    manifest.update_manifest(spark, path, rows([f"f{i}" for i in range(200)], "1"), buckets=16)
+    stamp = lambda: {p: os.stat(f"{path}/{p}").st_mtime_ns for p in os.listdir(path) if p.startswith("bucket=")}
+    before = stamp()
+    manifest.update_manifest(spark, path, rows(["f7", "new"], "2").unionByName(rows(["new"], "1")), buckets=16)
+    after = stamp()
+    assert len(before) == 16 and 1 <= sum(before[p] != after[p] for p in before) <= 2
+    found = {r["filename"]: r["source_hash"] for r in manifest.read_manifest_table(spark, path).collect()}
+    assert len(found) == 201 and {k for k, h in found.items() if h == "2"} == {"f7", "new"}
+    assert manifest.read_manifest_table(spark, path).count() == 201

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +91,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         return df.checkpoint()
     warnings.warn("spark.checkpoint.dir is not set: results are computed again where used", stacklevel=2)
     return df
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """False only if nothing is there; other faults, such as a refused access, are raised."""
+    try:
+        spark.read.format("binaryFile").load(path)
+        return True
+    except PySparkException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False

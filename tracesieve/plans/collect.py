@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tracesieve.functions.text import once
 from tracesieve.operators import hashing
-from tracesieve.operators.joins import cut_lineage, fits_broadcast, keep_keys
+from tracesieve.operators.joins import cut_lineage, fits_broadcast
 from tracesieve.operators.json_redaction import redaction_counts, with_parsed, with_redaction
+from tracesieve.operators.membership import keep_known
 from tracesieve.operators.rules import (
     KEY,
     comparable,
@@ -76,8 +77,9 @@ def collect(
     hashes and counts, and what was redacted where.
 
     Short reject lists and manifests are broadcast and the sessions are read once. Long ones
-    meet only names and hashes; the sessions left over are then read again, so their text
-    is not shuffled to find out that nothing changed. ``small`` overrides the measurement.
+    meet only names and hashes; the sessions left over are then read again and picked out where they
+    are read (:func:`~tracesieve.operators.membership.keep_known`), so no text is shuffled.
+    ``small`` overrides the measurement.
 
     ``rules_hash`` (see :func:`~tracesieve.operators.hashing.rules_fingerprint`) limits the
     comparison to sessions redacted under the same rules.
@@ -94,10 +96,10 @@ def collect(
     if small:
         return _process(decide(rows, reject, deny, prev, True), secrets, deny, strip_images, bounds)
     decided = cut_lineage(decide(rows.drop("content"), reject, deny, prev, False))
-    todo = keep_keys(rows, decided.where("outcome is null"), KEY)
+    stopped = decided.where("outcome is not null")
+    todo = keep_known(rows, decided.where("outcome is null"), stopped, KEY)
     todo = todo.withColumn("outcome", F.lit(None).cast("string"))
     done = _process(todo, secrets, deny, strip_images, bounds)
-    stopped = decided.where("outcome is not null")
     return done.unionByName(stopped, allowMissingColumns=True)
 
 

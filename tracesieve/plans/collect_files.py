@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracesieve.operators import hashing
 from tracesieve.operators.joins import cut_lineage, sized_join
 from tracesieve.operators.json_redaction import redaction_counts, with_parsed, with_redaction
+from tracesieve.operators.manifest import read_manifest_table, update_manifest
 from tracesieve.operators.rules import KEY, comparable, denied_by_content
 from tracesieve.plans.collect import MANIFEST_COLUMNS, collect, decide
 from tracesieve.sources.lists import path_exists
@@ -24,8 +25,9 @@ from tracesieve.sources.sinks import save_collected
 
 # Lines whose hashes are folded into one.
 FOLD = 4096
-# The lines of long sessions lie below their sessions; Spark does not take such folders for partitions.
+# Tables below the sessions' own folder; Spark does not take such names for partitions.
 LINES = "_lines"
+MANIFEST = "_manifest"
 SEEN = "_seen"
 SEEN_SCHEMA = "path STRING, size BIGINT, modified TIMESTAMP, run BIGINT"
 FILES_PER_BATCH = 10_000
@@ -135,7 +137,9 @@ def collect_files(
         empty = todo.join(read.select(*KEY), KEY, "left_anti")
         stopped = decided.where("outcome is not null").unionByName(empty.withColumn("outcome", F.lit("failed")), allowMissingColumns=True)
         done = done.unionByName(read, allowMissingColumns=True).unionByName(stopped, allowMissingColumns=True)
-    return save_collected(done.withColumn("created_at", hashing.created_at()), f"{target}/batch={batch}")
+    saved = save_collected(done.withColumn("created_at", hashing.created_at()), f"{target}/batch={batch}")
+    update_manifest(spark, f"{target}/{MANIFEST}", saved.where("outcome = 'collected'").select(*MANIFEST_COLUMNS, "created_at"))
+    return saved
 
 
 def collected_rows(spark: SparkSession, target: str) -> DataFrame:
@@ -160,11 +164,11 @@ def redacted_rows(spark: SparkSession, target: str) -> DataFrame:
 
 
 def collected_manifest(spark: SparkSession, target: str) -> DataFrame:
-    """The newest manifest row of each session, over all batches."""
-    rows = collected_rows(spark, target).where("outcome = 'collected'").select(*MANIFEST_COLUMNS, "created_at")
-    values = [c for c in rows.columns if c not in KEY]
-    newest = F.max(F.struct("created_at", *[c for c in values if c != "created_at"]))
-    return rows.groupBy(*KEY).agg(newest.alias("_row")).select(*KEY, "_row.*").select(*rows.columns)
+    """One manifest row for each session, over all batches: each batch is merged into the table."""
+    path = f"{target}/{MANIFEST}"
+    if not path_exists(spark, path):
+        return collected_rows(spark, target).select(*MANIFEST_COLUMNS, "created_at").limit(0)
+    return read_manifest_table(spark, path)
 
 
 def collect_changed(

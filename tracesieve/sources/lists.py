@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesieve.functions.text import once, trimmed
 from tracesieve.operators.findings import strict_json
+from tracesieve.operators.joins import path_exists as path_exists
 
 MANIFEST_SCHEMA = (
     "source_dir STRING, filename STRING, source_hash STRING, redacted_hash STRING, "
@@ -71,14 +71,3 @@ def read_image_assets(spark: SparkSession, path: str) -> DataFrame:
 
 def image_assets(files: DataFrame, name: str = "filename") -> DataFrame:
     return files.where(F.col(name).rlike(r"(?i)\.(png|jpg|jpeg|gif|webp|svg)$"))
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """False only if nothing is there; other faults, such as a refused access, are raised."""
-    try:
-        spark.read.format("binaryFile").load(path)
-        return True
-    except PySparkException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False

@@ -1,4 +1,5 @@
-"""Tables the work ends in. Spark's committer makes each write all-or-nothing."""
+"""Tables the work ends in. Spark's committer makes each write all-or-nothing; what takes several writes
+counts once its marker is there."""
 
 from __future__ import annotations
 
@@ -71,15 +72,18 @@ def publish_dataset(
     denied: DataFrame | None = None,
     blocked: DataFrame | None = None,
 ) -> DataFrame:
-    """Append the pending sessions to the dataset, then their entries to the log.
+    """Write the pending sessions to the dataset and their entries to the log, as one run.
 
     ``redacted`` has keys, ``content`` and ``size_bytes``; of several copies (``created_at``) only
     the newest is published, so text redacted by older rules never goes out. Sessions in
     ``denied`` (keys) or ``blocked`` (keys, as of the scan's blocking reasons) stay back. Returns
     the plan with ``status``.
-    A run that dies between the two writes publishes sessions twice at worst; it never
-    records one that is not there.
+
+    A run has a folder of its own in the dataset and in the log; a marker written last makes both of
+    them count. A run that dies before is written over by the next one, so nothing is published
+    twice and nothing is recorded that is not there. Read with :func:`read_dataset`.
     """
+    spark, run = redacted.sparkSession, len(committed_runs(redacted.sparkSession, log_path))
     log = read_publish_log(redacted.sparkSession, log_path)
     newest = newest_copies(redacted)
     for held_back in (denied, blocked):
@@ -93,15 +97,39 @@ def publish_dataset(
     pending = plan.where("status = 'pending'").select(*KEY)
     one_copy = [c for c in newest.columns if c != "size_bytes"]
     chosen = newest.join(pending, KEY, "left_semi")
-    keep_keys(redacted, chosen, one_copy).write.mode("append").option(
-        "maxRecordsPerFile", MAX_RECORDS
-    ).parquet(dataset_path)
-    record_uploads(log.limit(0), pending, sizes).write.mode("append").parquet(log_path)
+    data = keep_keys(redacted, chosen, one_copy).write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS)
+    data.parquet(f"{dataset_path}/run={run}")
+    record_uploads(log.limit(0), pending, sizes).write.mode("overwrite").parquet(f"{log_path}/run={run}")
+    marker = spark.range(1).select(F.lit(str(run)).alias("value")).coalesce(1)
+    marker.write.mode("overwrite").text(f"{_markers(log_path)}/run={run}")
     return plan
 
 
+def _markers(log_path: str) -> str:
+    return f"{log_path.rstrip('/')}-committed"
+
+
+def committed_runs(spark: SparkSession, log_path: str) -> list[int]:
+    """Numbers of the runs that were finished, one for each call that published."""
+    if not path_exists(spark, _markers(log_path)):
+        return []
+    return sorted(int(r["value"]) for r in spark.read.text(_markers(log_path)).select("value").collect())
+
+
+def read_dataset(spark: SparkSession, dataset_path: str, log_path: str) -> DataFrame:
+    """Published sessions of finished runs."""
+    return _committed(spark.read.parquet(dataset_path), committed_runs(spark, log_path)).drop("run")
+
+
+def _committed(rows: DataFrame, runs: list[int]) -> DataFrame:
+    """Rows of finished runs. These are numbered without gaps, so a bound on the number prunes folders."""
+    return rows.where(F.col("run") < len(runs))
+
+
 def read_publish_log(spark: SparkSession, log_path: str) -> DataFrame:
-    """The publish log; empty before the first run."""
-    if not path_exists(spark, log_path):
+    """The publish log of finished runs; empty before the first."""
+    runs = committed_runs(spark, log_path)
+    if not runs:
         return spark.createDataFrame([], PUBLISH_LOG_SCHEMA)
-    return spark.read.schema(PUBLISH_LOG_SCHEMA).parquet(log_path)
+    rows = spark.read.schema(f"{PUBLISH_LOG_SCHEMA}, run INT").parquet(log_path)
+    return _committed(rows, runs).drop("run")
