@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -115,19 +116,80 @@ class Detector:
 DETECTORS = [Detector(i, *row) for i, row in enumerate(DETECTOR_TABLE)]
 
 
-def any_may_match(t: str) -> str:
+EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+# The same addresses, found in one pass: an address starts where the run of its characters does or
+# the last one ended, and its domain is read label by label, up to the last that can end it.
+_OTHER_LABELS = r"(?:\.(?![A-Za-z]{2})[A-Za-z0-9\-]++)*+"
+EMAIL_ONE_PASS = (
+    r"(?:(?<![A-Za-z0-9._%+\-])|\G)[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++"
+    rf"(?:{_OTHER_LABELS}\.[A-Za-z]{{2,}}+(?:[A-Za-z0-9\-]*+(?={_OTHER_LABELS}\.[A-Za-z]{{2}}))?+)++"
+)
+KEY_VALUE = (
+    r"((?i:api[_-]?key|secret|token|password|passwd)\w*[ \t]*[=:][ \t]*[\"']?)"
+    r"([^\s\"'\[,;]{8,})"
+)
+
+
+@dataclass(frozen=True)
+class ExtraRule:
+    """A rule that runs after all detectors where it is asked for by name. What precedes the matched
+    ``group`` stays."""
+
+    name: str
+    index: int
+    regex: str
+    kind: str
+    severity: str
+    gate: str
+    before: str = ""
+    group: int = 0
+
+    @property
+    def replacement(self) -> str:
+        return f"[REDACTED:{self.kind}]"
+
+    def may_match(self, t: str) -> str:
+        return "(" + " OR ".join(f"contains(lower({t}), '{word}')" for word in self.gate.split()) + ")"
+
+    def replace_in(self, t: str) -> str:
+        return f"regexp_replace({t}, {sql_string(self.regex)}, '{self.before}{self.replacement}')"
+
+    def matches_in(self, t: str) -> str:
+        return f"regexp_extract_all({t}, {sql_string(self.regex)}, {self.group})"
+
+
+_AFTER = len(DETECTORS)
+EXTRA_RULES = {
+    rule.name: rule
+    for rule in (
+        ExtraRule("email", _AFTER, EMAIL_ONE_PASS, "EMAIL", "medium", "@"),
+        ExtraRule("key_value", _AFTER + 1, KEY_VALUE, "KEY_VALUE", "high", "key secret token passw", "$1", 2),
+    )
+}
+
+
+def chosen_rules(extra: Iterable[str]) -> list:
+    """All detectors, then the extra rules of these names in their fixed order."""
+    extra = set(extra)
+    if unknown := extra - set(EXTRA_RULES):
+        raise ValueError(f"no such rules: {sorted(unknown)}")
+    return [*DETECTORS, *(rule for name, rule in EXTRA_RULES.items() if name in extra)]
+
+
+def any_may_match(t: str, extra: Iterable[str] = ()) -> str:
     """SQL text that is false only when no detector can match ``t``, whatever the others
     rewrote before.
 
     Placeholders put in by earlier detectors hold none of the required substrings, so
     testing the original text is enough.
     """
-    return "(" + " OR ".join(d.may_match(t) for d in DETECTORS) + ")"
+    return "(" + " OR ".join(d.may_match(t) for d in chosen_rules(extra)) + ")"
 
 
 def detector_info() -> Column:
     """Constant array of (detector, severity, replacement), by detector index."""
-    rows = ", ".join(f"('{d.kind}', '{d.severity}', '{d.replacement}')" for d in DETECTORS)
+    rules = chosen_rules(EXTRA_RULES)
+    rows = ", ".join(f"('{d.kind}', '{d.severity}', '{d.replacement}')" for d in rules)
     return F.expr(
         f"CAST(array({rows}) AS ARRAY<STRUCT<detector: STRING, severity: STRING, replacement: STRING>>)"
     )

@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracesieve.functions.detectors import DETECTOR_TABLE
+from tracesieve.functions.detectors import DETECTOR_TABLE, EXTRA_RULES
 
 
 def source_hash(content: Column) -> Column:
@@ -38,13 +38,15 @@ def rules_fingerprint(
     deny: Iterable[str] = (),
     strip_images: bool = False,
     salt: str = "",
+    extra_rules: Iterable[str] = (),
 ) -> str:
     """One hash for everything that decides what redaction does.
 
     The secrets enter as an order-free combination of their hashes, computed by Spark: two
     numbers and a count reach the driver, however many secrets there are.
     """
-    parts = [DETECTOR_TABLE, sorted(deny), strip_images, salt]
+    extra = [vars(EXTRA_RULES[name]) for name in sorted(extra_rules)]
+    parts = [DETECTOR_TABLE, sorted(deny), strip_images, salt, *([extra] if extra else [])]
     if secrets is not None:
         sha = F.sha2(F.col("value"), 256)
         halves = [F.conv(F.substring(sha, at, 15), 16, 10).cast("bigint") for at in (1, 16)]

@@ -61,20 +61,6 @@ def sized_join(
     return salted_join(many, one, on, spread, how)
 
 
-def keep_keys(
-    wide: DataFrame, keys: DataFrame, on: list[str], max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Rows of ``wide`` whose key is in ``keys``.
-
-    Few keys are broadcast, so wide rows are filtered where they are read. Many keys mean
-    most rows survive; then a shuffle join on the (unique) key is the honest cost.
-    """
-    keys = keys.select(*on)
-    if fits_broadcast(keys, max_rows):
-        keys = F.broadcast(keys)
-    return wide.join(keys, on, "left_semi")
-
-
 def checkpoint_folder(spark: SparkSession) -> str | None:
     """The shared folder the cluster names, or one set on the context, as tests do."""
     named = spark.conf.get("spark.checkpoint.dir", None)

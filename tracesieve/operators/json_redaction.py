@@ -56,7 +56,7 @@ def strip_images(leaves: DataFrame, value: str = "value", mime: str = "mime") ->
     )
 
 
-def _leaf_result(leaf: Column, secrets: Column | None, images: bool) -> Column:
+def _leaf_result(leaf: Column, secrets: Column | None, images: bool, extra: Sequence[str]) -> Column:
     none = F.array().cast(f"array<{_FINDING}>")
 
     def finish(lit: Column) -> Column:
@@ -73,7 +73,7 @@ def _leaf_result(leaf: Column, secrets: Column | None, images: bool) -> Column:
                 image.alias("image"),
             )
 
-        return let(scan_text(lit["text"]), result)
+        return let(scan_text(lit["text"], extra), result)
 
     if secrets is None:
         start = F.struct(leaf["value"].alias("text"), none.alias("found"))
@@ -82,11 +82,11 @@ def _leaf_result(leaf: Column, secrets: Column | None, images: bool) -> Column:
     return let(let(present, lambda own: replace_literals(leaf["value"], own)), finish)
 
 
-def redacted_leaves(leaves: Column, secrets: Column | None, images: bool) -> Column:
+def redacted_leaves(leaves: Column, secrets: Column | None, images: bool, extra: Sequence[str] = ()) -> Column:
     """Result of every leaf that changes; the others are passed over after cheap tests."""
 
     def may_change(leaf: Column) -> Column:
-        test = let_sql(leaf["value"], "t", any_may_match("t"))
+        test = let_sql(leaf["value"], "t", any_may_match("t", extra))
         if secrets is not None:
             test = test | F.exists(secrets, lambda s: leaf["value"].contains(s["value"]))
         if images:
@@ -94,7 +94,7 @@ def redacted_leaves(leaves: Column, secrets: Column | None, images: bool) -> Col
         return F.coalesce(test, F.lit(False))
 
     done = F.transform(
-        F.filter(leaves, may_change), lambda leaf: _leaf_result(leaf, secrets, images)
+        F.filter(leaves, may_change), lambda leaf: _leaf_result(leaf, secrets, images, extra)
     )
     return F.filter(done, lambda r: (F.size(r["findings"]) > 0) | r["image"])
 
@@ -111,6 +111,7 @@ def with_redaction(
     keys: Sequence[str],
     secrets: DataFrame | None = None,
     images: bool = False,
+    extra: Sequence[str] = (),
     **bounds: int,
 ) -> DataFrame:
     """Replace ``_compact`` and ``_leaves`` by ``changed`` (array of leaf results) and
@@ -129,7 +130,7 @@ def with_redaction(
         ).drop("_joined")
         held = F.coalesce(F.col("_secrets"), F.array().cast(PRESENT_TYPE))
     df = df.select(
-        *kept, "_compact", once(redacted_leaves(leaves, held, images)).alias("changed")
+        *kept, "_compact", once(redacted_leaves(leaves, held, images, extra)).alias("changed")
     )
     rewrite = F.size("changed") > 0
     new = with_leaves(
@@ -149,15 +150,17 @@ def redact_object(
     keys: Sequence[str] = ("source_dir", "filename"),
     secrets: DataFrame | None = None,
     images: bool = False,
+    extra: Sequence[str] = (),
     **bounds: int,
 ) -> DataFrame:
-    """Redact every string leaf of each JSON session; keys, numbers and booleans stay.
+    """Redact every string leaf of each JSON session; keys, numbers and booleans stay. ``extra`` names
+    rules beside the detectors (``email``, ``key_value``).
 
     Adds ``redacted`` (compact JSON, null when not JSON), ``redactions_count`` (leaves with a
     finding), ``match_count`` (single matches), ``images_stripped`` and ``changed``.
     """
     listed = with_parsed(df, F.col(content), df.columns).drop("_ok", "_error")
-    done = with_redaction(listed, keys, secrets, images, **bounds)
+    done = with_redaction(listed, keys, secrets, images, extra, **bounds)
     return done.select("*", *redaction_counts(F.col("changed")))
 
 

@@ -1,26 +1,26 @@
-"""Exact membership tests at the scan, for key sets that are too many to broadcast.
+"""Exact membership tests for key sets that are too many to broadcast.
 
-A cascade of Bloom filters: the first is made of the keys to keep, the second of those other keys that
-pass the first by mistake, and so on, until the mistakes are few enough to be broadcast as they are. All
-keys that can come are known, so the answer is exact. Ten bits a key travel, and no wide row is shuffled.
+:func:`keep_keys` tests a Bloom filter of the keys where the rows are read, so that only those that
+nearly all stay are joined. :func:`keep_known` shuffles no row at all, where every key that can come is
+known: a cascade of Bloom filters: the first is made of the keys to keep, the second of those other keys that
+pass the first by mistake, and so on, until the mistakes are few enough to be broadcast as they are.
+Ten bits a key travel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracesieve.operators.joins import BROADCAST_ROWS, cut_lineage, fits_broadcast, keep_keys
+from tracesieve.operators.joins import BROADCAST_ROWS, cut_lineage, fits_broadcast
 
 BITS_PER_KEY = 10
 PROBES = 7
 # A filter takes 64 MB at most, enough for 50 million keys.
 MAX_BITS = 1 << 29
 LEVELS = 4
+SEGMENT_BITS = 12
+SEGMENT = 1 << SEGMENT_BITS
 
 
 def _slot(on: list[str], probe: int, bits: Column) -> Column:
@@ -28,30 +28,49 @@ def _slot(on: list[str], probe: int, bits: Column) -> Column:
 
 
 def bloom_filter(keys: DataFrame, on: list[str], count: int) -> DataFrame:
-    """One row with ``words``: the filter's bits. They are set by Spark; the words, not the keys, pass
-    through the driver."""
-    bits = 1 << 12
+    """One row with ``words``: the filter's bits as 64-bit words, in segments. Each segment is put together
+    by a task; only the whole filter, of a bounded size, is one row."""
+    bits = 64 * SEGMENT
     while bits < count * BITS_PER_KEY:
         bits *= 2
     slots = keys.select(F.explode(F.array(*[_slot(on, k, F.lit(bits)) for k in range(PROBES)])).alias("slot"))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot").bitwiseAND(63).cast("int"))
-    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    dense = np.zeros(bits // 64, np.int64)
-    dense[words["word"].to_numpy()] = words["bits"].to_numpy()
-    lists = pa.ListArray.from_arrays(pa.array([0, len(dense)], pa.int32()), pa.array(dense))
-    return keys.sparkSession.createDataFrame(pa.table({"words": lists}))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(bit).alias("word"))
+    every = keys.sparkSession.range(bits // 64).join(words, "id", "left")
+    ordered = lambda at, value: F.transform(F.sort_array(F.collect_list(F.struct(at, value))), lambda x: x[value])
+    segments = every.withColumn("word", F.coalesce("word", F.lit(0))).groupBy(F.expr(f"id div {SEGMENT}").alias("segment"))
+    segments = segments.agg(ordered("id", "word").alias("part"))
+    return segments.agg(ordered("segment", "part").alias("words"))
 
 
 def may_contain(words: Column, on: list[str]) -> Column:
     """False only for keys that were not put into the filter."""
     test = F.lit(True)
     for k in range(PROBES):
-        slot = _slot(on, k, F.size(words).cast("bigint") * 64)
-        word = F.get(words, F.shiftright(slot, 6).cast("int"))
+        slot = _slot(on, k, F.size(words).cast("bigint") * (64 * SEGMENT))
+        part = F.get(words, F.shiftright(slot, 6 + SEGMENT_BITS).cast("int"))
+        word = F.get(part, F.shiftright(slot, 6).bitwiseAND(SEGMENT - 1).cast("int"))
         test &= F.bit_get(word, slot.bitwiseAND(63).cast("int")) == 1
     return test
 
 
+def keep_keys(wide: DataFrame, keys: DataFrame, on: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``wide`` whose key is in ``keys``.
+
+    Few keys are broadcast. Of many, a filter is tested where the rows are read, and only the rows that
+    pass, about those that stay, are shuffled to meet the keys.
+    """
+    keys = keys.select(*on)
+    if fits_broadcast(keys, max_rows):
+        return wide.join(F.broadcast(keys), on, "left_semi")
+    count = keys.count()
+    if count * BITS_PER_KEY <= MAX_BITS:
+        words = cut_lineage(bloom_filter(keys, on, count))
+        tested = wide.withColumn("_words", words.scalar()).where(may_contain(F.col("_words"), on))
+        wide = tested.select(*wide.columns)
+    return wide.join(keys, on, "left_semi")
+
+
 def keep_known(
     wide: DataFrame, members: DataFrame, others: DataFrame, on: list[str], max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.functions.text import kilobytes
-from tracesieve.operators.joins import keep_keys
+from tracesieve.operators.membership import keep_keys
 from tracesieve.operators.rules import KEY, drop_rejected, mark_rejected
 
 

@@ -13,28 +13,17 @@ tail of the longer one readable.)
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracesieve.functions.detectors import DETECTORS, detector_info
+from tracesieve.functions.detectors import DETECTORS, EMAIL_ONE_PASS, KEY_VALUE, chosen_rules, detector_info
+from tracesieve.functions.detectors import EMAIL as EMAIL
 from tracesieve.functions.text import let, let_sql, mask_secret, once
 
 HIT_TYPE = "array<struct<rule:int,match:string>>"
 
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
-# The same addresses, found in one pass: an address starts where the run of its characters does or
-# the last one ended, and its domain is read label by label, up to the last that can end it.
-_OTHER_LABELS = r"(?:\.(?![A-Za-z]{2})[A-Za-z0-9\-]++)*+"
-EMAIL_ONE_PASS = (
-    r"(?:(?<![A-Za-z0-9._%+\-])|\G)[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++"
-    rf"(?:{_OTHER_LABELS}\.[A-Za-z]{{2,}}+(?:[A-Za-z0-9\-]*+(?={_OTHER_LABELS}\.[A-Za-z]{{2}}))?+)++"
-)
-KEY_VALUE = (
-    r"((?i:api[_-]?key|secret|token|password|passwd)\w*[ \t]*[=:][ \t]*[\"']?)"
-    r"([^\s\"'\[,;]{8,})"
-)
-
-
 def redacted_text(text: Column) -> Column:
     """``text`` after all detectors, in order."""
     body = "t"
@@ -45,8 +34,9 @@ def redacted_text(text: Column) -> Column:
     return let_sql(text, "t", body)
 
 
-def scan_text(text: Column) -> Column:
-    """``struct<text, hits>``: the rewritten text and every match as (rule, match).
+def scan_text(text: Column, extra: Iterable[str] = ()) -> Column:
+    """``struct<text, hits>``: the rewritten text and every match as (rule, match). ``extra`` names rules
+    that run after the detectors: ``email``, ``key_value``.
 
     ``hits`` holds raw secrets: turn it into findings or masks before anything is written.
 
@@ -55,7 +45,7 @@ def scan_text(text: Column) -> Column:
     once Catalyst pushed a filter or a join key through it.
     """
     body = f"named_struct('text', t, 'hits', CAST(array() AS {HIT_TYPE}))"
-    for d in DETECTORS:
+    for d in chosen_rules(extra):
         s = f"s{d.index}"
         t = f"{s}.text"
         found = f"transform({d.matches_in(t)}, m -> named_struct('rule', {d.index}, 'match', m))"

@@ -70,6 +70,7 @@ def collect(
     strip_images: bool = False,
     rules_hash: str | None = None,
     small: bool | None = None,
+    extra_rules: Iterable[str] = (),
     **bounds: int,
 ) -> DataFrame:
     """One row per session with ``outcome``: ``on_reject_list``, ``rejected`` (a deny pattern
@@ -82,9 +83,10 @@ def collect(
     ``small`` overrides the measurement.
 
     ``rules_hash`` (see :func:`~tracesieve.operators.hashing.rules_fingerprint`) limits the
-    comparison to sessions redacted under the same rules.
+    comparison to sessions redacted under the same rules. ``extra_rules`` names rules beside the
+    detectors: ``email``, ``key_value``.
     """
-    deny = list(deny)
+    deny, extra = list(deny), list(extra_rules)
     if force:
         prev = None
     if prev is not None:
@@ -94,12 +96,12 @@ def collect(
         small = all(fits_broadcast(s) for s in sides)
     rows = sessions.select(*KEY, "content", hashing.source_hash(F.col("content")).alias("source_hash"))
     if small:
-        return _process(decide(rows, reject, deny, prev, True), secrets, deny, strip_images, bounds)
+        return _process(decide(rows, reject, deny, prev, True), secrets, deny, strip_images, extra, bounds)
     decided = cut_lineage(decide(rows.drop("content"), reject, deny, prev, False))
     stopped = decided.where("outcome is not null")
     todo = keep_known(rows, decided.where("outcome is null"), stopped, KEY)
     todo = todo.withColumn("outcome", F.lit(None).cast("string"))
-    done = _process(todo, secrets, deny, strip_images, bounds)
+    done = _process(todo, secrets, deny, strip_images, extra, bounds)
     return done.unionByName(stopped, allowMissingColumns=True)
 
 
@@ -108,6 +110,7 @@ def _process(
     secrets: DataFrame | None,
     deny: list[str],
     strip_images: bool,
+    extra: list[str],
     bounds: dict,
 ) -> DataFrame:
     base = [*KEY, "source_hash"]
@@ -123,7 +126,7 @@ def _process(
     df = df.select(*base, once(F.struct(outcome.alias("outcome"), error.alias("error"))).alias("_o"), "_compact", "_leaves")
     going = F.col("_o.outcome") == "collected"
     df = df.select(*base, "_o.*", *[F.when(going, F.col(c)).alias(c) for c in ("_compact", "_leaves")])
-    df = with_redaction(df, KEY, secrets, strip_images, **bounds)
+    df = with_redaction(df, KEY, secrets, strip_images, extra, **bounds)
     count, matches, images = redaction_counts(F.col("changed"))
     df = df.select(*base, "outcome", "error", "redacted", count, matches, images, "changed")
     text = F.col("redacted")

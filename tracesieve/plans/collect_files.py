@@ -52,7 +52,7 @@ def lines_hash(lines: DataFrame) -> DataFrame:
 
 
 def redact_lines(
-    lines: DataFrame, secrets: DataFrame | None, deny: Iterable[str], strip_images: bool, **bounds: int
+    lines: DataFrame, secrets: DataFrame | None, deny: Iterable[str], strip_images: bool, extra: list[str], **bounds: int
 ) -> DataFrame:
     """Every line as a JSON value of its own, redacted: ``KEY, line_no, line_sha, error, denied, redacted``,
     counts and ``changed`` with paths below ``$.lines``."""
@@ -60,7 +60,7 @@ def redact_lines(
     df = lines.select(*KEY, "line_no", "line", F.sha2("line", 256).alias("line_sha"))
     df = with_parsed(df, F.col("line"), [*KEY, "line_no", "line_sha"])
     df = df.withColumnRenamed("_error", "error").withColumn("denied", F.coalesce(denied_by_content(F.col("_compact"), deny), F.lit(False)))
-    df = with_redaction(df.select(*base, "_compact", "_leaves"), [*KEY, "line_no"], secrets, strip_images, **bounds)
+    df = with_redaction(df.select(*base, "_compact", "_leaves"), [*KEY, "line_no"], secrets, strip_images, extra, **bounds)
     root = F.concat(F.lit("$.lines["), F.col("line_no").cast("string"), F.lit("]"))
     moved = F.transform("changed", lambda r: r.withField("path", F.concat(root, F.substr(r["path"], F.lit(2)))))
     return df.select(*base, "redacted", *redaction_counts(F.col("changed")), moved.alias("changed"))
@@ -107,6 +107,7 @@ def collect_files(
     rules_hash: str | None = None,
     long_bytes: int = LONG_BYTES,
     batch: str | int = 0,
+    extra_rules: Iterable[str] = (),
     **bounds: int,
 ) -> DataFrame:
     """Collect session files into ``target`` and return their rows, read back: those of
@@ -115,11 +116,14 @@ def collect_files(
 
     Long JSON lines go line by line; :func:`redacted_rows` has the text of both kinds.
     """
-    deny = list(deny)
+    deny, extra = list(deny), list(extra_rules)
     prev = None if force else prev
     rows = read_sessions(spark, paths, long_bytes=long_bytes)
     long_file = is_long(F.col("filename"), F.col("size"), long_bytes)
-    done = collect(rows.where(~long_file), secrets, deny, reject, prev, strip_images=strip_images, rules_hash=rules_hash, **bounds)
+    done = collect(
+        rows.where(~long_file), secrets, deny, reject, prev,
+        strip_images=strip_images, rules_hash=rules_hash, extra_rules=extra, **bounds,
+    )
     files = list_sessions(spark, paths).where(long_file)
     if files.limit(1).count():
         lines = read_long_lines(spark, paths, long_bytes=long_bytes)
@@ -131,7 +135,7 @@ def collect_files(
         todo = decided.where("outcome is null").select(*KEY)
         lines = sized_join(lines, todo, KEY, "left_semi", spread=["line_no"])
         long_path = f"{target}/{LINES}/batch={batch}"
-        redact_lines(lines, secrets, deny, strip_images, **bounds).write.mode("overwrite").parquet(long_path)
+        redact_lines(lines, secrets, deny, strip_images, extra, **bounds).write.mode("overwrite").parquet(long_path)
         read = sessions_of_lines(spark.read.parquet(long_path))
         # A file without a line that is not blank is a session without lines.
         empty = todo.join(read.select(*KEY), KEY, "left_anti")

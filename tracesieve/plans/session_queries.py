@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracesieve.functions.detectors import EMAIL, KEY_VALUE
 from tracesieve.functions.json_tree import parsed
 from tracesieve.functions.text import once
 from tracesieve.operators import hashing
@@ -495,3 +496,24 @@ def remove_rejected(spark, sf_dir):
     lines = fx.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_discount > 0.05")
     names = lines.selectExpr("'red/doc_' || CAST(l_orderkey AS STRING) || '.json' AS filename")
     return man.remove_rejected(fx.reject_list(spark, sf_dir), names)
+
+
+@query(
+    "collect_extra_rules",
+    f"""WITH e AS (SELECT doc_id, text, regexp_replace(text, {o.quoted(EMAIL)}, '[REDACTED:EMAIL]', 'g') AS t FROM documents),
+    k AS (SELECT *, regexp_replace(t, {o.quoted(KEY_VALUE)}, '\\1[REDACTED:KEY_VALUE]', 'g') AS done FROM e)
+    SELECT {fx.FILENAME} AS filename, sha256(done) AS text_sha, CAST(len(regexp_extract_all(text, {o.quoted(EMAIL)})) AS BIGINT) AS emails,
+      CAST(len(regexp_extract_all(t, {o.quoted(KEY_VALUE)})) AS BIGINT) AS pairs FROM k WHERE done <> text""",
+)
+def collect_extra_rules(spark, sf_dir):
+    """E-mail and key-value rules within the collect run; the documents have nothing for the detectors."""
+    docs = fx.plain(spark, sf_dir)
+    rows = docs.select("source_dir", "filename", F.to_json(F.struct(F.col("text").alias("t"))).alias("content"))
+    done = col.collect(rows, extra_rules=["key_value", "email"])
+    leaf = done.where("size(changed) > 0").select("filename", F.explode("changed").alias("l"))
+
+    def count(name):
+        own = F.filter("l.findings", lambda f: f["detector"] == name)
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda n, f: n + f["count"])
+
+    return leaf.select("filename", F.sha2("l.text", 256).alias("text_sha"), count("EMAIL").alias("emails"), count("KEY_VALUE").alias("pairs"))

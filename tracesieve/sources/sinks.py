@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesieve.operators.findings import scan_totals
-from tracesieve.operators.joins import cut_lineage, keep_keys
+from tracesieve.operators.joins import cut_lineage
+from tracesieve.operators.membership import keep_keys
 from tracesieve.operators.publishing import newest_copies, newest_rows, record_uploads, upload_plan
 from tracesieve.operators.rules import KEY
 from tracesieve.sources.lists import PUBLISH_LOG_SCHEMA, path_exists

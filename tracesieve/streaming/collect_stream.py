@@ -29,6 +29,7 @@ def stream_collect(
     strip_images: bool = False,
     files_per_batch: int = FILES_PER_BATCH,
     long_bytes: int = LONG_BYTES,
+    extra_rules: Iterable[str] = (),
 ) -> StreamingQuery:
     """Collect all files not seen before and stop.
 
@@ -42,14 +43,15 @@ def stream_collect(
         .option("maxFilesPerTrigger", files_per_batch)
         .load(source)
     )
-    deny = list(deny)
+    deny, extra = list(deny), list(extra_rules)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         paths = [r["path"] for r in batch.collect()]  # ``files_per_batch`` at most
         if paths:
             collect_files(
-                spark, paths, target, secrets, deny, reject, strip_images=strip_images, long_bytes=long_bytes, batch=batch_id
-            )
+                spark, paths, target, secrets, deny, reject,
+                strip_images=strip_images, long_bytes=long_bytes, batch=batch_id, extra_rules=extra,
+            )
 
     return (
         files.select("path")
