@@ -171,8 +171,8 @@ def expression(rules: list[Rule], prefix: str = "") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> list[Rule]:
     """Rules learned from up to ``rows`` labelled documents (quality 0: bad, 1: good; null: unused).
 
-    An id that is labelled twice counts as bad if any label says so. Only numbers of the chosen rows
-    reach the driver: eleven a row, ``rows`` rows."""
+    An id that is labelled twice counts as bad if any label says so; of rows that repeat a labelled id,
+    one is used. Only numbers of the chosen rows reach the driver: eleven a row, ``rows`` rows."""
     label = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
@@ -186,7 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     measured = fitting.select("doc_id", "quality", statistics_column(F.col("text")).alias("stats"))
     names = features()
     measured = measured.select("doc_id", "quality", "stats.*")
-    found = measured.select("doc_id", "quality", *[c.alias(n) for n, c in names.items()]).toPandas()
+    measured = measured.select("doc_id", "quality", *[c.alias(n) for n, c in names.items()])
+    # However often an id repeats, one row of it leaves the task.
+    found = measured.groupBy("doc_id", "quality").agg(F.min(F.struct(*names)).alias("least")).select("doc_id", "quality", "least.*").toPandas()
     found = found.sort_values(["doc_id", *names]).reset_index(drop=True)
     columns = {n: found[n].to_numpy(np.float64) for n in names}
     # A fixed shuffle, so that neither part of the examples follows the order of ids.

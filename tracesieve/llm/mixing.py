@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracesieve.llm.common import WORD, free_name, stored
+from tracesieve.operators.joins import fits_broadcast
 
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
+#: Tasks that a source is dealt to where sources are too many to broadcast.
+SALTS = 16
 LEVEL_BITS = 12
 LEVELS = 3
 HASH_BITS = LEVEL_BITS * LEVELS
@@ -90,7 +93,14 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
             )
             same = rows["source"].eqNullSafe(edge["source"])
             inside = (F.col("bucket") >= F.col("from")) & (F.col("bucket") < F.col("to"))
-            rows = rows.join(F.broadcast(edge), same & inside).select(rows["source"], "size", "bucket")
+            if fits_broadcast(edge):
+                edge = F.broadcast(edge)
+            else:
+                # One row a source, and very many sources: a hot one is dealt to several tasks.
+                rows = rows.withColumn("salt", F.pmod(F.col("bucket"), F.lit(SALTS)))
+                edge = edge.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+                same = rows["source"].eqNullSafe(edge["source"]) & (F.col("salt") == F.col("of_salt"))
+            rows = rows.join(edge, same & inside).select(rows["source"], "size", "bucket")
         histogram = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
         summed = histogram.select("source", "bucket", "size", F.sum("size").over(along).alias("upto"))
         budget = found.select(F.col("source").alias("of"), "rest", "prefix")
