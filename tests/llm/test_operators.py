@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tracesieve.llm import chat, components, decision_list, embeddings, fuzzy_lines, mixing, packing, secret_lexer, simhash, substring, text_stats, token_codec
+from tracesieve.llm import chat, components, decision_list, embeddings, fuzzy_lines, mixing, packing, secret_lexer, simhash, substring, text_stats, token_codec, tokens
 from tracesieve.llm.queries import tokenizer
 from tracesieve.llm.tokens import encoder
 
@@ -406,7 +406,6 @@ def plain_ids(name, text, end):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer(name))
-    own.encode_special_tokens = True
     return [*own.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -449,6 +448,31 @@ def test_packing(docs, rows, none):
     assert packing.pack(none, tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_memory_of_chunks_has_two_generations(monkeypatch):
+    """Whatever is forgotten in between, ids are the library's; what comes again stays."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    monkeypatch.setattr(tokens, "GROUP", 7)
+    own = tokens.Encoder(tokenizer("word_bpe_49k.json"), tokens.WORD_LEVEL)
+    words = vocabulary(4, 300)
+    for k in range(60):
+        some = [" ".join(words[k * 5 : k * 5 + 9]) + " always here", f"<|endoftext|> {words[k]}"]
+        for text, ids in zip(some, own.encode(some)):
+            assert np.frombuffer(ids, "<u4").tolist() == library_ids("word_bpe_49k.json", text)
+        assert len(own.known) <= 60 and len(own.older) <= 60 and "always" in own.known
+
+
+def test_rows_of_one_id_are_spread_over_ranges(spark):
+    table = spark.range(3000, numPartitions=6).selectExpr("cast(7 as long) doc_id", "cast(id as string) text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = token_codec.encode_table(table, tokenizer("word_bpe_49k.json"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    found = token_codec.token_digests(blocks).collect()
+    assert blocks.select("part").distinct().count() > 2 and len(found) == 3000
+    assert sorted(x.start for x in found)[-1] + max(found, key=lambda x: x.start).n_tokens == sum(x.n_tokens for x in found)
+
+
 def test_rows_that_repeat_are_dealt_to_many_shards(spark):
     table = spark.range(600).selectExpr("cast(null as long) doc_id", "cast(null as string) text")
     found = packing.pack(table, tokenizer("byte_bpe_50k.json"), shard=64).collect()
@@ -475,7 +499,7 @@ def test_special_tokens_in_texts_are_the_librarys(name, byte_level):
     r = random.Random(21)
     parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "  ", "\n", "a", "Été", ".", "!", "|", "'s", "<", "12", "\x1c", "\xa0"]
     some = [*SPECIAL, *("".join(r.choices(parts, k=r.randint(1, 12))) for _ in range(300))]
-    for text, ids in zip(some, encoder(tokenizer(name), byte_level, plain=False).encode(some)):
+    for text, ids in zip(some, encoder(tokenizer(name), byte_level).encode(some)):
         assert np.frombuffer(ids, "<u4").tolist() == library_ids(name, text), text
 
 

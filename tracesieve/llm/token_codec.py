@@ -112,10 +112,12 @@ def write_tokens(
 ) -> None:
     """Encode every text, append ``end_id``, and write blocks in ascending order of ids to ``path``.
 
-    Null ids come first; rows of equal id are ordered by their text; null texts are empty."""
+    Null ids come first; the order of rows of equal id is not fixed, so that any number of them are spread
+    over ranges; null texts are empty."""
     rows = id_and_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)))
+    ordered = salted.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").drop("salt")
     end = np.array([end_id], "<u4").tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +131,7 @@ def write_tokens(
             columns += [pa.array([names], pa.list_(id_type)), pa.array([pack_block(waiting)])]
             return pa.RecordBatch.from_arrays(columns, ["part", "block", "before", "n_ids", "doc_ids", "payload"])
 
-        encode = encoder(tokenizer, byte_level, plain=False).encode
+        encode = encoder(tokenizer, byte_level).encode
         for batch in batches:
             id_type = batch.schema.field(0).type
             for start in range(0, batch.num_rows, SLICE):

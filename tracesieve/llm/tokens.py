@@ -3,7 +3,7 @@
 Both pre-tokenizers cut a text at white space whatever stands around it, so the ids of a text are
 those of its chunks, one after another. No chunk ends inside a special token: it has no white space,
 and a chunk that holds a ``<`` goes on to the next white space. Chunks repeat a lot; each worker keeps the ids of those it
-has met, at most ``REMEMBERED``. Texts with characters that Python and the tokenizer may class
+has met of late, at most twice ``REMEMBERED`` and those of one batch. Texts with characters that Python and the tokenizer may class
 differently go to the tokenizer whole.
 """
 
@@ -14,7 +14,12 @@ import re
 from array import array
 from functools import lru_cache
 
-REMEMBERED = 500_000
+import numpy as np
+
+# Chunks remembered in each of two generations.
+REMEMBERED = 350_000
+# New chunks that are encoded as one text.
+GROUP = 256
 # Letters of Latin-1. A chunk ends after them where white space or one of these marks follows: for
 # both tokenizers a piece of letters ends there. Apostrophes and combining marks are not among them.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -25,36 +30,56 @@ ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 
 
 class Encoder:
-    """Encodes texts with the tokenizer in ``path`` as little-endian unsigned 32-bit ids.
-
-    ``plain``: special tokens that stand in a text are taken for ordinary characters. The contract's
-    ids are those of the library with nothing set, so the queries do not use it."""
+    """Encodes texts with the tokenizer in ``path``, nothing else set, as little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, chunks: re.Pattern, plain: bool):
+    def __init__(self, path: str, chunks: re.Pattern):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if plain:
-            self.tokenizer.encode_special_tokens = True
         self.chunks = chunks.findall
+        # A special token cuts a text before anything else is done to it, and no chunk without its text
+        # has its id: it may stand between chunks.
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized]
+        self.mark_id, self.mark = special[0] if special else (None, "")
+        #: What was met of late, and what was met before. Chunks that come again stay.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        if not self.mark:
+            return self._each(chunks)
+        groups = [chunks[k : k + GROUP] for k in range(0, len(chunks), GROUP)]
+        joined = self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False)
+        out: list[bytes] = []
+        for group, encoded in zip(groups, joined):
+            ids = array("I", encoded.ids)
+            cuts = (np.flatnonzero(np.frombuffer(ids, "<u4") == self.mark_id) * 4).tolist()
+            if len(cuts) != len(group) - 1:
+                out += self._each(group)  # a chunk that has the mark itself
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [[t] if ODD.search(t) else self.chunks(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*pieces).difference(self.known)) if pieces else []
+            self.known, self.older = {}, self.known
+        unknown = set().union(*pieces).difference(self.known) if pieces else set()
+        again = unknown.intersection(self.older)
+        self.known.update((c, self.older[c]) for c in again)
+        new = list(unknown - again)
         self.known.update(zip(new, self._ids(new)))
         ids = self.known.__getitem__
         return [b"".join(map(ids, p)) for p in pieces]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, byte_level: bool, plain: bool = True) -> Encoder:
+def encoder(path: str, byte_level: bool) -> Encoder:
     """One encoder per Python worker and tokenizer."""
-    return Encoder(path, BYTE_LEVEL if byte_level else WORD_LEVEL, plain)
+    return Encoder(path, BYTE_LEVEL if byte_level else WORD_LEVEL)
