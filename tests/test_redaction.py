@@ -357,3 +357,29 @@ def test_patterns_do_not_stall_on_long_runs(spark):
     assert time.monotonic() - start < 60
     assert [r["t"] for r in mails[:3]] == [texts[0], "[REDACTED:EMAIL]", "[REDACTED:EMAIL]"]
     assert [r["t"] for r in rest] == texts
+
+
+@pytest.mark.parametrize(
+    "prefix, least",
+    [("sk-", 20), ("pk-", 20), ("ant-", 20), ("AKIA", 16), ("ghp_", 36), ("AIza", 35), ("npm_", 36), ("glpat-", 20), ("dckr_pat_", 20)],
+)
+def test_length_limits(spark, prefix, least):
+    """One character less than a detector asks for is left alone."""
+    texts = [f"x {prefix}{'A' * n} y" for n in (least - 1, least)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    done = [r["redacted"] for r in red.redact_patterns(df).orderBy("id").collect()]
+    assert done[0] == texts[0] and done[1].startswith("x [REDACTED:") and prefix not in done[1]
+
+
+def test_extra_rules(spark):
+    text = "mail me@host.example or api_key: abcdefgh12, token=[REDACTED:X] password=short"
+    df = spark.createDataFrame([(text,)], "text string")
+    found = df.select(red.scan_text(F.col("text"), ["key_value", "email"]).alias("s")).first()["s"]
+    assert found["text"] == "mail [REDACTED:EMAIL] or api_key: [REDACTED:KEY_VALUE], token=[REDACTED:X] password=short"
+    assert [h["match"] for h in found["hits"]] == ["me@host.example", "abcdefgh12"]
+    assert df.select(red.scan_text(F.col("text")).alias("s")).first()["s"]["text"] == text
+    with pytest.raises(ValueError):
+        red.scan_text(F.col("text"), ["phone"])
+    from tracesieve.operators import hashing
+
+    assert hashing.rules_fingerprint() != hashing.rules_fingerprint(extra_rules=["email"])

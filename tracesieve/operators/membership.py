@@ -9,6 +9,8 @@ Ten bits a key travel.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,35 +25,46 @@ SEGMENT_BITS = 12
 SEGMENT = 1 << SEGMENT_BITS
 
 
-def _slot(on: list[str], probe: int, bits: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(probe), *on), bits)
+@dataclass(frozen=True)
+class KeyFilter:
+    """A Bloom filter in segments of ``SEGMENT`` words: (segment, part). A key has all its bits in one."""
+
+    segments: DataFrame
+    n: int
+
+
+def _segment(on: list[str], n: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), *on), F.lit(n))
+
+
+def _bit(on: list[str], probe: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(probe), *on), F.lit(64 * SEGMENT))
 
 
-def bloom_filter(keys: DataFrame, on: list[str], count: int) -> DataFrame:
-    """One row with ``words``: the filter's bits as 64-bit words, in segments. Each segment is put together
-    by a task; only the whole filter, of a bounded size, is one row."""
-    bits = 64 * SEGMENT
-    while bits < count * BITS_PER_KEY:
-        bits *= 2
-    slots = keys.select(F.explode(F.array(*[_slot(on, k, F.lit(bits)) for k in range(PROBES)])).alias("slot"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot").bitwiseAND(63).cast("int"))
-    words = slots.groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(bit).alias("word"))
-    every = keys.sparkSession.range(bits // 64).join(words, "id", "left")
-    ordered = lambda at, value: F.transform(F.sort_array(F.collect_list(F.struct(at, value))), lambda x: x[value])
-    segments = every.withColumn("word", F.coalesce("word", F.lit(0))).groupBy(F.expr(f"id div {SEGMENT}").alias("segment"))
-    segments = segments.agg(ordered("id", "word").alias("part"))
-    return segments.agg(ordered("segment", "part").alias("words"))
+def key_filter(keys: DataFrame, on: list[str], count: int) -> KeyFilter:
+    """The filter of ``count`` keys, made and kept by Spark; nothing of it passes through the driver."""
+    n = 1
+    while n * 64 * SEGMENT < count * BITS_PER_KEY:
+        n *= 2
+    first = _segment(on, n) * SEGMENT
+    bits = keys.select(first.alias("first"), F.explode(F.array(*[_bit(on, k) for k in range(PROBES)])).alias("bit"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit").bitwiseAND(63).cast("int"))
+    words = bits.groupBy((F.col("first") + F.shiftright("bit", 6)).alias("id")).agg(F.bit_or(mask).alias("word"))
+    every = keys.sparkSession.range(n * SEGMENT).join(words, "id", "left")
+    entry = F.struct("id", F.coalesce("word", F.lit(0)).alias("word"))
+    parts = every.groupBy(F.expr(f"id div {SEGMENT}").alias("_segment")).agg(
+        F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["word"]).alias("_part")
+    )
+    return KeyFilter(cut_lineage(parts), n)
 
 
-def may_contain(words: Column, on: list[str]) -> Column:
-    """False only for keys that were not put into the filter."""
-    test = F.lit(True)
+def _tested(wide: DataFrame, own: KeyFilter, on: list[str], how: str) -> DataFrame:
+    """Join of each row with its segment, if that has all bits of its key. Filters are of a bounded size."""
+    part, hit = F.col("_part"), _segment(on, own.n) == F.col("_segment")
     for k in range(PROBES):
-        slot = _slot(on, k, F.size(words).cast("bigint") * (64 * SEGMENT))
-        part = F.get(words, F.shiftright(slot, 6 + SEGMENT_BITS).cast("int"))
-        word = F.get(part, F.shiftright(slot, 6).bitwiseAND(SEGMENT - 1).cast("int"))
-        test &= F.bit_get(word, slot.bitwiseAND(63).cast("int")) == 1
-    return test
+        word = F.get(part, F.shiftright(_bit(on, k), 6).cast("int"))
+        hit &= F.bit_get(word, _bit(on, k).bitwiseAND(63).cast("int")) == 1
+    return wide.join(F.broadcast(own.segments), hit, how)
 
 
 def keep_keys(wide: DataFrame, keys: DataFrame, on: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -65,9 +78,7 @@ def keep_keys(wide: DataFrame, keys: DataFrame, on: list[str], max_rows: int = B
         return wide.join(F.broadcast(keys), on, "left_semi")
     count = keys.count()
     if count * BITS_PER_KEY <= MAX_BITS:
-        words = cut_lineage(bloom_filter(keys, on, count))
-        tested = wide.withColumn("_words", words.scalar()).where(may_contain(F.col("_words"), on))
-        wide = tested.select(*wide.columns)
+        wide = _tested(wide, key_filter(keys, on, count), on, "left_semi")
     return wide.join(keys, on, "left_semi")
 
 
@@ -84,26 +95,26 @@ def keep_known(
         return wide.join(F.broadcast(inside), on, "left_semi")
     if fits_broadcast(outside, max_rows):
         return wide.join(F.broadcast(outside), on, "left_anti")
-    filters: list[DataFrame] = []
+    filters: list[KeyFilter] = []
     while len(filters) < LEVELS:
         count = inside.count()
         if count * BITS_PER_KEY > MAX_BITS:
             break
-        filters.append(cut_lineage(bloom_filter(inside, on, count)))
-        passing = outside.withColumn("_words", filters[-1].scalar()).where(may_contain(F.col("_words"), on))
-        inside, outside = cut_lineage(passing.drop("_words")), inside
+        filters.append(key_filter(inside, on, count))
+        inside, outside = cut_lineage(_tested(outside, filters[-1], on, "left_semi")), inside
         if fits_broadcast(inside, max_rows):
             return _decided(wide, filters, inside, on)
     return keep_keys(wide, members, on, max_rows)
 
 
-def _decided(wide: DataFrame, filters: list[DataFrame], last: DataFrame, on: list[str]) -> DataFrame:
+def _decided(wide: DataFrame, filters: list[KeyFilter], last: DataFrame, on: list[str]) -> DataFrame:
     """A key is in a set of the cascade if its filter has it and the next set, which holds the mistakes,
     has not. The last set is there itself."""
     flagged = wide.join(F.broadcast(last.withColumn("_last", F.lit(True))), on, "left")
-    for k, words in enumerate(filters):
-        flagged = flagged.withColumn(f"_words{k}", words.scalar())
+    for k, own in enumerate(filters):
+        tested = _tested(flagged, own, on, "left").withColumn(f"_in{k}", F.col("_segment").isNotNull())
+        flagged = tested.drop("_segment", "_part")
     inside = F.col("_last").isNotNull()
     for k in reversed(range(len(filters))):
-        inside = may_contain(F.col(f"_words{k}"), on) & ~inside
+        inside = F.col(f"_in{k}") & ~inside
     return flagged.where(inside).select(*wide.columns)

@@ -6,6 +6,8 @@ the session was read.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,28 +21,26 @@ METRICS = (
 CALL = (
     "tool_call_id STRING, function_name STRING, name STRING, arguments STRING, args STRING"
 )
-STEP = (
-    "step_id BIGINT, source STRING, timestamp STRING, message STRING, reasoning_content STRING, "
-    f"tool_calls ARRAY<STRUCT<{CALL}>>, "
-    "observation VARIANT, "
-    f"metrics STRUCT<{METRICS}>"
-)
+STEP_TYPES = {
+    "step_id": "BIGINT",
+    "source": "STRING",
+    "timestamp": "STRING",
+    "message": "STRING",
+    "reasoning_content": "STRING",
+    "tool_calls": f"ARRAY<STRUCT<{CALL}>>",
+    "observation": "VARIANT",
+    "metrics": f"STRUCT<{METRICS}>",
+}
+STEP_FIELDS = list(STEP_TYPES)
 TRAJECTORY = (
     "schema_version STRING, session_id STRING, "
     "agent STRUCT<name STRING, version STRING, model_name STRING>, "
     f"steps ARRAY<STRING>, final_metrics STRUCT<{METRICS}>, lines ARRAY<STRING>"
 )
-LINE = f"steps ARRAY<STRING>, {STEP}"
-STEP_FIELDS = [
-    "step_id",
-    "source",
-    "timestamp",
-    "message",
-    "reasoning_content",
-    "tool_calls",
-    "observation",
-    "metrics",
-]
+
+
+def _schema(fields: Iterable[str]) -> str:
+    return ", ".join(f"{f} {STEP_TYPES[f]}" for f in STEP_FIELDS if f in fields)
 
 
 def parse_trajectory(df: DataFrame, content: str = "redacted") -> DataFrame:
@@ -52,41 +52,45 @@ def parse_trajectory(df: DataFrame, content: str = "redacted") -> DataFrame:
     return df.withColumn("trajectory", F.from_json(F.col(content), TRAJECTORY))
 
 
-def session_steps(steps: Column, lines: Column) -> Column:
-    """The steps of a session. With ``lines``, those are the steps of each line, or the line
-    itself when it has a source (its ``step_id`` defaults to its place, counted from 1). A step
-    that is no object is one without fields."""
+def session_steps(steps: Column, lines: Column, fields: Iterable[str] = STEP_FIELDS) -> Column:
+    """The steps of a session, with these fields only: others are not parsed. With ``lines``, those are
+    the steps of each line, or the line itself when it has a source (its ``step_id`` defaults to its
+    place, counted from 1). A step that is no object is one without fields."""
+    wanted = [f for f in STEP_FIELDS if f in set(fields)]
+    step, line_type = _schema(wanted), f"steps ARRAY<STRING>, {_schema({*wanted, 'source', 'step_id'})}"
 
     def typed(texts: Column) -> Column:
-        return F.transform(texts, lambda text: F.from_json(text, STEP))
+        return F.transform(texts, lambda text: F.from_json(text, step))
 
     def of_line(line: Column, index: Column) -> Column:
         place = (index + 1).cast("bigint")
         step_id = F.coalesce(F.nullif(line["step_id"], F.lit(0).cast("bigint")), place)
-        alone = F.struct(
-            step_id.alias("step_id"), *[line[f].alias(f) for f in STEP_FIELDS if f != "step_id"]
-        )
+        alone = F.struct(*[(step_id if f == "step_id" else line[f]).alias(f) for f in wanted])
         return (
             F.when(line["steps"].isNotNull(), typed(line["steps"]))
             .when(first_non_empty(line["source"]).isNotNull(), F.array(alone))
-            .otherwise(F.array().cast(f"array<struct<{STEP}>>"))
+            .otherwise(F.array().cast(f"array<struct<{step}>>"))
         )
 
     def of_text(text: Column, index: Column) -> Column:
-        return let(F.from_json(text, LINE), lambda line: of_line(line, index))
+        return let(F.from_json(text, line_type), lambda line: of_line(line, index))
 
     return F.coalesce(F.flatten(F.transform(lines, of_text)), typed(steps))
 
 
-def steps(sessions: DataFrame, keys: list[str], trajectory: str = "trajectory") -> DataFrame:
-    """One row per step with its 0-based place ``step_index``."""
+def steps(
+    sessions: DataFrame, keys: list[str], trajectory: str = "trajectory", fields: Iterable[str] = STEP_FIELDS
+) -> DataFrame:
+    """One row per step with its 0-based place ``step_index``. Name the ``fields`` that are needed: steps
+    are parsed once, before Catalyst can tell which of them are read."""
     t = F.col(trajectory)
-    listed = sessions.select(*keys, once(session_steps(t["steps"], t["lines"])).alias("_steps"))
+    wanted = [f for f in STEP_FIELDS if f in set(fields)]
+    listed = sessions.select(*keys, once(session_steps(t["steps"], t["lines"], wanted)).alias("_steps"))
     rows = listed.select(*keys, F.posexplode("_steps").alias("step_index", "_s"))
     return rows.select(
         *keys,
         F.col("step_index").cast("bigint").alias("step_index"),
-        *[F.col(f"_s.{f}").alias(f) for f in STEP_FIELDS],
+        *[F.col(f"_s.{f}").alias(f) for f in wanted],
     )
 
 

@@ -15,6 +15,7 @@ from tracesieve.functions.text import once
 from tracesieve.operators import findings as fnd
 from tracesieve.operators import publishing as pub
 from tracesieve.operators import trajectories as tr
+from tracesieve.operators import trigram_index
 from tracesieve.operators.joins import checkpoint_folder
 from tracesieve.operators.publishing import newest_rows
 from tracesieve.plans import collect as col
@@ -381,3 +382,18 @@ def publish_denied(spark, sf_dir):
     for _ in range(2):
         sinks.publish_dataset(redacted, reject, f"{path}/log", f"{path}/data", denied=keys("de"), blocked=keys("fr"))
     return spark.read.parquet(f"{path}/data").select("filename", F.sha2("content", 256).alias("content_sha"))
+
+
+@query(
+    "grep_store",
+    f"""WITH {o.PLANTED}, {o.REJECT} SELECT source_dir, filename FROM planted
+    WHERE regexp_matches(text, 'risk-management-[a-z]+|Token = "[0-9a-f]{{4}}') AND filename NOT IN (SELECT filename FROM reject)""",
+)
+def grep_store(spark, sf_dir):
+    """Two patterns over an indexed store; files that cannot match are not opened."""
+    path = scratch(spark)
+    docs = fx.planted(spark, sf_dir).select("source_dir", "filename", F.col("text").alias("content"))
+    docs.repartition(32, "filename").write.parquet(f"{path}/store")
+    trigram_index.build_index(spark, f"{path}/store", f"{path}/index")
+    patterns = ["risk-management-[a-z]+", 'Token = "[0-9a-f]{4}']
+    return trigram_index.grep_store(spark, f"{path}/store", f"{path}/index", fx.reject_list(spark, sf_dir), patterns)

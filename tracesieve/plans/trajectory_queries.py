@@ -60,8 +60,8 @@ def _segments(spark, sf_dir):
     return tr.parse_trajectory(turns.select(*KEYS, once(content).alias("redacted")))
 
 
-def _steps(spark, sf_dir):
-    return tr.steps(_segments(spark, sf_dir), KEYS)
+def _steps(spark, sf_dir, *fields):
+    return tr.steps(_segments(spark, sf_dir), KEYS, fields=fields)
 
 
 # The expected steps come straight from the turns, not from the JSON.
@@ -78,7 +78,7 @@ _T = """t AS (SELECT conv_id, turn AS segment, turn * 4 + i AS turn, i + 1 AS pl
     f"WITH {_T} SELECT conv_id, segment, step_index, step_id, source, sha256(text) AS message_sha FROM s",
 )
 def trajectory_steps(spark, sf_dir):
-    return _steps(spark, sf_dir).select(
+    return _steps(spark, sf_dir, "step_id", "source", "message").select(
         *STEP_KEYS, "step_id", "source", F.sha2("message", 256).alias("message_sha")
     )
 
@@ -100,7 +100,7 @@ def session_info(spark, sf_dir):
       ELSE 'system' END AS role FROM s""",
 )
 def step_role(spark, sf_dir):
-    return _steps(spark, sf_dir).select(
+    return _steps(spark, sf_dir, "source").select(
         *STEP_KEYS, tr.step_role(F.col("source")).alias("role")
     )
 
@@ -113,7 +113,7 @@ def step_role(spark, sf_dir):
     UNION ALL SELECT conv_id, segment, step_index, 0, 'd' || turn, 'unknown', '{{}}' FROM s WHERE turn % 4 = 1""",
 )
 def tool_calls(spark, sf_dir):
-    return tr.tool_calls(_steps(spark, sf_dir), STEP_KEYS)
+    return tr.tool_calls(_steps(spark, sf_dir, "tool_calls"), STEP_KEYS)
 
 
 @query(
@@ -129,7 +129,7 @@ def tool_calls(spark, sf_dir):
     UNION ALL SELECT conv_id, segment, step_index, 0, NULL, '"plain ' || turn || '"' FROM s WHERE turn % 5 = 4 AND turn % 2 = 0""",
 )
 def observations(spark, sf_dir):
-    return tr.observations(_steps(spark, sf_dir), STEP_KEYS)
+    return tr.observations(_steps(spark, sf_dir, "observation"), STEP_KEYS)
 
 
 @query(
@@ -140,7 +140,7 @@ def observations(spark, sf_dir):
       CASE WHEN turn % 3 = 0 THEN printf('$%.4f', CAST(n * 1373 || 'e-8' AS DOUBLE)) END AS cost_text FROM s WHERE turn % 3 < 2""",
 )
 def step_metrics(spark, sf_dir):
-    return tr.step_metrics(_steps(spark, sf_dir), STEP_KEYS)
+    return tr.step_metrics(_steps(spark, sf_dir, "metrics"), STEP_KEYS)
 
 
 @query(
@@ -159,7 +159,7 @@ def final_metrics(spark, sf_dir):
       CASE WHEN turn % 2 = 1 THEN 'because ' || turn END AS reasoning FROM s""",
 )
 def step_text(spark, sf_dir):
-    return tr.step_text(_steps(spark, sf_dir), STEP_KEYS)
+    return tr.step_text(_steps(spark, sf_dir, "message", "reasoning_content"), STEP_KEYS)
 
 
 @query(
@@ -169,7 +169,7 @@ def step_text(spark, sf_dir):
 )
 def step_time(spark, sf_dir):
     at = tr.step_time(F.col("timestamp"))
-    return _steps(spark, sf_dir).select(*STEP_KEYS, F.unix_seconds(at).alias("seconds"))
+    return _steps(spark, sf_dir, "timestamp").select(*STEP_KEYS, F.unix_seconds(at).alias("seconds"))
 
 
 @query(
@@ -179,7 +179,7 @@ def step_time(spark, sf_dir):
 )
 def calls_with_results(spark, sf_dir):
     """Tool calls beside what they returned, joined on the call id within a step."""
-    steps = _steps(spark, sf_dir)
+    steps = _steps(spark, sf_dir, "tool_calls", "observation")
     calls = tr.tool_calls(steps, STEP_KEYS)
     results = tr.observations(steps, STEP_KEYS).withColumnRenamed("source_call_id", "tool_call_id")
     joined = calls.join(results, [*STEP_KEYS, "tool_call_id"])
