@@ -36,6 +36,14 @@ _FOLD[65:91] += 32
 _AMBIGUOUS = re.compile(r"\\[0-9vZGXhHRkKQEN]|\(\?[a-zA-Z]*[xduU]|\[[^\]]*\[|&&")
 
 
+# The two ways to name a local file that Spark has.
+LOCAL = "^file:/+"
+
+
+def _plain(path: str) -> str:
+    return re.sub(LOCAL, "/", path)
+
+
 def trigrams(data: bytes) -> np.ndarray:
     """Distinct trigrams of a text, as numbers."""
     codes = _FOLD[np.frombuffer(data, np.uint8)]
@@ -47,7 +55,8 @@ def trigrams(data: bytes) -> np.ndarray:
 def build_index(spark: SparkSession, store: str, index: str, content: str = "content") -> None:
     """Index the files of ``store`` that the index at ``index`` does not have yet."""
     known = _indexed(spark, index)
-    texts = spark.read.parquet(store).select(F.col("_metadata.file_path").alias("file"), content)
+    file = F.regexp_replace(F.col("_metadata.file_path"), LOCAL, "/").alias("file")
+    texts = spark.read.parquet(store).select(file, content)
     texts = texts.where(~F.col("file").isin(sorted(known))) if known else texts
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +139,7 @@ def candidate_files(spark: SparkSession, store: str, index: str, patterns: Itera
     """Files of the store that can hold a match of any pattern."""
     every = spark.read.parquet(store).inputFiles()
     indexed = _indexed(spark, index)
-    fresh = [f for f in every if f not in indexed]
+    fresh = [f for f in every if _plain(f) not in indexed]
     wanted: list[list[int]] = []
     for pattern in patterns:
         texts = required_texts(pattern, ignore_case)
@@ -146,7 +155,7 @@ def candidate_files(spark: SparkSession, store: str, index: str, patterns: Itera
     for own in wanted:
         fits |= F.size(F.array_except(F.array(*map(F.lit, own)), "held")) == 0
     hits = {r["file"] for r in held.where(fits).select("file").toLocalIterator()}
-    return fresh + [f for f in every if f in hits]
+    return fresh + [f for f in every if _plain(f) in hits]
 
 
 def grep_store(
