@@ -1,5 +1,7 @@
 import json
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +145,31 @@ def test_numbers_of_any_length():
     assert jt.compact(jt.strict_loads(f'{{"a":{digits},"b":-{digits},"c":12345678901234567890}}')) == (
         '{"a":null,"b":null,"c":12345678901234567890}'
     )
+
+
+def test_python_works_on_a_few_megabytes_at_a_time(spark, monkeypatch):
+    """Results of a batch of long sessions leave piece by piece; rows keep their places."""
+    from tracesieve.functions import slices
+
+    column = pa.array(["a" * 10, None, "b" * 3, "c" * 8, None, "", "d" * 30, "e"])
+    assert slices.cut(column, 10) == [(0, 1), (1, 3), (4, 3), (7, 1)]
+    assert slices.cut(column.slice(2, 2), 3) == [(0, 1), (1, 1)]
+    assert slices.cut(pa.array([], pa.string())) == []
+    seen = []
+    monkeypatch.setattr(slices.F, "arrow_udf", lambda function, returns: function)
+    work = slices.sliced(lambda texts: seen.append(len(texts)) or texts, "string")
+    batch = pa.array([None if i % 7 == 0 else str(i) * (1 << 18) for i in range(100)])
+    done = [piece for piece in work(iter([batch]))]
+    assert pa.concat_arrays(done).equals(batch)
+    assert len(seen) > 5 and max(pc.sum(pc.binary_length(p)).as_py() for p in done) < slices.SLICE_BYTES + (1 << 20)
+
+
+def test_pieces_of_a_batch_with_missing_texts():
+    """Redaction of a piece is that of its rows, wherever in the batch it stands."""
+    from tracesieve.operators import automaton
+
+    rows, machine = [None, "ac", "g", "", "xgcx", None, None, "c"] * 9, automaton.Automaton([b"gc", b"c", b"g"])
+    for first in range(20):
+        piece, alone = pa.array(rows).slice(first, 30), pa.array(rows[first : first + 30])
+        for work in (lambda t: automaton.redact(t, machine, ["1", "2", "3"]), lambda t: automaton.present(t, machine, ["gc", "c", "g"], ["1", "2", "3"])):
+            assert work(piece).to_pylist() == work(alone).to_pylist()

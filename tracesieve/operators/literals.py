@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.functions.detectors import DETECTORS
+from tracesieve.functions.slices import sliced, sliced_pairs
 from tracesieve.functions.text import let, once, placeholder, trimmed
 from tracesieve.operators import automaton
 from tracesieve.operators.automaton import Automaton
@@ -216,12 +217,11 @@ def attach_present(
     if form == "shared":
         held = shared_automaton(secrets)
 
-        @F.arrow_udf(PRESENT_TYPE)
         def search(texts: pa.Array) -> pa.Array:
             arrays, values, replacements = held.value
             return automaton.present(texts, automaton_of(arrays), values, replacements)
 
-        return df.withColumn(out, search(F.col(text)))
+        return df.withColumn(out, sliced(search, PRESENT_TYPE)(F.col(text)))
     candidates = literal_candidates(df, text, secrets, list(keys), "_candidates")
     if fits_broadcast(candidates):
         candidates = F.broadcast(candidates)
@@ -250,12 +250,11 @@ def redact_literals(
     if _form(secrets, inline, shared) == "shared":
         held = shared_automaton(secrets)
 
-        @F.arrow_udf(REDACTED_TYPE)
         def replace(texts: pa.Array) -> pa.Array:
             arrays, _, replacements = held.value
             return automaton.redact(texts, automaton_of(arrays), replacements)
 
-        done = replace(F.col(text))
+        done = sliced(replace, REDACTED_TYPE)(F.col(text))
         found = df
     else:
         found = attach_present(df, text, secrets, keys, **bounds)
@@ -321,7 +320,7 @@ def re_redact(
     arrays = cut_lineage(secrets.groupBy(*keys).agg(F.collect_list(entry).alias("_secrets")))
     if fits_broadcast(arrays):
         arrays = F.broadcast(arrays)
-    replace = F.arrow_udf(redact_own, REDACTED_TYPE)
+    replace = sliced_pairs(redact_own, REDACTED_TYPE)
     done = sessions.join(arrays, keys, "left").select(*sessions.columns, once(replace(F.col(text), F.col("_secrets"))).alias("_f"))
     return done.select(
         *sessions.columns,
