@@ -164,6 +164,27 @@ def test_python_works_on_a_few_megabytes_at_a_time(spark, monkeypatch):
     assert len(seen) > 5 and max(pc.sum(pc.binary_length(p)).as_py() for p in done) < slices.SLICE_BYTES + (1 << 20)
 
 
+def test_a_batch_is_let_go_before_the_next_one(monkeypatch):
+    """While Spark's next batch is read the last one is no longer held, nor is more than a piece's result."""
+    from tracesieve.functions import slices
+
+    monkeypatch.setattr(slices.F, "arrow_udf", lambda function, returns: function)
+    kept, made = [], []
+
+    def batches(columns):
+        for _ in range(4):
+            before = pa.total_allocated_bytes()
+            made.append(pa.array(["x" * 1000] * 3000))
+            yield made.pop() if columns == 1 else (made[0], made.pop())
+            kept.append(pa.total_allocated_bytes() - before)
+
+    sizes = lambda texts, *others: pc.binary_length(texts)
+    for work, columns in ((slices.sliced, 1), (slices.sliced_pairs, 2)):
+        pieces = [len(piece) for piece in work(sizes, "int")(batches(columns))]
+        assert sum(pieces) == 4 * 3000 and max(pieces) < 1100
+    assert max(kept) < 1 << 20
+
+
 def test_pieces_of_a_batch_with_missing_texts():
     """Redaction of a piece is that of its rows, wherever in the batch it stands."""
     from tracesieve.operators import automaton
