@@ -194,3 +194,22 @@ def test_pieces_of_a_batch_with_missing_texts():
         piece, alone = pa.array(rows).slice(first, 30), pa.array(rows[first : first + 30])
         for work in (lambda t: automaton.redact(t, machine, ["1", "2", "3"]), lambda t: automaton.present(t, machine, ["gc", "c", "g"], ["1", "2", "3"])):
             assert work(piece).to_pylist() == work(alone).to_pylist()
+
+
+def test_spark_hands_over_few_megabytes_at_a_time(spark):
+    """Batches are of the size that Python works on, whatever the session says; a smaller size stays."""
+    from tracesieve.functions import slices
+
+    was = spark.conf.get(slices.BATCH_BYTES)
+    whole = lambda texts: pa.array([texts.buffers()[2].size] * len(texts))
+    rows = spark.range(0, 60, 1, 1).selectExpr("repeat('x', 200000) as t")
+    try:
+        spark.conf.set(slices.BATCH_BYTES, "64m")
+        sizes = rows.select(slices.sliced(whole, "long")("t").alias("n")).collect()
+        assert len(sizes) == 60 and max(r.n for r in sizes) <= 4 * slices.SLICE_BYTES
+        assert spark.conf.get(slices.BATCH_BYTES) == str(slices.SLICE_BYTES)
+        spark.conf.set(slices.BATCH_BYTES, "300k")
+        slices.small_batches()
+        assert spark.conf.get(slices.BATCH_BYTES) == "300k"
+    finally:
+        spark.conf.set(slices.BATCH_BYTES, was)
