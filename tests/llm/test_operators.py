@@ -588,3 +588,19 @@ def test_secrets(docs, rows, none):
         assert secret_lexer.lexed(text) == []
     assert secret_lexer.scan_secrets(docs).count() == len(rows) and secret_lexer.scan_secrets(none).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_words_met_before_are_not_cut_into_chunks_again():
+    """Words of letters, with marks and symbols, in any case: ids are the library's, and known words stay known."""
+    r = random.Random(5)
+    words = ["".join(r.choices("abcXYZéÀßÿñªº×÷µ", k=r.randint(1, 6))) for _ in range(400)]
+    ends = ["", "", ",", ".", "...", "!?", "$$$", "%.", "&*", "<", "'s", "1", "-b", "<|endoftext|>", "#<|endoftext|>"]
+    some = ["".join(f"{r.choice(words)}{r.choice(ends)}{r.choice([' ', '  ', chr(10), chr(0xA0)])}" for _ in range(30)) for _ in range(60)]
+    some += ["<|ENDOFTEXT|> A", "İI ŉ Σας ΑΣ ŀ", "x\x1cy Z", "", " "]
+    own = tokens.WordEncoder(tokenizer("word_bpe_49k.json"))
+    for text, ids in zip(some, own.encode(some)):
+        assert np.frombuffer(ids, "<u4").tolist() == library_ids("word_bpe_49k.json", text), text
+    again = [" ".join(reversed(t.split())) for t in some]
+    own.parts = None
+    for text, ids in zip(again, own.encode(again)):
+        assert np.frombuffer(ids, "<u4").tolist() == library_ids("word_bpe_49k.json", text), text

@@ -41,18 +41,19 @@ def pack_words(ids: np.ndarray) -> np.ndarray:
     if (wide >> np.uint64(60)).any():
         raise ValueError("ids of 60 bits at most can be stored")
     choice = np.zeros(n, np.int8)
-    top = wide.copy()  # the largest of the next ``covered`` ids, shorter at the end
+    # The largest of the next ``covered`` ids, shorter at the end; ids beyond 30 bits fit none but the escape.
+    top = np.minimum(wide, np.uint64(1 << 31)).astype(np.uint32)
     covered = 1
     for selector, (count, bits) in enumerate(SELECTORS[1:], 1):
         while covered < count:
             step = min(covered, count - covered)
             if step < n:
-                top[: n - step] = np.maximum(top[: n - step], top[step:])
+                np.maximum(top[: n - step], top[step:], out=top[: n - step])
             covered += step
-        fits = top < np.uint64(1 << bits)
+        fits = top < np.uint32(1 << bits)
         fits[max(0, n - count + 1) :] = False
-        if not fits.any() and bits <= 8:
-            break
+        if not fits.any():
+            break  # the next selectors cover more ids with fewer bits each
         choice[fits] = selector
     counts = np.array([c for c, _ in SELECTORS])
     following = (np.arange(n) + counts[choice]).tolist()

@@ -5,6 +5,10 @@ those of its chunks, one after another. No chunk ends inside a special token: it
 and a chunk that holds a ``<`` goes on to the next white space. Chunks repeat a lot; each worker keeps the ids of those it
 has met of late, at most twice ``REMEMBERED`` and those of one batch. Texts with characters that Python and the tokenizer may class
 differently go to the tokenizer whole.
+
+Where the tokenizer drops white space and marks the end of each word in its vocabulary, a text is cut at
+white space alone, which is quicker, and only words not met before are cut into chunks. New chunks of
+letters are encoded as one text then, joined by blanks.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ GROUP = 256
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r".,!?;:|"
 BYTE_LEVEL = re.compile(rf"\s*[{_LETTERS}]+(?![^\s{_MARKS}])|[{_MARKS}]+(?!\S)|\s*\S+|\s+")
-WORD_LEVEL = re.compile(rf"[{_LETTERS}]+(?![^\s{_MARKS}])|[{_MARKS}]+(?!\S)|\S+")
-ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+WORD_LEVEL = re.compile(rf"[{_LETTERS}]+(?![^\s{_MARKS}#$%&*])|[{_MARKS}#$%&*]+(?!\S)|\S+")
+ONE_WORD = re.compile(rf"[{_LETTERS}]+")
+ODD = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
 
 
 class Encoder:
@@ -67,7 +72,7 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [[t] if ODD.search(t) else self.chunks(t) for t in texts]
+        pieces = [[t] if any(c in t for c in ODD) else self.chunks(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         unknown = set().union(*pieces).difference(self.known) if pieces else set()
@@ -79,7 +84,64 @@ class Encoder:
         return [b"".join(map(ids, p)) for p in pieces]
 
 
+class WordEncoder(Encoder):
+    """An encoder for a tokenizer that drops white space, lower-cases and ends each word with ``</w>``."""
+
+    def __init__(self, path: str):
+        from tokenizers import pre_tokenizers
+
+        super().__init__(path, WORD_LEVEL)
+        self.parts, self.chunks = self.chunks, self._words
+        # For words of lower-case Latin-1 letters between blanks, nothing else of both steps has an effect.
+        self.plain = type(self.tokenizer).from_file(path)
+        self.plain.normalizer = None
+        bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_only])
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        # A special token is one in its own case only, and has a "<".
+        return (text.lower() if text.isascii() and "<" not in text else text).split()
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin-1 letters, each of which is one word to the tokenizer as well."""
+        groups = [words[k : k + GROUP] for k in range(0, len(words), GROUP)]
+        out: list[bytes] = []
+        for group, encoded in zip(groups, self.plain.encode_batch_fast([" ".join(g).lower() for g in groups], add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(cuts) != len(group):
+                out += self._each(group)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
+        return out
+
+    def _pieces(self, word: str) -> list[str]:
+        if any(c in word for c in ODD):
+            return [word]
+        return self.parts(word)
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        letters = {w for w in words if w.isascii() and w.isalpha()}
+        others = {w: self._pieces(w) for w in words if w not in letters}
+        wanted = set().union(*others.values()) - letters
+        met = {c: i for c in wanted if (i := self.known.get(c) or self.older.get(c)) is not None}
+        wanted.difference_update(met)
+        own = [*filter(ONE_WORD.fullmatch, wanted)]
+        rest = list(wanted.difference(own))
+        own += letters
+        met.update(zip(own, self._letters(own)))
+        met.update(zip(rest, super()._ids(rest)))
+        met.update({w: b"".join([met[c] for c in p]) for w, p in others.items()})
+        return [met[w] for w in words]
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, byte_level: bool) -> Encoder:
     """One encoder per Python worker and tokenizer."""
-    return Encoder(path, BYTE_LEVEL if byte_level else WORD_LEVEL)
+    if byte_level:
+        return Encoder(path, BYTE_LEVEL)
+    return WordEncoder(path)
