@@ -286,6 +286,28 @@ def test_close_lines_of_large_buckets_all_meet(spark, monkeypatch):
     assert {x.h: x.component for x in fuzzy_lines.line_components(rows, distinct).collect()} == expected
 
 
+def test_signatures_have_the_size_and_the_bands_of_the_set(spark):
+    """Bands by plain slices of the sorted circle, short sets included; pairs of unlike size meet no text."""
+    r = random.Random(29)
+    lines = ["".join(r.choices("abcdefgh 😀é", k=n)).strip() or "x" for n in (1, 4, 5, 6, 7, 8, 9, 40, 300)]
+    table = spark.createDataFrame([(k, k, x) for k, x in enumerate(lines)], "h long, at long, norm string")
+    sets = table.select("h", fuzzy_lines.shingle_set(F.col("norm")).alias("s"))
+    wanted = {}
+    for x in sets.collect():
+        s = sorted(x.s)
+        below = [sum(v < c for v in s) for c in fuzzy_lines.CUTS]
+        wanted[x.h] = len(s), [[s[(b + k) % len(s)] for k in range(fuzzy_lines.ROWS)] for b in below]
+    flat = [(h, b, *v) for h, (_, bands) in wanted.items() for b, v in enumerate(bands)]
+    hashed = spark.createDataFrame(flat, "h long, b int, s0 long, s1 long, s2 long, s3 long")
+    keys = {(x.h, x.b): x.k for x in hashed.select("h", "b", F.xxhash64("b", "s0", "s1", "s2", "s3").alias("k")).collect()}
+    found = fuzzy_lines.signatures(table)
+    for x in found.collect():
+        assert x.n == wanted[x.h][0] and x["keys"] == [keys[x.h, b] for b in range(fuzzy_lines.BANDS)]
+    sizes = spark.createDataFrame([(1, 80), (2, 100), (3, 79)], "h long, n int")
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (1, 3)], "u long, v long")
+    assert sorted(map(tuple, fuzzy_lines._of_close_size(pairs, sizes).collect())) == [(1, 2), (1, 3)]
+
+
 def test_lines_odd_cases(spark, docs, rows, none):
     table = spark.createDataFrame(
         [(1, "Same Line \n\nother", "k"), (2, "same line\nnew", "k"), (2, "same line\nnew", "k"), (3, None, "k"), (4, "", "k"), (5, " \n", "k"), (None, "same line", "k"), (6, "東京都は日本の首都\nother", "k")],
