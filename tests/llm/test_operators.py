@@ -287,12 +287,12 @@ def test_close_lines_of_large_buckets_all_meet(spark, monkeypatch):
 
 
 def test_signatures_have_the_size_and_the_bands_of_the_set(spark):
-    """Bands by plain slices of the sorted circle, short sets included; pairs of unlike size meet no text."""
+    """Bands by plain slices of the sorted circle, short sets included; pairs of unlike size or counts meet no text."""
     r = random.Random(29)
     lines = ["".join(r.choices("abcdefgh 😀é", k=n)).strip() or "x" for n in (1, 4, 5, 6, 7, 8, 9, 40, 300)]
     table = spark.createDataFrame([(k, k, x) for k, x in enumerate(lines)], "h long, at long, norm string")
     sets = table.select("h", fuzzy_lines.shingle_set(F.col("norm")).alias("s"))
-    wanted = {}
+    wanted, hashes = {}, {x.h: x.s for x in sets.collect()}
     for x in sets.collect():
         s = sorted(x.s)
         below = [sum(v < c for v in s) for c in fuzzy_lines.CUTS]
@@ -303,9 +303,13 @@ def test_signatures_have_the_size_and_the_bands_of_the_set(spark):
     found = fuzzy_lines.signatures(table)
     for x in found.collect():
         assert x.n == wanted[x.h][0] and x["keys"] == [keys[x.h, b] for b in range(fuzzy_lines.BANDS)]
-    sizes = spark.createDataFrame([(1, 80), (2, 100), (3, 79)], "h long, n int")
-    pairs = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (1, 3)], "u long, v long")
-    assert sorted(map(tuple, fuzzy_lines._of_close_size(pairs, sizes).collect())) == [(1, 2), (1, 3)]
+        parts = [sum(c <= v < c + (1 << 59) for v in hashes[x.h]) for c in fuzzy_lines.PART_CUTS]
+        assert list(x.counts) == parts
+    many = [0] * 32
+    sketches = [(1, 80, many), (2, 100, many), (3, 79, many), (4, 80, [17, *many[1:]]), (5, 80, [18, *many[1:]])]
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (1, 3), (1, 4), (1, 5)], "u long, v long")
+    sketches = spark.createDataFrame(sketches, "h long, n int, counts array<tinyint>")
+    assert sorted(map(tuple, fuzzy_lines._possible_pairs(pairs, sketches).collect())) == [(1, 2), (1, 3), (1, 4)]
 
 
 def test_lines_odd_cases(spark, docs, rows, none):
