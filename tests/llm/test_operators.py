@@ -148,6 +148,16 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(table.where("false")).count() == 0
 
 
+def test_mixing_targets_of_a_billion_words(spark):
+    """Sums that fit 32 bits while three times them do not, and sums far above 64 bits times weights."""
+    for scale in (100_000_000, 200_000_000, 10**16):
+        sizes = [("a", 4 * scale), ("b", 4 * scale), ("c", 2 * scale), ("d", scale // 100)]
+        found = {x.source: x.target for x in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size bigint")).collect()}
+        # The small one gets three times its size; the others share the rest by 1, 2 and 3.
+        left = sum(n for _, n in sizes) - 3 * sizes[3][1]
+        assert found == {"a": float(left) / 6, "b": 2.0 * left / 6, "c": 3.0 * left / 6, "d": 3.0 * sizes[3][1]}
+
+
 def test_mixing(docs, rows, none):
     found = mixing.mix(docs).collect()
     assert len(found) == len(rows)

@@ -58,11 +58,15 @@ def source_targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFram
     round needs three sums; they reach the driver as one row."""
     ranked = stored(_ranked(sizes))
     cap = max_repeats * F.col("source_size")
+    # Python's numbers come as 32 bits where they fit, and products with them would overflow.
+    wide = "decimal(38,0)"
     total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     left, weights, capped = total, None, -1
     while True:
         # Capped: its share of what is left is above its cap. The level only rises, so does the set.
-        full = F.lit(False) if weights is None else F.col("weight") * F.lit(left) > cap * F.lit(weights)
+        full = F.lit(False)
+        if weights is not None:
+            full = F.col("weight") * F.lit(left).cast(wide) > cap * F.lit(weights).cast(wide)
         spent, open_weights, n = ranked.agg(
             F.coalesce(F.sum(F.when(full, cap)), F.lit(0)),
             F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)),
@@ -73,7 +77,7 @@ def source_targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFram
         capped, left, weights = n, total - spent, open_weights
         if not weights:
             return ranked.withColumn("target", cap.cast("double"))
-    share = (F.col("weight") * F.lit(left)).cast("double") / F.lit(float(weights))
+    share = (F.col("weight") * F.lit(left).cast(wide)).cast("double") / F.lit(float(weights))
     return ranked.withColumn("target", F.when(full, cap.cast("double")).otherwise(share))
 
 
