@@ -322,6 +322,41 @@ def test_signatures_have_the_size_and_the_bands_of_the_set(spark):
     assert sorted(map(tuple, fuzzy_lines._possible_pairs(pairs, sketches).collect())) == [(1, 2), (1, 3), (1, 4)]
 
 
+def test_sketches_leave_unlike_lines_of_a_bucket_without_texts(spark, monkeypatch):
+    """Bits against plain parity; of a bucket of long unlike lines only close ones, put in one component each, are hit."""
+    monkeypatch.setattr(fuzzy_lines, "BLOCK", 4)
+    r = random.Random(41)
+    lines = ["".join(r.choices("abcdefgh 😀é", k=n)).strip() or "x" for n in (1, 4, 5, 9, 40)]
+    lines += [" ".join(r.choices(vocabulary(43, 900), k=r.randint(120, 130))) for _ in range(60)]
+    lines += [lines[7][:300] + "#" + lines[7][300:], lines[9].replace(" ", "  ", 1) + " end"]
+    table = spark.createDataFrame([(k, k, x) for k, x in enumerate(lines)], "h long, at long, norm string")
+    sets = {x.h: set(x.s) for x in table.select("h", fuzzy_lines.shingle_set(F.col("norm")).alias("s")).collect()}
+    found = fuzzy_lines.signatures(table).checkpoint()
+    for x in found.collect():
+        words = [0] * fuzzy_lines.WORDS
+        for v in sets[x.h]:
+            words[(v + (1 << 63)) * fuzzy_lines.WORDS >> 64] ^= 1 << (v & 63)
+        assert [v & (1 << 64) - 1 for v in x.bits] == words
+    close = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {(7, 65), (9, 66)} <= close
+    left, right = (found.select(*(F.col(c).alias(f"{c}_{x}") for c in ("h", "n", "counts", "bits"))) for x in "uv")
+    met = left.join(right, F.col("h_u") < F.col("h_v"))
+    of = lambda name: (F.col(f"{name}_u"), F.col(f"{name}_v"))
+    let = {tuple(x) for x in met.where(fuzzy_lines.alike_by_bits(*of("n"), *of("bits"))).select("h_u", "h_v").collect()}
+    counted = met.where(fuzzy_lines.possible(*of("n"), *of("counts"))).count()
+    assert close <= let and len(let) < 10 < 100 < counted
+    bucket = found.selectExpr("1L key", "h", "h part", "n", "bits", "17 blocks")
+    assert {x.h for x in fuzzy_lines._hits(bucket).collect()} == {h for p in let for h in p}
+    long = [" ".join(r.choices(vocabulary(47, 3000), k=r.randint(330, 340))) for _ in range(8)]
+    long = spark.createDataFrame([(k, k, x) for k, x in enumerate([*long, long[3] + " end"])], "h long, at long, norm string")
+    coarse = fuzzy_lines.signatures(long).selectExpr("1L key", "h", "h part", "n", "bits", "3 blocks").checkpoint()
+    fine = coarse.drop("bits").join(fuzzy_lines.fine_sketches(long), "h")
+    assert fuzzy_lines._hits(coarse).count() == 9
+    assert {x.h for x in fuzzy_lines._hits(fine, fuzzy_lines.FINE_WORDS).collect()} == {3, 8}
+    one = bucket.withColumn("part", F.lit(1))
+    assert fuzzy_lines._hits(one).count() == 0
+
+
 def test_lines_odd_cases(spark, docs, rows, none):
     table = spark.createDataFrame(
         [(1, "Same Line \n\nother", "k"), (2, "same line\nnew", "k"), (2, "same line\nnew", "k"), (3, None, "k"), (4, "", "k"), (5, " \n", "k"), (None, "same line", "k"), (6, "東京都は日本の首都\nother", "k")],
